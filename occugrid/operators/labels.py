@@ -15,33 +15,32 @@ NUMERIC_FEATURES = ["grid_lat", "grid_lon", "sin_lon", "cos_lon"]
 HEMISPHERE_FEATURE = "hemisphere_S"
 
 
-def _n_words(k: int) -> int:
-    return -(-k // WORD_BITS)
+def _words(n_labels: int) -> list[str]:
+    return [f"word_{i}" for i in range(-(-n_labels // WORD_BITS))]
 
 
-def _has_label(rank: Column, k: int) -> Column:
+def _has_label(rank: Column, n_labels: int) -> Column:
     """1 if the label words hold ``rank``, else 0."""
-    words = F.array(*[F.col(f"word_{i}") for i in range(_n_words(k))])
-    word = F.element_at(words, F.floor(rank / WORD_BITS).cast("int") + 1)
+    word = F.element_at(
+        F.array(*_words(n_labels)), F.floor(rank / WORD_BITS).cast("int") + 1
+    )
     return F.getbit(word, (rank % WORD_BITS).cast("int")).cast("int")
 
 
 def labelled_regions(
-    features: DataFrame, top: DataFrame, k: int, keep_unlabelled: bool
+    features: DataFrame, top: DataFrame, n_labels: int, keep_unlabelled: bool
 ) -> DataFrame:
-    """One row per region: location features and the top-``k`` species as label bits.
+    """One row per region: location features and its top species as label bits.
 
-    ``top`` holds at most ``k`` rows, so it is broadcast. Labels, first-observation features
-    and regions come out of one aggregation whose buffers are all fixed-width.
-    ``keep_unlabelled=False`` drops the regions without a top-``k`` species.
+    ``top`` holds the ``n_labels`` most widespread species, so it is broadcast. Labels,
+    first-observation features and regions come out of one aggregation whose buffers are all
+    fixed-width. ``keep_unlabelled=False`` drops the regions without a top species.
     """
     lat, lon, rank = F.col("grid_lat"), F.col("grid_lon"), F.col("label_rank")
+    words = _words(n_labels)
     bit = geo.bit_flag(rank % WORD_BITS)
-    words = [
-        F.coalesce(
-            F.bit_or(F.when(F.floor(rank / WORD_BITS) == i, bit)), F.lit(0).cast("bigint")
-        ).alias(f"word_{i}")
-        for i in range(_n_words(k))
+    in_word = [
+        F.bit_or(F.when(F.floor(rank / WORD_BITS) == i, bit)) for i in range(len(words))
     ]
     rows = (
         features.join(F.broadcast(top.select("taxon_id", "label_rank")), "taxon_id", "left")
@@ -49,11 +48,14 @@ def labelled_regions(
         .agg(
             F.min_by("sin_lon", "row_id").alias("sin_lon"),
             F.min_by("cos_lon", "row_id").alias("cos_lon"),
-            *words,
+            *[
+                F.coalesce(bits, F.lit(0).cast("bigint")).alias(word)
+                for word, bits in zip(words, in_word)
+            ],
         )
     )
     if not keep_unlabelled:
-        rows = rows.filter(reduce(or_, [F.col(f"word_{i}") != 0 for i in range(_n_words(k))]))
+        rows = rows.filter(reduce(or_, [F.col(word) != 0 for word in words]))
     return rows.withColumns(
         {
             "region": geo.region_key(lat, lon),
@@ -74,28 +76,31 @@ def feature_columns(rows: DataFrame) -> list[str]:
     return NUMERIC_FEATURES + ([HEMISPHERE_FEATURE] if low != high else [])
 
 
-def label_array(top: DataFrame, k: int) -> Column:
+def label_array(n_labels: int) -> Column:
     """0/1 per label in popularity order."""
-    known = top.agg(F.count("*")).scalar().cast("int")
-    ranks = F.sequence(F.lit(0), F.lit(k - 1))
-    return F.slice(F.transform(ranks, lambda r: _has_label(r, k)), F.lit(1), known)
+    ranks = F.sequence(F.lit(0), F.lit(n_labels - 1))
+    return F.transform(ranks, lambda rank: _has_label(rank, n_labels))
 
 
-def label_grid(rows: DataFrame, top: DataFrame, k: int) -> DataFrame:
-    """Every region with every top-``k`` species and y = 0/1, in long form.
+def label_grid(rows: DataFrame, n_labels: int) -> DataFrame:
+    """Every region with every top species and y = 0/1, in long form.
 
-    Each region row unfolds its own label bits; no join on observations is involved.
+    Each region row unfolds its own label bits: no join is involved.
     """
     return (
-        rows.withColumn("label_rank", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-        .withColumn("y", _has_label(F.col("label_rank"), k))
-        .join(F.broadcast(top.select("label_rank", "taxon_id")), "label_rank")
-        .drop(*[f"word_{i}" for i in range(_n_words(k))])
+        rows.withColumn("label_rank", F.explode(F.sequence(F.lit(0), F.lit(n_labels - 1))))
+        .withColumn("y", _has_label(F.col("label_rank"), n_labels))
+        .drop(*_words(n_labels))
     )
 
 
-def top_species_lists(baskets: DataFrame, top: DataFrame, k: int) -> DataFrame:
-    """Species lists cut down to the top-``k`` species (at most ``k`` ids in a list)."""
+def with_taxa(grid: DataFrame, top: DataFrame) -> DataFrame:
+    """Adds the species behind each label rank."""
+    return grid.join(F.broadcast(top.select("label_rank", "taxon_id")), "label_rank")
+
+
+def top_species_lists(baskets: DataFrame, top: DataFrame) -> DataFrame:
+    """Species lists cut down to the top species."""
     wanted = top.agg(F.collect_list("taxon_id")).scalar()
     return baskets.withColumn("species_topk", F.array_intersect("species_list", wanted))
 

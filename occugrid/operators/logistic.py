@@ -14,6 +14,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,10 +48,17 @@ class LogisticModels:
         names = [f"w_{name}" for name in ["intercept", *self.feature_columns]]
         rows = [(*key, None, *map(float, w)) for key, w in self.weights.items()]
         rows += [(*key, c, *[0.0] * len(names)) for key, c in self.constants.items()]
-        columns = ", ".join(f"{name} DOUBLE" for name in names)
-        return spark.createDataFrame(
-            rows, f"model_fold INT, label_rank INT, constant DOUBLE, {columns}"
-        )
+        return small_table(spark, rows, ["constant", *names])
+
+
+def small_table(spark, rows: list[tuple], numbers: list[str]) -> DataFrame:
+    """``(model_fold, label_rank, *numbers)`` as a local relation, a row per fold and label."""
+    fields = [("model_fold", pa.int32()), ("label_rank", pa.int32())]
+    schema = pa.schema(fields + [(name, pa.float64()) for name in numbers])
+    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [
+        pa.array([], f.type) for f in schema
+    ]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=schema))
 
 
 def class_counts(grid: DataFrame, folds: Iterable[int]) -> dict[tuple[int, int], tuple[int, int]]:
@@ -163,15 +171,14 @@ def fit(
         costs[key] = (n / (2.0 * positives), n / (2.0 * (n - positives)))
 
     weight_names = [f"w_{name}" for name in ["intercept", *names]]
-    schema = "model_fold INT, label_rank INT, cost_pos DOUBLE, cost_neg DOUBLE, " + ", ".join(
-        f"{name} DOUBLE" for name in weight_names
-    )
     for _ in range(max_iter):
         running = {key: state for key, state in states.items() if not state.done}
         if not running:
             break
-        trials = spark.createDataFrame(
-            [(*key, *costs[key], *map(float, s.trial)) for key, s in running.items()], schema
+        trials = small_table(
+            spark,
+            [(*key, *costs[key], *map(float, s.trial)) for key, s in running.items()],
+            ["cost_pos", "cost_neg", *weight_names],
         )
         for key, sums in _sums(grid, trials, names).items():
             _advance(states[key], *sums, tol)
@@ -192,7 +199,6 @@ def predict(grid: DataFrame, models: DataFrame, feature_columns: list[str]) -> D
     return matched.select(
         "fold",
         "region",
-        "taxon_id",
         "label_rank",
         "y",
         F.coalesce(F.col("constant"), F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).alias("p"),

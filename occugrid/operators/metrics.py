@@ -13,145 +13,158 @@ from occugrid.functions import measures
 
 LABEL_KEYS = ["fold", "taxon_id"]
 FOLD_KEYS = ["fold"]
+BANDS = 1024
 
 
 def confusion(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts of the class predictions and F1 (0/0 = 0) per key."""
     y, yhat = F.col("y"), F.col("yhat")
-    return scores.groupBy(*keys).agg(
-        F.sum(y * yhat).alias("tp"),
-        F.sum((1 - y) * yhat).alias("fp"),
-        F.sum(y * (1 - yhat)).alias("fn"),
-        F.sum(y).alias("n_pos"),
-        F.sum(1 - y).alias("n_neg"),
-    )
-
-
-def f1_by(scores: DataFrame, keys: list[str]) -> DataFrame:
-    return confusion(scores, keys).withColumn(
-        "f1", measures.f1(F.col("tp"), F.col("fp"), F.col("fn"))
+    return (
+        scores.groupBy(*keys)
+        .agg(
+            F.sum(y * yhat).alias("tp"),
+            F.sum((1 - y) * yhat).alias("fp"),
+            F.sum(y * (1 - yhat)).alias("fn"),
+        )
+        .withColumn("f1", measures.f1(F.col("tp"), F.col("fp"), F.col("fn")))
     )
 
 
 def cumulative_counts(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """Per distinct score: ``pos``, ``neg`` and running ``tp``, ``fp`` from the top score down.
+    """Per distinct score: positives and negatives there (``pos``, ``neg``), predicted as 1
+    (``hit``, ``miss``), and at this score or above (``pos_upto``, ``neg_upto``).
 
     Equal scores are counted first (map-side). The running sum is cut into bands of the
     log-odds of the score, an order-preserving function: totals of the bands above plus the
     sum inside the band. So no single task sorts all scores of a fold.
     """
-    distinct = scores.groupBy(*keys, "p").agg(
-        F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")
-    )
-    odds = F.try_divide(F.col("p"), 1.0 - F.col("p"))
-    band = F.when(F.col("p") >= 1.0, 1024).when(F.col("p") <= 0.0, -1024).otherwise(
-        F.greatest(F.lit(-1023), F.least(F.lit(1023), F.floor(F.log2(odds) * 16).cast("int")))
+    p, y, yhat = F.col("p"), F.col("y"), F.col("yhat")
+    steps = F.floor(F.log2(F.try_divide(p, 1.0 - p)) * 16).cast("int")
+    band = (
+        F.when(p >= 1.0, BANDS)
+        .when(p <= 0.0, -BANDS)
+        .otherwise(F.greatest(F.lit(1 - BANDS), F.least(F.lit(BANDS - 1), steps)))
+    )
+    counted = (
+        scores.groupBy(*keys, "p")
+        .agg(
+            F.sum(y).alias("pos"),
+            F.sum(1 - y).alias("neg"),
+            F.sum(y * yhat).alias("hit"),
+            F.sum((1 - y) * yhat).alias("miss"),
+        )
+        .withColumn("band", band)
     )
-    banded = distinct.withColumn("band", band)
-    above = (
+    higher = (
         Window.partitionBy(*keys)
         .orderBy(F.col("band").desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     zero = F.lit(0).cast("bigint")
     totals = (
-        banded.groupBy(*keys, "band")
-        .agg(F.sum("pos").alias("band_pos"), F.sum("neg").alias("band_neg"))
+        counted.groupBy(*keys, "band")
+        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         .select(
             *keys,
             "band",
-            F.coalesce(F.sum("band_pos").over(above), zero).alias("pos_above"),
-            F.coalesce(F.sum("band_neg").over(above), zero).alias("neg_above"),
+            F.coalesce(F.sum("pos").over(higher), zero).alias("pos_above"),
+            F.coalesce(F.sum("neg").over(higher), zero).alias("neg_above"),
         )
     )
     inside = (
         Window.partitionBy(*keys, "band")
-        .orderBy(F.col("p").desc())
+        .orderBy(p.desc())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        banded.withColumns({"tp": F.sum("pos").over(inside), "fp": F.sum("neg").over(inside)})
+        counted.withColumns(
+            {"pos_inside": F.sum("pos").over(inside), "neg_inside": F.sum("neg").over(inside)}
+        )
         .join(totals, [*keys, "band"])
         .withColumns(
-            {"tp": F.col("tp") + F.col("pos_above"), "fp": F.col("fp") + F.col("neg_above")}
+            {
+                "pos_upto": F.col("pos_above") + F.col("pos_inside"),
+                "neg_upto": F.col("neg_above") + F.col("neg_inside"),
+            }
         )
-        .select(*keys, "p", "pos", "neg", "tp", "fp")
     )
 
 
-def ranking_by(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """ROC-AUC (ties count half) and step-wise average precision per key."""
+def metrics_by(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """ROC-AUC (ties count half), step-wise average precision and F1 per key, with counts."""
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
-    tp, fp = F.col("tp").cast("double"), F.col("fp").cast("double")
+    pos_upto, neg_upto = F.col("pos_upto").cast("double"), F.col("neg_upto").cast("double")
     return (
         cumulative_counts(scores, keys)
         .groupBy(*keys)
         .agg(
-            F.sum(neg * (tp - pos) + F.lit(0.5) * neg * pos).alias("area"),
-            F.sum(pos * tp / (tp + fp)).alias("steps"),
-            F.sum(pos).alias("n_pos"),
-            F.sum(neg).alias("n_neg"),
+            F.sum(neg * (pos_upto - pos) + F.lit(0.5) * neg * pos).alias("area"),
+            F.sum(pos * pos_upto / (pos_upto + neg_upto)).alias("steps"),
+            F.sum("pos").alias("n_pos"),
+            F.sum("neg").alias("n_neg"),
+            F.sum("hit").alias("tp"),
+            F.sum("miss").alias("fp"),
         )
+        .withColumn("fn", F.col("n_pos") - F.col("tp"))
         .select(
             *keys,
-            F.try_divide("area", F.col("n_pos") * F.col("n_neg")).alias("roc_auc"),
-            F.try_divide("steps", "n_pos").alias("pr_auc"),
+            "n_pos",
+            "n_neg",
+            "tp",
+            "fp",
+            "fn",
+            F.try_divide(F.col("area"), F.col("n_pos").cast("double") * F.col("n_neg")).alias("roc_auc"),
+            F.try_divide(F.col("steps"), F.col("n_pos").cast("double")).alias("pr_auc"),
+            measures.f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"),
         )
     )
 
 
-def species_metrics(scores: DataFrame) -> DataFrame:
-    """Per (fold, species): AUC and F1 need both classes, AP needs a positive; else NULL."""
+def label_metrics(scores: DataFrame) -> DataFrame:
+    """``metrics_by`` fold and species: one row per model."""
+    return metrics_by(scores, LABEL_KEYS)
+
+
+def defined_only(per_label: DataFrame) -> DataFrame:
+    """Per-species view: AUC and F1 need both classes, AP needs a positive; else NULL."""
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
-    return (
-        ranking_by(scores, LABEL_KEYS)
-        .join(f1_by(scores, LABEL_KEYS), LABEL_KEYS)
-        .select(*LABEL_KEYS, "roc_auc", "pr_auc", F.when(both, F.col("f1")).alias("f1"))
-    )
+    return per_label.withColumn("f1", F.when(both, F.col("f1")))
 
 
-def f1_per_fold(scores: DataFrame) -> DataFrame:
+def f1_per_fold(per_label: DataFrame) -> DataFrame:
     """Micro F1 (pooled counts) and macro F1 (mean over species, 0/0 = 0) per fold."""
-    per_label = f1_by(scores, LABEL_KEYS)
-    tp, fp, fn = (F.sum(name) for name in ("tp", "fp", "fn"))
-    return per_label.groupBy("fold").agg(
-        measures.f1(tp, fp, fn).alias("micro_f1"), F.avg("f1").alias("macro_f1")
-    )
+    pooled = measures.f1(F.sum("tp"), F.sum("fp"), F.sum("fn"))
+    return per_label.groupBy("fold").agg(pooled.alias("micro_f1"), F.avg("f1").alias("macro_f1"))
 
 
-def ranking_per_fold(scores: DataFrame) -> DataFrame:
-    """Micro and macro AUC / AP per fold.
+def fold_metrics(scores: DataFrame, per_label: DataFrame) -> DataFrame:
+    """The six metrics of each fold.
 
     The macro AUC is undefined as soon as one species is; a species without a positive
     enters the averaged AP as 0.
     """
     zero = F.lit(0.0)
-    micro = ranking_by(scores, FOLD_KEYS).select(
-        "fold", F.col("roc_auc").alias("roc_auc_micro"),
+    micro = metrics_by(scores, FOLD_KEYS).select(
+        "fold",
+        F.col("roc_auc").alias("roc_auc_micro"),
         F.coalesce("pr_auc", zero).alias("pr_auc_micro"),
+        F.col("f1").alias("f1_micro"),
     )
     complete = F.count("roc_auc") == F.count("*")
-    macro = ranking_by(scores, LABEL_KEYS).groupBy("fold").agg(
+    macro = per_label.groupBy("fold").agg(
         F.when(complete, F.avg("roc_auc")).alias("roc_auc_macro"),
         F.avg(F.coalesce("pr_auc", zero)).alias("pr_auc_macro"),
+        F.avg("f1").alias("f1_macro"),
     )
     return micro.join(macro, "fold")
 
 
-def fold_metrics(scores: DataFrame) -> DataFrame:
-    """The six metrics of each fold."""
-    f1 = f1_per_fold(scores).select(
-        "fold", F.col("micro_f1").alias("f1_micro"), F.col("macro_f1").alias("f1_macro")
-    )
-    return ranking_per_fold(scores).join(f1, "fold").select(
-        "fold", "roc_auc_micro", "pr_auc_micro", "f1_micro",
-        "roc_auc_macro", "pr_auc_macro", "f1_macro",
-    )
-
-
-def species_means(per_fold: DataFrame) -> DataFrame:
+def species_means(per_label: DataFrame) -> DataFrame:
     """Mean over folds of each species' metrics, undefined folds left out."""
     names = ("roc_auc", "pr_auc", "f1")
-    return per_fold.groupBy("taxon_id").agg(*[F.avg(name).alias(name) for name in names])
+    return defined_only(per_label).groupBy("taxon_id").agg(
+        *[F.avg(name).alias(name) for name in names]
+    )
 
 
 def fold_table(per_fold: DataFrame) -> DataFrame:
@@ -163,15 +176,18 @@ def fold_table(per_fold: DataFrame) -> DataFrame:
 
 def species_table(per_species: DataFrame, per_fold: DataFrame) -> DataFrame:
     """``taxon_id, roc_auc, pr_auc, f1`` per species with closing ``micro`` and ``macro`` rows."""
-    rows = per_species.select(
-        F.col("taxon_id").cast("string").alias("taxon_id"), "roc_auc", "pr_auc", "f1"
-    )
-    for level in ("micro", "macro"):
-        means = per_fold.agg(
-            *[F.avg(f"{name}_{level}").alias(name) for name in ("roc_auc", "pr_auc", "f1")]
-        )
-        rows = rows.unionByName(means.select(F.lit(level).alias("taxon_id"), "roc_auc", "pr_auc", "f1"))
-    return rows
+    names = ("roc_auc", "pr_auc", "f1")
+    rows = per_species.select(F.col("taxon_id").cast("string").alias("taxon_id"), *names)
+    summary = F.array(
+        *[
+            F.struct(
+                F.lit(level).alias("taxon_id"),
+                *[F.avg(f"{name}_{level}").alias(name) for name in names],
+            )
+            for level in ("micro", "macro")
+        ]
+    )
+    return rows.unionByName(per_fold.agg(summary.alias("rows")).select(F.inline("rows")))
 
 
 def cv_log(per_fold: DataFrame, topk: int, cv_splits: int, model: str, seed: int) -> DataFrame:

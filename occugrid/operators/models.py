@@ -22,17 +22,17 @@ class Dataset:
 
     rows: DataFrame
     top: DataFrame
-    k: int
+    n_labels: int
     n_splits: int
     feature_columns: list[str]
 
     def grid(self) -> DataFrame:
         """Long label table: every region with every label."""
-        return labels.label_grid(self.rows, self.top, self.k)
+        return labels.label_grid(self.rows, self.n_labels)
 
     def wide(self) -> DataFrame:
         """Region rows with the 0/1 label list, in popularity order."""
-        return self.rows.withColumn("labels", labels.label_array(self.top, self.k))
+        return self.rows.withColumn("labels", labels.label_array(self.n_labels))
 
     def folds(self) -> range:
         return range(1, self.n_splits + 1)
@@ -45,19 +45,27 @@ def check_kind(model: str) -> str:
 
 
 def prepare(
-    features: DataFrame, top: DataFrame, k: int, n_splits: int, keep_unlabelled: bool
+    features: DataFrame, top: DataFrame, n_splits: int, keep_unlabelled: bool
 ) -> Dataset:
-    """Build the dataset and write its two tables once; every fit reads them again."""
+    """Build the dataset in two passes over the features: one for ``top``, one for the regions.
+
+    Each step is written, so the folds and every later fit only read small tables.
+    """
     top = storage.written_table(top, "labels")
-    rows = labels.labelled_regions(features, top, k, keep_unlabelled)
-    rows = labels.one_hot_hemisphere(labels.assign_folds(rows, n_splits))
-    rows = storage.written_table(rows, "regions", spread_by="region")
-    return Dataset(rows, top, k, n_splits, labels.feature_columns(rows))
+    n_labels = top.count()
+    rows = storage.written_table(
+        labels.labelled_regions(features, top, n_labels, keep_unlabelled), "regions"
+    )
+    rows = storage.written_table(
+        labels.one_hot_hemisphere(labels.assign_folds(rows, n_splits)), "folds", spread_by="region"
+    )
+    return Dataset(rows, top, n_labels, n_splits, labels.feature_columns(rows))
 
 
-def _with_taxa(scores: DataFrame, top: DataFrame) -> DataFrame:
-    named = scores.join(F.broadcast(top.select("label_rank", "taxon_id")), "label_rank")
-    return named.select("fold", "region", "taxon_id", "label_rank", "y", "p", "yhat")
+def _score_columns(scores: DataFrame, top: DataFrame) -> DataFrame:
+    return labels.with_taxa(scores, top).select(
+        "fold", "region", "taxon_id", "label_rank", "y", "p", "yhat"
+    )
 
 
 def cross_validate(
@@ -68,11 +76,12 @@ def cross_validate(
     grid = data.grid()
     if check_kind(model) == "lr":
         models = logistic.fit(grid, data.feature_columns, data.folds(), max_iter)
-        return logistic.predict(grid, models.table(spark), data.feature_columns)
+        scores = logistic.predict(grid, models.table(spark), data.feature_columns)
+        return _score_columns(scores, data.top)
     vectors = forest.assemble(data.wide(), data.feature_columns)
     counts = logistic.class_counts(grid, data.folds())
     path = storage.new_table_path(spark, "scores")
-    return _with_taxa(forest.held_out_scores(vectors, counts, forest_params, path), data.top)
+    return _score_columns(forest.held_out_scores(vectors, counts, forest_params, path), data.top)
 
 
 def fit_final(
@@ -121,7 +130,8 @@ def predict(spark: SparkSession, path: str, data: Dataset) -> DataFrame:
     metadata = spark.read.parquet(f"{path}/metadata").orderBy("label_rank").collect()
     kind, columns = metadata[0]["model"], list(metadata[0]["feature_columns"])
     if kind == "lr":
-        return logistic.predict(data.grid(), spark.read.parquet(f"{path}/weights"), columns)
+        scores = logistic.predict(data.grid(), spark.read.parquet(f"{path}/weights"), columns)
+        return _score_columns(scores, data.top)
     vectors = forest.assemble(data.wide(), columns)
     scored = None
     for row in metadata:
@@ -133,4 +143,4 @@ def predict(spark: SparkSession, path: str, data: Dataset) -> DataFrame:
         )
         one = forest.score_one(vectors, rank, fitted).withColumn("label_rank", F.lit(rank))
         scored = one if scored is None else scored.unionByName(one)
-    return _with_taxa(scored, data.top)
+    return _score_columns(scored, data.top)

@@ -11,12 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from occugrid import storage
+from occugrid import schemas, storage
 from occugrid.operators import density, labels, metrics, models, occupancy, presence
 from occugrid.operators.cooccurrence import cooccurrence
 from occugrid.operators.forest import ForestParams
 from occugrid.plans import feature_build, modelling
-from occugrid.sources import events
+from occugrid.sources import events, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,11 +42,30 @@ def joined_text(column: str):
     return F.array_join(F.col(column).cast("array<string>"), ",").alias(column)
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+_PATHS: dict[tuple[str, str, str], str] = {}
+
+
+def _written(
+    spark: SparkSession, sf_dir: str, build: Query, schema: str
+) -> DataFrame:
+    """The table of ``build``, written once per application as a separate job would do."""
+    key = (spark.sparkContext.applicationId, build.__name__, sf_dir)
+    if key not in _PATHS:
+        path = storage.new_table_path(spark, build.__name__)
+        build(spark, sf_dir).write.parquet(path)
+        _PATHS[key] = path
+    return tables.read_table(spark, _PATHS[key], schema)
+
+
+def build_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, extra = events.train_and_extra(spark, sf_dir)
     return feature_build.train_features(train, extra, events.taxa(spark, sf_dir))
 
 
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir, build_features, schemas.TRAIN_FEATURES)
+
+
 def _support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occupancy.species_support(occupancy.occupancy(features(spark, sf_dir)))
 
@@ -56,7 +75,7 @@ def _top(spark: SparkSession, sf_dir: str, k: int = TOP_K) -> DataFrame:
 
 
 def observation_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(features(spark, sf_dir).drop("row_id"), "sin_lon", "cos_lon")
+    return rounded(build_features(spark, sf_dir).drop("row_id"), "sin_lon", "cos_lon")
 
 
 def test_location_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +90,7 @@ def region_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def top_species_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = labels.top_species_lists(
-        occupancy.region_baskets(features(spark, sf_dir)), _top(spark, sf_dir), TOP_K
+        occupancy.region_baskets(features(spark, sf_dir)), _top(spark, sf_dir)
     )
     return lists.filter(F.size("species_topk") > 0).select("region", joined_text("species_topk"))
 
@@ -168,12 +187,14 @@ def one_species_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return presence.observations_of(every, random_species(spark, sf_dir))
 
 
+def _prepared(spark: SparkSession, sf_dir: str, k: int, keep_unlabelled: bool) -> models.Dataset:
+    return modelling.dataset(features(spark, sf_dir), k, N_SPLITS, keep_unlabelled)
+
+
 def _dataset(keep_unlabelled: bool) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        table = modelling.region_table(
-            features(spark, sf_dir), _top(spark, sf_dir), TOP_K, N_SPLITS, keep_unlabelled
-        )
-        return rounded(table, "sin_lon", "cos_lon").select(
+        wide = _prepared(spark, sf_dir, TOP_K, keep_unlabelled).wide()
+        return rounded(wide, "sin_lon", "cos_lon").select(
             "region", "grid_lat", "grid_lon", "sin_lon", "cos_lon", "hemisphere_S",
             "group_key", "fold", F.array_join(F.col("labels").cast("array<string>"), "").alias("labels"),
         )
@@ -182,69 +203,70 @@ def _dataset(keep_unlabelled: bool) -> Query:
 
 
 def multilabel_matrix_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = _top(spark, sf_dir)
-    rows = labels.labelled_regions(features(spark, sf_dir), top, TOP_K, keep_unlabelled=True)
-    return labels.label_grid(rows, top, TOP_K).select("region", "taxon_id", "label_rank", "y")
+    data = _prepared(spark, sf_dir, TOP_K, keep_unlabelled=True)
+    return labels.with_taxa(data.grid(), data.top).select("region", "taxon_id", "label_rank", "y")
 
 
 def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folds of both populations: all regions, and those with a top species."""
-    top = _top(spark, sf_dir)
-    parts = []
-    for name, keep in (("all", True), ("labelled", False)):
-        rows = labels.labelled_regions(features(spark, sf_dir), top, TOP_K, keep)
-        parts.append(
-            labels.assign_folds(rows, N_SPLITS).select(
-                F.lit(name).alias("population"), "region", "group_key", "fold"
-            )
+    parts = [
+        _prepared(spark, sf_dir, TOP_K, keep).rows.select(
+            F.lit(name).alias("population"), "region", "group_key", "fold"
         )
+        for name, keep in (("all", True), ("labelled", False))
+    ]
     return parts[0].unionByName(parts[1])
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic scores with many ties: every region x the 5 most widespread species."""
-    top = _top(spark, sf_dir, SCORED_K)
-    rows = labels.labelled_regions(features(spark, sf_dir), top, SCORED_K, keep_unlabelled=True)
-    grid = labels.label_grid(labels.assign_folds(rows, N_SPLITS), top, SCORED_K)
+    data = _prepared(spark, sf_dir, SCORED_K, keep_unlabelled=True)
     spread = (F.abs("grid_lat") * 7 + F.abs("grid_lon") * 3 + F.col("taxon_id")) % 33
     p = spread / F.lit(64.0) + F.when(F.col("y") == 1, 0.25).otherwise(0.0)
-    return grid.select(
+    return labels.with_taxa(data.grid(), data.top).select(
         "fold", "region", "taxon_id", "label_rank", "y", p.alias("p"), (p > 0.5).cast("int").alias("yhat")
     )
 
 
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir, build_scores, schemas.SCORES)
+
+
+def _confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.confusion(scores(spark, sf_dir), metrics.LABEL_KEYS)
+
+
 def f1_micro_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.f1_per_fold(scores(spark, sf_dir)), "micro_f1", "macro_f1")
+    return rounded(metrics.f1_per_fold(_confusion(spark, sf_dir)), "micro_f1", "macro_f1")
 
 
 def f1_per_species(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per_label = metrics.f1_by(scores(spark, sf_dir), metrics.LABEL_KEYS)
-    return rounded(per_label, "f1").select("fold", "taxon_id", "tp", "fp", "fn", "f1")
+    return rounded(_confusion(spark, sf_dir), "f1")
+
+
+def _fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = scores(spark, sf_dir)
+    return metrics.fold_metrics(every, metrics.label_metrics(every))
 
 
 def ranking_micro_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(
-        metrics.ranking_per_fold(scores(spark, sf_dir)),
-        "roc_auc_micro", "pr_auc_micro", "roc_auc_macro", "pr_auc_macro",
-    )
+    names = [name for name in SIX_METRICS if not name.startswith("f1")]
+    return rounded(_fold_metrics(spark, sf_dir).select("fold", *names), *names)
 
 
 def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(
-        metrics.ranking_by(scores(spark, sf_dir), metrics.LABEL_KEYS), "roc_auc"
-    ).select("fold", "taxon_id", "roc_auc")
+    per_label = metrics.label_metrics(scores(spark, sf_dir))
+    return rounded(per_label.select("fold", "taxon_id", "roc_auc"), "roc_auc")
 
 
 def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(
-        metrics.ranking_by(scores(spark, sf_dir), metrics.LABEL_KEYS), "pr_auc"
-    ).select("fold", "taxon_id", "pr_auc")
+    per_label = metrics.label_metrics(scores(spark, sf_dir))
+    return rounded(per_label.select("fold", "taxon_id", "pr_auc"), "pr_auc")
 
 
 def fold_metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(
-        metrics.fold_table(metrics.f1_per_fold(scores(spark, sf_dir))), "micro_f1", "macro_f1"
-    )
+    table = metrics.fold_table(metrics.f1_per_fold(_confusion(spark, sf_dir)))
+    return rounded(table, "micro_f1", "macro_f1")
 
 
 def species_metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,9 +276,8 @@ def species_metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cv_log_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run log of the score fixture, unfolded again."""
-    log = metrics.cv_log(metrics.fold_metrics(scores(spark, sf_dir)), SCORED_K, N_SPLITS, "lr", 42)
-    unfolded = log.select("params.*", F.inline("folds"))
-    return rounded(unfolded, *SIX_METRICS)
+    log = metrics.cv_log(_fold_metrics(spark, sf_dir), SCORED_K, N_SPLITS, "lr", 42)
+    return rounded(log.select("params.*", F.inline("folds")), *SIX_METRICS)
 
 
 def loc2spec_cv_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,7 +300,8 @@ def spec2loc_cv_metrics_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cv_log_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = modelling.dataset(features(spark, sf_dir), TOP_K, N_SPLITS, keep_unlabelled=True)
     held_out = storage.written_table(models.cross_validate(data, "lr"), "scores")
-    return metrics.cv_log(metrics.fold_metrics(held_out), TOP_K, N_SPLITS, "lr", 42)
+    per_fold = metrics.fold_metrics(held_out, metrics.label_metrics(held_out))
+    return metrics.cv_log(per_fold, TOP_K, N_SPLITS, "lr", 42)
 
 
 def _final_predictions(kind: str, k: int) -> Query:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from occugrid.operators import labels, metrics, models, occupancy
+from occugrid import storage
+from occugrid.operators import metrics, models, occupancy
 from occugrid.operators.forest import ForestParams
 from occugrid.sources import tables
 
@@ -21,14 +22,7 @@ def dataset(
     top = occupancy.top_species(
         occupancy.species_support(occupancy.occupancy(features)), top_k
     )
-    return models.prepare(features, top, top_k, cv_splits, keep_unlabelled)
-
-
-def region_table(features: DataFrame, top: DataFrame, k: int, n_splits: int, keep_unlabelled: bool) -> DataFrame:
-    """The same dataset as one lazy table: inputs, group, fold and label list per region."""
-    rows = labels.labelled_regions(features, top, k, keep_unlabelled)
-    rows = labels.one_hot_hemisphere(labels.assign_folds(rows, n_splits))
-    return rows.withColumn("labels", labels.label_array(top, k))
+    return models.prepare(features, top, cv_splits, keep_unlabelled)
 
 
 def location_to_species_metrics(
@@ -36,14 +30,19 @@ def location_to_species_metrics(
 ) -> DataFrame:
     """``fold, micro_f1, macro_f1`` of the forests, with the mean row."""
     scores = models.cross_validate(data, "rf", forest_params=forest_params)
-    return metrics.fold_table(metrics.f1_per_fold(scores))
+    per_label = metrics.confusion(scores, metrics.LABEL_KEYS)
+    return metrics.fold_table(metrics.f1_per_fold(per_label))
 
 
 def species_to_location_tables(scores: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per-fold metrics, and the species table in popularity order with its summary rows."""
-    per_fold = metrics.fold_metrics(scores)
-    per_species = metrics.species_means(metrics.species_metrics(scores))
-    return per_fold, metrics.species_table(per_species, per_fold)
+    """Per-fold metrics and the species table with its summary rows.
+
+    Both derive from one row per model and one per fold; these are written, so the scores
+    are read once for each.
+    """
+    per_label = storage.written_table(metrics.label_metrics(scores), "label_metrics")
+    per_fold = storage.written_table(metrics.fold_metrics(scores, per_label), "fold_metrics")
+    return per_fold, metrics.species_table(metrics.species_means(per_label), per_fold)
 
 
 def run_location_to_species(
@@ -85,7 +84,7 @@ def run_species_to_location(
     params = forest_params or ForestParams(seed=seed)
     features = tables.read_train_features(spark, train_features, fmt)
     data = dataset(features, topk, cv_splits, keep_unlabelled=True)
-    scores = models.cross_validate(data, model, forest_params=params)
+    scores = storage.written_table(models.cross_validate(data, model, forest_params=params), "scores")
     per_fold, table = species_to_location_tables(scores)
     rank = F.broadcast(data.top.select(F.col("taxon_id").cast("string").alias("taxon_id"), "label_rank"))
     summary_last = F.coalesce("label_rank", F.when(F.col("taxon_id") == "micro", topk).otherwise(topk + 1))
