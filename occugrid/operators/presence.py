@@ -31,11 +31,10 @@ def absence_counts(presence: DataFrame, locations: DataFrame) -> DataFrame:
 
 
 def locations_of(presence: DataFrame, locations: DataFrame, species: DataFrame) -> DataFrame:
-    """Test locations of the one species in ``species``, each marked present or absent."""
+    """Every test location, marked present or absent for the one species in ``species``."""
     chosen = present_locations(presence.join(species.select("taxon_id"), "taxon_id", "left_semi"))
-    present = locations.join(chosen, "loc_id", "left_semi").withColumn("kind", F.lit("present"))
-    absent = locations.join(chosen, "loc_id", "left_anti").withColumn("kind", F.lit("absent"))
-    return present.unionByName(absent)
+    kind = F.when(F.col("taxon_id").isNotNull(), "present").otherwise("absent")
+    return locations.join(chosen, "loc_id", "left").withColumn("kind", kind).drop("taxon_id")
 
 
 def observations_of(observations: DataFrame, species: DataFrame) -> DataFrame:

@@ -1,0 +1,124 @@
+import random
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import pytest
+
+from occugrid import schemas
+from occugrid.operators import occupancy as occ
+from occugrid.operators.cooccurrence import cooccurrence, shared_regions
+
+
+def random_records(seed, n=400, species=12):
+    rng = random.Random(seed)
+    return [
+        (i, rng.uniform(-12, 12), rng.uniform(-20, 20), 100 + min(rng.randrange(species), rng.randrange(species)))
+        for i in range(n)
+    ]
+
+
+def baskets_of(features):
+    regions = defaultdict(set)
+    for row in features.select("region", "taxon_id").collect():
+        regions[row.region].add(row.taxon_id)
+    return dict(sorted(regions.items()))
+
+
+def popularity(baskets):
+    counts = Counter()
+    for region in baskets:
+        counts.update(sorted(baskets[region]))
+    return counts
+
+
+def brute_force(baskets, min_support, min_pairs):
+    counts = popularity(baskets)
+    ranked = [s for s, n in counts.most_common() if n >= min_support]
+    total = len(baskets)
+    rows = {}
+    for a, b in combinations(ranked, 2):
+        n_ab = sum(a in basket and b in basket for basket in baskets.values())
+        if n_ab >= min_pairs:
+            sa, sb, sab = counts[a] / total, counts[b] / total, n_ab / total
+            rows[a, b] = (counts[a], counts[b], n_ab, n_ab / (counts[a] + counts[b] - n_ab),
+                          n_ab / counts[b], sab / (sa * sb))
+    return rows
+
+
+@pytest.mark.parametrize("seed, per_block", [(1, 256), (2, 3), (3, 1)])
+@pytest.mark.parametrize("min_support, min_pairs", [(3, 2), (1, 0), (10, 5)])
+def test_equals_brute_force_for_any_block_size(make_features, seed, per_block, min_support, min_pairs):
+    features = make_features(random_records(seed))
+    pairs = cooccurrence(features, min_support, min_pairs, species_per_block=per_block).collect()
+    ours = {
+        (p.species_a, p.species_b): (p.n_a, p.n_b, p.n_ab, p.jaccard, p.p_a_given_b, p.lift)
+        for p in pairs
+    }
+    assert len(ours) == len(pairs)
+    assert ours == brute_force(baskets_of(features), min_support, min_pairs)
+    lifts = [p.lift for p in pairs]
+    assert lifts == sorted(lifts, reverse=True)
+
+
+def test_bounds_hold(make_features):
+    for p in cooccurrence(make_features(random_records(5)), 2, 1).collect():
+        assert p.n_ab <= p.n_b <= p.n_a
+        assert 0 < p.jaccard <= 1
+
+
+def test_zero_threshold_returns_pairs_that_never_meet(make_features):
+    features = make_features([(0, 1.5, 1.5, 1), (1, 2.5, 1.5, 2), (2, 3.5, 1.5, 3)])
+    pairs = cooccurrence(features, 1, 0, species_per_block=1).collect()
+    assert [(p.species_a, p.species_b, p.n_ab, p.lift) for p in pairs] == [
+        (1, 2, 0, 0.0), (1, 3, 0, 0.0), (2, 3, 0, 0.0)
+    ]
+
+
+def test_no_pair_gives_the_full_schema(spark, make_features):
+    empty = cooccurrence(make_features([(0, 1.0, 1.0, 1)]))
+    assert empty.count() == 0
+    expected = spark.createDataFrame([], schemas.PAIRS).schema
+    assert [(f.name, f.dataType) for f in empty.schema] == [(f.name, f.dataType) for f in expected]
+
+
+def test_support_and_rank_follow_first_appearance(make_features):
+    features = make_features(random_records(7, n=120, species=30))
+    counts = popularity(baskets_of(features))
+    for k in (1, 10, 50):
+        top = occ.top_species(occ.species_support(occ.occupancy(features)), k)
+        ours = [(r.taxon_id, r.n_regions) for r in top.orderBy("label_rank").collect()]
+        assert ours == counts.most_common(k)
+
+
+def test_masks_cover_tiles_on_both_sides_of_zero(make_features):
+    records = [(i, lat + 0.5, lon + 0.5, 1) for i, (lat, lon) in enumerate(
+        (lat, lon) for lat in range(-9, 9) for lon in range(-9, 9))]
+    features = make_features(records)
+    occupied = occ.occupancy(features)
+    assert occ.total_regions(occupied).first()[0] == 18 * 18
+    support = occ.species_support(occupied).first()
+    assert support.n_regions == 18 * 18
+    assert support.first_region == min(baskets_of(features))
+
+
+def test_last_named_record_wins(spark):
+    features = spark.createDataFrame(
+        [(0, 5, "a"), (1, 5, "b"), (2, 5, "a"), (3, 6, "c"), (4, 6, None)],
+        "row_id BIGINT, taxon_id BIGINT, taxon_name STRING",
+    )
+    names = {r.taxon_id: r.taxon_name for r in occ.species_names(features).collect()}
+    assert names == {5: "b", 6: None}
+
+
+def test_a_given_name_table_replaces_the_names_of_the_features(spark, make_features):
+    features = make_features([(0, 1.0, 1.0, 1), (1, 1.2, 1.0, 2)])
+    names = spark.createDataFrame([(1, "one"), (2, "two")], schemas.TAXA)
+    (pair,) = cooccurrence(features, 1, 1, names).collect()
+    assert (pair.species_a_name, pair.species_b_name) == ("one", "two")
+
+
+def test_only_qualifying_pairs_leave_the_tasks(make_features):
+    features = make_features(random_records(9))
+    occupied = occ.occupancy(features)
+    shared = shared_regions(occupied, occ.species_support(occupied), 4, species_per_block=4)
+    assert min(r.n_ab for r in shared.collect()) >= 4

@@ -1,0 +1,32 @@
+"""Every query with an SQL equivalent returns the same rows as DuckDB."""
+
+from collections import Counter
+
+import pytest
+
+from occugrid.plans import catalog, oracle
+
+
+@pytest.mark.parametrize("name", sorted(oracle.ORACLE))
+def test_query_equals_sql(spark, duck, sf_dir, name):
+    ours = catalog.QUERIES[name](spark, sf_dir)
+    theirs = duck.sql(oracle.ORACLE[name])
+    columns = sorted(ours.columns)
+    assert sorted(theirs.columns) == columns
+    order = [theirs.columns.index(column) for column in columns]
+    expected = Counter(tuple(row[i] for i in order) for row in theirs.fetchall())
+    assert Counter(tuple(row) for row in ours.select(*columns).collect()) == expected
+
+
+def test_every_query_but_the_fits_has_sql():
+    fitted = {"loc2spec_cv_metrics", "spec2loc_cv_metrics_lr", "spec2loc_cv_metrics_rf", "cv_log",
+              "final_model_predictions_lr", "final_model_predictions_rf"}
+    assert set(catalog.QUERIES) - set(oracle.ORACLE) == fitted
+
+
+def test_entry_returns_pairs(spark):
+    import __spark_entry__ as contract
+
+    pairs = contract.entry(spark)
+    assert pairs.count() == 781
+    assert set(contract.oracle_sql()) <= set(contract.queries())
