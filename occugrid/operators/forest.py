@@ -84,7 +84,7 @@ def for_each_model(
         use(fold, rank, fit_one(rows, rank, fold, params) if constant is None else constant)
 
     with ThreadPoolExecutor(params.parallelism) as pool:
-        for _ in pool.map(inheritable_thread_target(grow), counts):
+        for _ in pool.map(inheritable_thread_target(rows.sparkSession)(grow), counts):
             pass
 
 
