@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FINAL = 0  # model of the whole table: no row has fold 0, so nothing is held out
@@ -81,11 +81,8 @@ def single_class(n: int, positives: int) -> float | None:
     return 1.0 if positives == n else None
 
 
-def _linear(names: list[str], prefix: str) -> Column:
-    total = F.col(f"{prefix}intercept")
-    for name in names:
-        total = total + F.col(f"{prefix}{name}") * F.col(name)
-    return total
+def _linear(names: list[str]) -> str:
+    return " + ".join(["w_intercept", *[f"w_{name} * {name}" for name in names]])
 
 
 def _sums(grid: DataFrame, trials: DataFrame, names: list[str]) -> dict:
@@ -93,31 +90,31 @@ def _sums(grid: DataFrame, trials: DataFrame, names: list[str]) -> dict:
 
     ``trials`` has one row per model still running (folds x labels), hence the broadcast.
     """
-    joined = grid.join(F.broadcast(trials), "label_rank").filter(
-        F.col("fold") != F.col("model_fold")
-    )
-    z = _linear(names, "w_")
-    y = F.col("y").cast("double")
-    cost = F.when(F.col("y") == 1, F.col("cost_pos")).otherwise(F.col("cost_neg"))
-    signed = F.when(F.col("y") == 1, z).otherwise(-z)
-    prepared = joined.select(
-        "model_fold",
-        "label_rank",
-        *[F.col(name).cast("double").alias(name) for name in names],
-        cost.alias("cost"),
-        y.alias("target"),
-        (F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).alias("p"),
-        (F.greatest(-signed, F.lit(0.0)) + F.log1p(F.exp(-F.abs(signed)))).alias("loss"),
-    )
-    inputs = [F.lit(1.0), *[F.col(name) for name in names]]
-    residual = F.col("cost") * (F.col("p") - F.col("target"))
-    curvature = F.col("cost") * F.col("p") * (F.lit(1.0) - F.col("p"))
+    inputs = ["1D", *names]
     size = len(inputs)
     upper = [(i, j) for i in range(size) for j in range(i, size)]
-    sums = prepared.groupBy("model_fold", "label_rank").agg(
-        F.sum(F.col("cost") * F.col("loss")).alias("loss"),
-        *[F.sum(residual * x).alias(f"g{i}") for i, x in enumerate(inputs)],
-        *[F.sum(curvature * inputs[i] * inputs[j]).alias(f"h{i}_{j}") for i, j in upper],
+    sums = (
+        grid.join(F.broadcast(trials), "label_rank")
+        .where("fold <> model_fold")
+        .selectExpr("*", f"{_linear(names)} AS z", "if(y = 1, cost_pos, cost_neg) AS cost")
+        .selectExpr("*", "if(y = 1, z, -z) AS margin", "1D / (1D + exp(-z)) AS p")
+        .selectExpr(
+            "model_fold",
+            "label_rank",
+            *names,
+            "cost * (greatest(-margin, 0D) + log1p(exp(-abs(margin)))) AS loss",
+            "cost * (p - y) AS residual",
+            "cost * p * (1D - p) AS curvature",
+        )
+        .groupBy("model_fold", "label_rank")
+        .agg(
+            F.expr("sum(loss) AS loss"),
+            *[F.expr(f"sum(residual * {x}) AS g{i}") for i, x in enumerate(inputs)],
+            *[
+                F.expr(f"sum(curvature * {inputs[i]} * {inputs[j]}) AS h{i}_{j}")
+                for i, j in upper
+            ],
+        )
     )
     result = {}
     for row in sums.collect():
@@ -192,18 +189,16 @@ def predict(grid: DataFrame, models: DataFrame, feature_columns: list[str]) -> D
     Rows of a validation fold meet the model that held that fold out; the final model
     (``model_fold`` 0) meets every row.
     """
-    z = _linear(feature_columns, "w_")
-    matched = grid.join(F.broadcast(models), "label_rank").filter(
-        (F.col("model_fold") == F.col("fold")) | (F.col("model_fold") == FINAL)
-    )
-    return matched.select(
-        "fold",
-        "region",
-        "label_rank",
-        "y",
-        F.coalesce(F.col("constant"), F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).alias("p"),
-        F.when(F.col("constant").isNotNull(), F.col("constant") > 0)
-        .otherwise(z > 0)
-        .cast("int")
-        .alias("yhat"),
+    return (
+        grid.join(F.broadcast(models), "label_rank")
+        .where(f"model_fold = fold OR model_fold = {FINAL}")
+        .selectExpr("*", f"{_linear(feature_columns)} AS z")
+        .selectExpr(
+            "fold",
+            "region",
+            "label_rank",
+            "y",
+            "coalesce(constant, 1D / (1D + exp(-z))) AS p",
+            "CAST(coalesce(constant > 0, z > 0) AS INT) AS yhat",
+        )
     )

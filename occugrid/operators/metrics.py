@@ -6,7 +6,7 @@ Scores: ``(fold, region, taxon_id, label_rank, y, p, yhat)``. An undefined value
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from occugrid.functions import measures
@@ -38,74 +38,73 @@ def cumulative_counts(scores: DataFrame, keys: list[str]) -> DataFrame:
     log-odds of the score, an order-preserving function: totals of the bands above plus the
     sum inside the band. So no single task sorts all scores of a fold.
     """
-    p, y, yhat = F.col("p"), F.col("y"), F.col("yhat")
-    steps = F.floor(F.log2(F.try_divide(p, 1.0 - p)) * 16).cast("int")
+    steps = "CAST(floor(log2(try_divide(p, 1D - p)) * 16) AS INT)"
     band = (
-        F.when(p >= 1.0, BANDS)
-        .when(p <= 0.0, -BANDS)
-        .otherwise(F.greatest(F.lit(1 - BANDS), F.least(F.lit(BANDS - 1), steps)))
+        f"CASE WHEN p >= 1 THEN {BANDS} WHEN p <= 0 THEN -{BANDS} "
+        f"ELSE greatest(1 - {BANDS}, least({BANDS} - 1, {steps})) END AS band"
     )
     counted = (
         scores.groupBy(*keys, "p")
         .agg(
-            F.sum(y).alias("pos"),
-            F.sum(1 - y).alias("neg"),
-            F.sum(y * yhat).alias("hit"),
-            F.sum((1 - y) * yhat).alias("miss"),
+            F.expr("sum(y) AS pos"),
+            F.expr("sum(1 - y) AS neg"),
+            F.expr("sum(y * yhat) AS hit"),
+            F.expr("sum((1 - y) * yhat) AS miss"),
         )
-        .withColumn("band", band)
+        .selectExpr("*", band)
     )
+    partition = ", ".join(keys)
     higher = (
-        Window.partitionBy(*keys)
-        .orderBy(F.col("band").desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
+        f"(PARTITION BY {partition} ORDER BY band DESC "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     )
-    zero = F.lit(0).cast("bigint")
     totals = (
         counted.groupBy(*keys, "band")
-        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .select(
+        .agg(F.expr("sum(pos) AS pos"), F.expr("sum(neg) AS neg"))
+        .selectExpr(
             *keys,
             "band",
-            F.coalesce(F.sum("pos").over(higher), zero).alias("pos_above"),
-            F.coalesce(F.sum("neg").over(higher), zero).alias("neg_above"),
+            f"coalesce(sum(pos) OVER {higher}, 0) AS pos_above",
+            f"coalesce(sum(neg) OVER {higher}, 0) AS neg_above",
         )
     )
     inside = (
-        Window.partitionBy(*keys, "band")
-        .orderBy(p.desc())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        f"(PARTITION BY {partition}, band ORDER BY p DESC "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     )
     return (
-        counted.withColumns(
-            {"pos_inside": F.sum("pos").over(inside), "neg_inside": F.sum("neg").over(inside)}
+        counted.selectExpr(
+            "*",
+            f"sum(pos) OVER {inside} AS pos_inside",
+            f"sum(neg) OVER {inside} AS neg_inside",
         )
         .join(totals, [*keys, "band"])
-        .withColumns(
-            {
-                "pos_upto": F.col("pos_above") + F.col("pos_inside"),
-                "neg_upto": F.col("neg_above") + F.col("neg_inside"),
-            }
+        .selectExpr(
+            *keys,
+            "pos",
+            "neg",
+            "hit",
+            "miss",
+            "CAST(pos_above + pos_inside AS DOUBLE) AS pos_upto",
+            "CAST(neg_above + neg_inside AS DOUBLE) AS neg_upto",
         )
     )
 
 
 def metrics_by(scores: DataFrame, keys: list[str]) -> DataFrame:
     """ROC-AUC (ties count half), step-wise average precision and F1 per key, with counts."""
-    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
-    pos_upto, neg_upto = F.col("pos_upto").cast("double"), F.col("neg_upto").cast("double")
     return (
         cumulative_counts(scores, keys)
         .groupBy(*keys)
         .agg(
-            F.sum(neg * (pos_upto - pos) + F.lit(0.5) * neg * pos).alias("area"),
-            F.sum(pos * pos_upto / (pos_upto + neg_upto)).alias("steps"),
-            F.sum("pos").alias("n_pos"),
-            F.sum("neg").alias("n_neg"),
-            F.sum("hit").alias("tp"),
-            F.sum("miss").alias("fp"),
+            F.expr("sum(neg * (pos_upto - pos) + 0.5D * neg * pos) AS area"),
+            F.expr("sum(pos * pos_upto / (pos_upto + neg_upto)) AS steps"),
+            F.expr("sum(pos) AS n_pos"),
+            F.expr("sum(neg) AS n_neg"),
+            F.expr("sum(hit) AS tp"),
+            F.expr("sum(miss) AS fp"),
         )
-        .withColumn("fn", F.col("n_pos") - F.col("tp"))
+        .selectExpr("*", "n_pos - tp AS fn")
         .select(
             *keys,
             "n_pos",
@@ -113,8 +112,8 @@ def metrics_by(scores: DataFrame, keys: list[str]) -> DataFrame:
             "tp",
             "fp",
             "fn",
-            F.try_divide(F.col("area"), F.col("n_pos").cast("double") * F.col("n_neg")).alias("roc_auc"),
-            F.try_divide(F.col("steps"), F.col("n_pos").cast("double")).alias("pr_auc"),
+            F.expr("try_divide(area, CAST(n_pos AS DOUBLE) * n_neg) AS roc_auc"),
+            F.expr("try_divide(steps, CAST(n_pos AS DOUBLE)) AS pr_auc"),
             measures.f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"),
         )
     )

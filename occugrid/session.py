@@ -11,6 +11,8 @@ DEFAULTS = {
     # Hot join keys are split at run time once a partition is both large and skewed.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the Python call site of every column expression doubles the planning time.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
 }
 
