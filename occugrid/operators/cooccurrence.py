@@ -92,14 +92,19 @@ def cooccurrence(
     """Pair table: counts, supports, Jaccard, P(a|b) and lift, strongest lift first.
 
     ``species_a`` is the more widespread of the two (ties as in the popularity order).
-    ``names`` holds one row per species; without it the names come from the features.
+    ``names`` holds one row per species; without it the names come from the features. A
+    species missing there is named "", a null name stays null.
     """
     occupied = occ.occupancy(features)
     support = occ.species_support(occupied)
     # A pair cannot share more regions than its rarer species has.
     kept = occ.frequent_species(support, max(min_species_support, min_pair_count))
     pairs = shared_regions(occupied, kept, min_pair_count, species_per_block)
-    named = kept.join(names if names is not None else occ.species_names(features), "taxon_id", "left")
+    known = names if names is not None else occ.species_names(features)
+    known = known.select("taxon_id", F.struct("taxon_name").alias("entry"))
+    named = kept.join(known, "taxon_id", "left").withColumn(
+        "taxon_name", F.when(F.col("entry").isNull(), "").otherwise(F.col("entry.taxon_name"))
+    )
     one = F.struct("n_regions", "first_region", "taxon_id", "taxon_name")
     x = named.select(F.col("taxon_id").alias("x"), one.alias("sx"))
     y = named.select(F.col("taxon_id").alias("y"), one.alias("sy"))

@@ -20,21 +20,34 @@ def hemisphere_counts(features: DataFrame) -> DataFrame:
 def histogram(points: DataFrame, column: str, bins: int = 60) -> DataFrame:
     """Equal-width bins over [min, max], last bin closed, empty bins as 0.
 
-    A constant column gets the range [value - 0.5, value + 0.5].
+    A constant column gets the range [value - 0.5, value + 0.5], an empty one [0, 1].
+    The quotient may round across an edge, so each value is checked against its bin's edges.
     """
-    bounds = points.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    flat = F.col("lo") == F.col("hi")
-    span = bounds.select(
+    flat = F.min(column) == F.max(column)
+    span = points.agg(
         F.struct(
-            F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-            F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
-        ).alias("span")
+            F.coalesce(F.when(flat, F.min(column) - 0.5).otherwise(F.min(column)), F.lit(0.0)).alias("lo"),
+            F.coalesce(F.when(flat, F.max(column) + 0.5).otherwise(F.max(column)), F.lit(1.0)).alias("hi"),
+        )
     ).scalar()
     lo, hi = span["lo"], span["hi"]
-    position = F.floor((F.col(column) - lo) / (hi - lo) * bins)
+
+    def edge(index: Column) -> Column:
+        return index * ((hi - lo) / bins) + lo
+
+    value, guess = F.col(column), F.col("guess")
+    last = F.lit(bins - 1).cast("bigint")
+    guessed = points.select(
+        value, F.least(F.floor((value - lo) / (hi - lo) * bins), last).alias("guess")
+    )
+    exact = (
+        F.when(value < edge(guess), guess - 1)
+        .when((guess < last) & (value >= edge(guess + 1)), guess + 1)
+        .otherwise(guess)
+    )
     counts = (
-        points.filter(F.col(column).isNotNull())
-        .groupBy(F.least(position, F.lit(bins - 1).cast("bigint")).alias("bin"))
+        guessed.filter(value.isNotNull())
+        .groupBy(exact.alias("bin"))
         .agg(F.count("*").alias("n"))
     )
     return (
@@ -43,12 +56,25 @@ def histogram(points: DataFrame, column: str, bins: int = 60) -> DataFrame:
         .join(counts, "bin", "left")
         .select(
             "bin",
-            (lo + F.col("bin") * (hi - lo) / bins).alias("bin_start"),
+            edge(F.col("bin")).alias("bin_start"),
             F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),
         )
     )
 
 
+def _widened(low: Column, high: Column) -> tuple[Column, Column]:
+    """A range without extent is opened by a tenth of its value (0.1 around zero)."""
+    singular = high - low <= F.greatest(F.abs(low), F.abs(high)) * 1e-15
+
+    def margin(end: Column) -> Column:
+        return F.when((low == 0) & (high == 0), 0.1).otherwise(F.abs(end) * 0.1)
+
+    return (
+        F.when(singular, low - margin(low)).otherwise(low),
+        F.when(singular, high + margin(high)).otherwise(high),
+    )
+
+
 def hexbin(points: DataFrame, gridsize: int = 80, mincnt: int = 1) -> DataFrame:
     """Counts on a hexagonal grid, ``gridsize`` cells wide, cells below ``mincnt`` left out.
 
@@ -56,12 +82,11 @@ def hexbin(points: DataFrame, gridsize: int = 80, mincnt: int = 1) -> DataFrame:
     belongs to the nearer of its two lattice candidates. ``i`` and ``j`` index the lattice.
     """
     nx, ny = gridsize, int(gridsize / math.sqrt(3))
+    xmin, xmax = _widened(F.min("lon"), F.max("lon"))
+    ymin, ymax = _widened(F.min("lat"), F.max("lat"))
     box = points.agg(
         F.struct(
-            F.min("lon").alias("xmin"),
-            F.max("lon").alias("xmax"),
-            F.min("lat").alias("ymin"),
-            F.max("lat").alias("ymax"),
+            xmin.alias("xmin"), xmax.alias("xmax"), ymin.alias("ymin"), ymax.alias("ymax")
         )
     ).scalar()
     padding = (box["xmax"] - box["xmin"]) * 1e-9

@@ -59,8 +59,9 @@ def cumulative_counts(scores: DataFrame, keys: list[str]) -> DataFrame:
         "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     )
     totals = (
-        counted.groupBy(*keys, "band")
-        .agg(F.expr("sum(pos) AS pos"), F.expr("sum(neg) AS neg"))
+        scores.selectExpr(*keys, "y", band)
+        .groupBy(*keys, "band")
+        .agg(F.expr("sum(y) AS pos"), F.expr("sum(1 - y) AS neg"))
         .selectExpr(
             *keys,
             "band",

@@ -59,7 +59,11 @@ def prepare(
     rows = storage.written_table(
         labels.one_hot_hemisphere(labels.assign_folds(rows, n_splits)), "folds", spread_by="region"
     )
-    return Dataset(rows, top, n_labels, n_splits, labels.feature_columns(rows))
+    columns = labels.feature_columns(rows)
+    n_groups = rows.select("group_key").distinct().count()
+    if not 2 <= n_splits <= n_groups:
+        raise ValueError(f"cannot split {n_groups} groups into {n_splits} folds")
+    return Dataset(rows, top, n_labels, n_splits, columns)
 
 
 def _score_columns(scores: DataFrame, top: DataFrame) -> DataFrame:

@@ -150,9 +150,13 @@ def _histogram(column: str) -> str:
 span AS (SELECT CASE WHEN min({column}) = max({column}) THEN min({column}) - 0.5 ELSE min({column}) END AS lo,
                 CASE WHEN min({column}) = max({column}) THEN max({column}) + 0.5 ELSE max({column}) END AS hi
          FROM feats),
-counts AS (SELECT least(CAST(floor(({column} - lo) / (hi - lo) * 60) AS BIGINT), 59) AS bin, count(*) AS n
-           FROM feats CROSS JOIN span GROUP BY 1)
-SELECT r.bin, round(lo + r.bin * (hi - lo) / 60, 9) AS bin_start, coalesce(c.n, 0) AS n
+guessed AS (SELECT {column} AS x, lo, (hi - lo) / 60 AS step,
+                   least(CAST(floor(({column} - lo) / (hi - lo) * 60) AS BIGINT), 59) AS g
+            FROM feats CROSS JOIN span),
+counts AS (SELECT CASE WHEN x < g * step + lo THEN g - 1
+                       WHEN g < 59 AND x >= (g + 1) * step + lo THEN g + 1 ELSE g END AS bin,
+                  count(*) AS n FROM guessed GROUP BY 1)
+SELECT r.bin, round(r.bin * ((hi - lo) / 60) + lo, 9) AS bin_start, coalesce(c.n, 0) AS n
 FROM (SELECT unnest(range(60)) AS bin) r CROSS JOIN span LEFT JOIN counts c USING (bin)""")
 
 

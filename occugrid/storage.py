@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+MAX_SPREAD = 128
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,13 +34,13 @@ def new_table_path(spark: SparkSession, name: str) -> str:
 def written_table(df: DataFrame, name: str, spread_by: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back: lineage is cut, and a lost executor costs nothing.
 
-    ``spread_by`` hash-partitions small tables over all cores before they are written, so
-    that repeated passes over them run in parallel.
+    ``spread_by`` hash-partitions a small table before it is written, so that the many passes
+    over it run in parallel; the number of files stays bounded on a large cluster.
     """
     spark = df.sparkSession
     path = new_table_path(spark, name)
     schema = df.schema
     if spread_by:
-        df = df.repartition(spark.sparkContext.defaultParallelism, spread_by)
+        df = df.repartition(min(spark.sparkContext.defaultParallelism, MAX_SPREAD), spread_by)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -23,6 +23,29 @@ def test_histogram_equals_numpy(points):
     assert [r.bin_start for r in rows] == pytest.approx(edges[:-1].tolist())
 
 
+@pytest.mark.parametrize("low, high, bins", [(-11, 12.75, 60), (-20, 147, 60), (0, 3, 60), (0.1, 0.7, 6)])
+def test_values_on_bin_edges(spark, low, high, bins):
+    values = [low + (high - low) * i / 600 for i in range(601)] + [low + i / 4 for i in range(int((high - low) * 4))]
+    values += np.linspace(low, high, bins + 1).tolist()
+    frame = spark.createDataFrame([(v,) for v in values], "x DOUBLE")
+    rows = density.histogram(frame, "x", bins).orderBy("bin").collect()
+    counts, edges = np.histogram(values, bins=bins)
+    assert [r.n for r in rows] == counts.tolist()
+    assert [r.bin_start for r in rows] == edges[:-1].tolist()
+
+
+def test_histogram_without_rows(spark):
+    rows = density.histogram(spark.createDataFrame([], "x DOUBLE"), "x", 4).orderBy("bin").collect()
+    assert [(r.bin_start, r.n) for r in rows] == [(0.0, 0), (0.25, 0), (0.5, 0), (0.75, 0)]
+
+
+def test_hexbin_of_one_position(spark):
+    frame = spark.createDataFrame([(4.0, 0.0)] * 3, "lat DOUBLE, lon DOUBLE")
+    (cell,) = density.hexbin(frame).collect()
+    assert cell.n == 3
+    assert (cell.lon, cell.lat) == pytest.approx((0.0, 4.0), abs=0.1)
+
+
 def test_histogram_of_a_constant_is_widened(spark):
     frame = spark.createDataFrame([(2.0,)] * 3, "lat DOUBLE")
     rows = density.histogram(frame, "lat").orderBy("bin").collect()

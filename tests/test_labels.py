@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from occugrid.operators import labels, models, occupancy
 
 
-def prepared(features, k, n_splits=5, keep=True):
+def prepared(features, k, n_splits=2, keep=True):
     top = occupancy.top_species(occupancy.species_support(occupancy.occupancy(features)), k)
     return models.prepare(features, top, n_splits, keep)
 
@@ -38,9 +38,13 @@ def test_regions_without_a_top_species_are_kept_or_dropped(make_features):
 
 
 def test_region_features_come_from_the_first_record(make_features):
-    features = make_features([(5, 0.5, 0.75, 1), (2, 0.25, 0.25, 2), (9, 0.1, 0.0, 1)])
+    features = make_features([(5, 0.5, 0.75, 1), (2, 0.25, 0.25, 2), (9, 0.1, 0.0, 1), (10, 5.0, 5.0, 1)])
     first = features.filter(F.col("row_id") == 2).first()
-    for row in (prepared(features, 2).rows.first(), occupancy.region_features(features).first()):
+    here = F.col("grid_lat") == 0
+    for row in (
+        prepared(features, 2).rows.filter(here).first(),
+        occupancy.region_features(features).filter(here).first(),
+    ):
         assert (row.sin_lon, row.cos_lon) == (first.sin_lon, first.cos_lon)
 
 
@@ -68,3 +72,10 @@ def test_top_species_lists(make_features):
     assert {r.region: (r.species_list, r.species_topk) for r in lists} == {
         "0°0°": ([1, 3], [3]), "1°0°": ([3], [3]), "2°0°": ([3, 9], [3])
     }
+
+
+@pytest.mark.parametrize("n_splits", [1, 3])
+def test_more_folds_than_groups_is_refused(make_features, n_splits):
+    features = make_features([(0, 0.5, 0.5, 1), (1, 1.5, 0.5, 1)])
+    with pytest.raises(ValueError):
+        prepared(features, 1, n_splits)
