@@ -30,9 +30,9 @@ def deduplicate(observations: DataFrame) -> DataFrame:
     return observations.groupBy("lat", "lon", "taxon_id").agg(F.min("row_id").alias("row_id"))
 
 
-def taxon_dimension(taxa: DataFrame, position: str | None = None) -> DataFrame:
+def taxon_dimension(taxa: DataFrame) -> DataFrame:
     """One name per id. With a ``position`` column the last entry of a duplicate id wins."""
-    order = F.col(position) if position else F.col("taxon_name")
+    order = F.col("position" if "position" in taxa.columns else "taxon_name")
     return (
         taxa.select(F.col("taxon_id").cast("bigint").alias("taxon_id"), "taxon_name", order.alias("at"))
         .groupBy("taxon_id")
@@ -41,10 +41,7 @@ def taxon_dimension(taxa: DataFrame, position: str | None = None) -> DataFrame:
 
 
 def attach_names(
-    observations: DataFrame,
-    taxa: DataFrame | None,
-    extra_taxa: DataFrame | None = None,
-    position: str | None = None,
+    observations: DataFrame, taxa: DataFrame | None, extra_taxa: DataFrame | None = None
 ) -> DataFrame:
     """Left lookup id -> name; no dimension means null names.
 
@@ -56,9 +53,9 @@ def attach_names(
     if taxa is None and extra_taxa is None:
         return observations.withColumn("taxon_name", F.lit(None).cast("string"))
     if extra_taxa is None:
-        return observations.join(taxon_dimension(taxa, position), "taxon_id", "left")
+        return observations.join(taxon_dimension(taxa), "taxon_id", "left")
     sided = [
-        taxon_dimension(side, position).withColumn("is_extra", F.lit(flag))
+        taxon_dimension(side).withColumn("is_extra", F.lit(flag))
         for side, flag in ((taxa, False), (extra_taxa, True))
         if side is not None
     ]

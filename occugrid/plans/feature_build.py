@@ -36,15 +36,23 @@ def run(
     taxa: str | None = None,
     extra_taxa: str | None = None,
     fmt: str = "parquet",
+    by_position: bool = False,
 ) -> dict[str, str]:
-    """Read the sources, write ``train_features`` and ``test_features`` under ``out_dir``."""
+    """Read the sources, write ``train_features`` and ``test_features`` under ``out_dir``.
+
+    ``by_position``: the sources have no id columns; a record is identified by its position.
+    """
+
+    def names(path: str | None) -> DataFrame | None:
+        return tables.read_taxa(spark, path, fmt, by_position) if path else None
+
     built = train_features(
-        tables.read_observations(spark, train, fmt),
-        tables.read_observations(spark, extra, fmt) if extra else None,
-        tables.read_taxa(spark, taxa, fmt) if taxa else None,
-        tables.read_taxa(spark, extra_taxa, fmt) if extra_taxa else None,
+        tables.read_observations(spark, train, fmt, by_position),
+        tables.read_observations(spark, extra, fmt, by_position) if extra else None,
+        names(taxa),
+        names(extra_taxa),
     )
-    tested = test_features(tables.read_test_locations(spark, test, fmt))
+    tested = test_features(tables.read_test_locations(spark, test, fmt, by_position))
     return {
         "train_features": tables.write_table(built, f"{out_dir}/train_features", fmt),
         "test_features": tables.write_table(tested, f"{out_dir}/test_features", fmt),

@@ -16,8 +16,9 @@ def run(
     min_pair_count: int = 20,
     fmt: str = "parquet",
     out_fmt: str = "csv",
+    by_position: bool = False,
 ) -> str:
     """Write the pair table, strongest lift first, as ``species_cooccurrence``."""
-    features = tables.read_train_features(spark, train_features, fmt)
+    features = tables.read_train_features(spark, train_features, fmt, by_position)
     pairs = cooccurrence(features, min_species_support, min_pair_count)
     return tables.write_table(pairs, f"{out_dir}/species_cooccurrence", out_fmt)

@@ -54,10 +54,11 @@ def run_location_to_species(
     seed: int = 42,
     forest_params: ForestParams | None = None,
     fmt: str = "parquet",
+    by_position: bool = False,
 ) -> dict[str, str]:
     """Cross-validate, write the metric table, fit on all regions and save the models."""
     params = forest_params or ForestParams(seed=seed)
-    data = dataset(tables.read_train_features(spark, train_features, fmt), topk, cv_splits)
+    data = dataset(tables.read_train_features(spark, train_features, fmt, by_position), topk, cv_splits)
     table = location_to_species_metrics(data, params)
     return {
         "metrics": tables.write_table(
@@ -78,11 +79,12 @@ def run_species_to_location(
     seed: int = 42,
     forest_params: ForestParams | None = None,
     fmt: str = "parquet",
+    by_position: bool = False,
 ) -> dict[str, str]:
     """Cross-validate, write metric table and run log, fit on all regions, save the models."""
     models.check_kind(model)
     params = forest_params or ForestParams(seed=seed)
-    features = tables.read_train_features(spark, train_features, fmt)
+    features = tables.read_train_features(spark, train_features, fmt, by_position)
     data = dataset(features, topk, cv_splits, keep_unlabelled=True)
     scores = storage.written_table(models.cross_validate(data, model, forest_params=params), "scores")
     per_fold, table = species_to_location_tables(scores)

@@ -19,9 +19,14 @@ def summaries(features: DataFrame) -> dict[str, DataFrame]:
 
 
 def run(
-    spark: SparkSession, train_features: str, out_dir: str, fmt: str = "parquet", out_fmt: str = "parquet"
+    spark: SparkSession,
+    train_features: str,
+    out_dir: str,
+    fmt: str = "parquet",
+    out_fmt: str = "parquet",
+    by_position: bool = False,
 ) -> dict[str, str]:
-    features = tables.read_train_features(spark, train_features, fmt)
+    features = tables.read_train_features(spark, train_features, fmt, by_position)
     return {
         name: tables.write_table(df, f"{out_dir}/{name}", out_fmt)
         for name, df in summaries(features).items()

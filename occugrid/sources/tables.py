@@ -2,47 +2,106 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from occugrid import schemas
 
 
-def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
+# Row ids derived from positions: file rank * 2**40 + row inside the file.
+ROWS_PER_FILE = 1 << 40
+
+
+def read_table(
+    spark: SparkSession, path: str, schema: str, fmt: str = "parquet", position: str | None = None
+) -> DataFrame:
     """Read ``path`` with a declared schema; a missing path fails when the frame is built.
 
+    ``position`` names an id column of ``schema`` that the files do not have: it is then the
+    place of the record in its source, as for plain array or CSV exports.
     CSV is read with a header. Only an empty field is null, so a taxon called "NA" stays text.
     """
-    reader = spark.read.schema(schema)
+    declared = StructType.fromDDL(schema)
+    stored = StructType([field for field in declared if field.name != position])
+    reader = spark.read.schema(stored)
     if fmt == "csv":
         reader = reader.option("header", True).option("enforceSchema", False)
-    return reader.format(fmt).load(path)
+    df = reader.format(fmt).load(path)
+    return with_positions(df, fmt, position).select(declared.names) if position else df
+
+
+def with_positions(df: DataFrame, fmt: str, name: str) -> DataFrame:
+    """Add the BIGINT position of each record, files in the order of their names.
+
+    Parquet knows the row number inside a file. Other formats are counted by the scan, whose
+    splits follow the file only if there is a single one.
+    """
+    files = sorted(df.inputFiles())
+    if fmt != "parquet":
+        if len(files) > 1:
+            raise ValueError("positions in several files need Parquet or an id column")
+        return df.withColumn(name, F.monotonically_increasing_id())
+    row = F.col("_metadata.row_index")
+    if len(files) <= 1:
+        return df.withColumn(name, row)
+    # One row per input file, from the listing the driver already holds. The two spellings of
+    # a path differ in the number of slashes after the scheme.
+    def normal(path: str) -> Column:
+        return F.regexp_replace(path, "^([a-z0-9]+):/+", "$1:/").alias("file_path")
+
+    listed = df.sparkSession.createDataFrame(
+        list(enumerate(files)), "file_rank BIGINT, path STRING"
+    ).select("file_rank", normal("path"))
+    placed = df.select("*", normal("_metadata.file_path"), row.alias("file_row"))
+    rank = F.coalesce(
+        "file_rank", F.raise_error(F.lit("file is not in the listing")).cast("bigint")
+    )
+    return (
+        placed.join(F.broadcast(listed), "file_path", "left")
+        .withColumn(name, rank * F.lit(ROWS_PER_FILE) + F.col("file_row"))
+        .drop("file_path", "file_rank", "file_row")
+    )
 
 
-def read_observations(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_observations(
+    spark: SparkSession, path: str, fmt: str = "parquet", by_position: bool = False
+) -> DataFrame:
     """``row_id`` is the position of the record in its source and decides every "first"."""
-    return read_table(spark, path, schemas.OBSERVATIONS, fmt)
+    return read_table(spark, path, schemas.OBSERVATIONS, fmt, "row_id" if by_position else None)
 
 
-def read_observation_arrays(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_observation_arrays(
+    spark: SparkSession, path: str, fmt: str = "parquet", by_position: bool = False
+) -> DataFrame:
     """Observations whose coordinates come as one ``[lat, lon]`` array per record."""
-    return split_locations(read_table(spark, path, schemas.OBSERVATION_ARRAYS, fmt))
+    position = "row_id" if by_position else None
+    return split_locations(read_table(spark, path, schemas.OBSERVATION_ARRAYS, fmt, position))
 
 
-def read_taxa(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_taxa(
+    spark: SparkSession, path: str, fmt: str = "parquet", by_position: bool = False
+) -> DataFrame:
+    """By position, the last entry of an id that occurs twice names it."""
+    if by_position:
+        return read_table(spark, path, schemas.TAXA + ", position BIGINT", fmt, "position")
     return read_table(spark, path, schemas.TAXA, fmt)
 
 
-def read_test_locations(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return read_table(spark, path, schemas.TEST_LOCATIONS, fmt)
+def read_test_locations(
+    spark: SparkSession, path: str, fmt: str = "parquet", by_position: bool = False
+) -> DataFrame:
+    return read_table(spark, path, schemas.TEST_LOCATIONS, fmt, "loc_id" if by_position else None)
 
 
 def read_test_presence(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return read_table(spark, path, schemas.TEST_PRESENCE, fmt)
 
 
-def read_train_features(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return read_table(spark, path, schemas.TRAIN_FEATURES, fmt)
+def read_train_features(
+    spark: SparkSession, path: str, fmt: str = "parquet", by_position: bool = False
+) -> DataFrame:
+    return read_table(spark, path, schemas.TRAIN_FEATURES, fmt, "row_id" if by_position else None)
 
 
 def split_locations(df: DataFrame, locs: str = "locs") -> DataFrame:

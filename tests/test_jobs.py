@@ -51,6 +51,14 @@ def test_pair_table_is_ordered_by_lift(spark, built):
     assert lifts == sorted(lifts, reverse=True)
 
 
+def test_a_feature_csv_without_row_ids_is_enough(spark, built):
+    base, paths = built
+    features = spark.read.parquet(paths["train_features"])
+    features.orderBy("row_id").drop("row_id").coalesce(1).write.csv(f"{base}/plain", header=True)
+    rows = read_csv(mining.run(spark, f"{base}/plain", f"{base}/plain_pairs", 3, 3, "csv", by_position=True))
+    assert rows == read_csv(mining.run(spark, paths["train_features"], f"{base}/pairs_again", 3, 3))
+
+
 def test_chart_tables(spark, built):
     base, paths = built
     written = summary.run(spark, paths["train_features"], f"{base}/charts")

@@ -70,7 +70,7 @@ def test_names_absent_unmatched_and_duplicate(spark):
     taxa = spark.createDataFrame(
         [(7, "old", 0), (7, "new", 1)], schemas.TAXA + ", position INT"
     )
-    named = {r.taxon_id: r.taxon_name for r in obs.attach_names(points, taxa, position="position").collect()}
+    named = {r.taxon_id: r.taxon_name for r in obs.attach_names(points, taxa).collect()}
     assert named == {7: "new", 8: None}
 
 
@@ -88,6 +88,36 @@ def test_coordinate_arrays(spark, tmp_path):
     assert (row.lat, row.lon, row.taxon_id) == (1.5, 2.5, 9)
 
 
+def test_positions_follow_file_names_and_rows(spark, tmp_path):
+    path = f"{tmp_path}/many"
+    spark.range(1000).selectExpr("double(id) AS lat", "0D AS lon", "7L AS taxon_id").repartitionByRange(
+        4, "lat"
+    ).sortWithinPartitions("lat").write.parquet(path)
+    rows = tables.read_observations(spark, path, by_position=True).orderBy("row_id").collect()
+    assert [row.lat for row in rows] == [float(i) for i in range(1000)]
+    assert len({row.row_id for row in rows}) == 1000
+
+
+def test_positions_in_one_csv_file(spark, tmp_path):
+    path = f"{tmp_path}/one"
+    spark.range(500).selectExpr("double(id) AS lat", "0D AS lon", "7L AS taxon_id").coalesce(1).write.csv(
+        path, header=True
+    )
+    rows = tables.read_observations(spark, path, "csv", by_position=True).orderBy("row_id").collect()
+    assert [row.lat for row in rows] == [float(i) for i in range(500)]
+    spark.range(4).selectExpr("double(id) AS lat", "0D AS lon", "7L AS taxon_id").repartition(2).write.csv(
+        f"{tmp_path}/two", header=True
+    )
+    with pytest.raises(ValueError, match="positions"):
+        tables.read_observations(spark, f"{tmp_path}/two", "csv", by_position=True)
+
+
+def test_the_last_of_two_names_wins_by_position(spark, tmp_path):
+    spark.createDataFrame([(7, "z"), (7, "a")], schemas.TAXA).coalesce(1).write.parquet(f"{tmp_path}/t")
+    taxa = tables.read_taxa(spark, f"{tmp_path}/t", by_position=True)
+    assert one(obs.taxon_dimension(taxa)).taxon_name == "a"
+
+
 def test_missing_path_fails_on_read(spark, tmp_path):
     with pytest.raises(PySparkException, match="PATH_NOT_FOUND"):
         tables.read_train_features(spark, f"{tmp_path}/nowhere")
