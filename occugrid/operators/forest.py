@@ -25,8 +25,10 @@ class ForestParams:
     max_depth: int = 30
     max_bins: int = 512
     seed: int = 42
-    # Forests grown at the same time; each is a sequence of Spark jobs of its own.
+    # Forests grown at the same time; each is a sequence of Spark jobs of its own. Small
+    # training sets use few tasks each, so the cores are filled by growing several forests.
     parallelism: int = 8
+    rows_per_task: int = 50_000
 
 
 def assemble(rows: DataFrame, feature_columns: list[str]) -> DataFrame:
@@ -35,11 +37,13 @@ def assemble(rows: DataFrame, feature_columns: list[str]) -> DataFrame:
 
 
 def fit_one(
-    rows: DataFrame, label_rank: int, held_out: int, params: ForestParams
+    rows: DataFrame, label_rank: int, held_out: int, n_rows: int, params: ForestParams
 ) -> RandomForestClassificationModel:
-    """Forest for one label over all rows outside fold ``held_out``."""
-    training = rows.filter(F.col("fold") != held_out).select(
-        "features", F.col("labels")[label_rank].cast("double").alias("label")
+    """Forest for one label over the ``n_rows`` rows outside fold ``held_out``."""
+    training = (
+        rows.filter(F.col("fold") != held_out)
+        .select("features", F.col("labels")[label_rank].cast("double").alias("label"))
+        .coalesce(-(-n_rows // params.rows_per_task))
     )
     return RandomForestClassifier(
         numTrees=params.num_trees,
@@ -80,8 +84,11 @@ def for_each_model(
 
     def grow(key: tuple[int, int]) -> None:
         fold, rank = key
-        constant = single_class(*counts[key])
-        use(fold, rank, fit_one(rows, rank, fold, params) if constant is None else constant)
+        n_rows, positives = counts[key]
+        model = single_class(n_rows, positives)
+        if model is None:
+            model = fit_one(rows, rank, fold, n_rows, params)
+        use(fold, rank, model)
 
     with ThreadPoolExecutor(params.parallelism) as pool:
         for _ in pool.map(inheritable_thread_target(rows.sparkSession)(grow), counts):
