@@ -99,7 +99,9 @@ def cooccurrence(
     support = occ.species_support(occupied)
     # A pair cannot share more regions than its rarer species has.
     kept = occ.frequent_species(support, max(min_species_support, min_pair_count))
-    pairs = shared_regions(occupied, kept, min_pair_count, species_per_block)
+    # The final sort samples its input first. This shuffle, which the join on x can use, keeps
+    # the overlaps, so that the sampling pass does not compute them a second time.
+    pairs = shared_regions(occupied, kept, min_pair_count, species_per_block).repartition("x")
     known = names if names is not None else occ.species_names(features)
     known = known.select("taxon_id", F.struct("taxon_name").alias("entry"))
     named = kept.join(known, "taxon_id", "left").withColumn(
@@ -111,9 +113,11 @@ def cooccurrence(
     x_first = F.struct(-F.col("sx.n_regions"), "sx.first_region", "x") < F.struct(
         -F.col("sy.n_regions"), "sy.first_region", "y"
     )
+    # Every x and y is in ``named``. The outer join only tells Catalyst that the pairs, whose
+    # number it cannot estimate, are never the side to broadcast.
     oriented = (
-        pairs.join(x, "x")
-        .join(y, "y")
+        pairs.join(x, "x", "left")
+        .join(y, "y", "left")
         .select(
             F.when(x_first, F.col("sx")).otherwise(F.col("sy")).alias("a"),
             F.when(x_first, F.col("sy")).otherwise(F.col("sx")).alias("b"),

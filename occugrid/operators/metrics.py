@@ -36,7 +36,8 @@ def cumulative_counts(scores: DataFrame, keys: list[str]) -> DataFrame:
 
     Equal scores are counted first (map-side). The running sum is cut into bands of the
     log-odds of the score, an order-preserving function: totals of the bands above plus the
-    sum inside the band. So no single task sorts all scores of a fold.
+    sum inside the band. So no single task sorts all scores of a fold. Every band has its
+    totals; the outer join keeps Catalyst from broadcasting the larger side.
     """
     steps = "CAST(floor(log2(try_divide(p, 1D - p)) * 16) AS INT)"
     band = (
@@ -79,7 +80,7 @@ def cumulative_counts(scores: DataFrame, keys: list[str]) -> DataFrame:
             f"sum(pos) OVER {inside} AS pos_inside",
             f"sum(neg) OVER {inside} AS neg_inside",
         )
-        .join(totals, [*keys, "band"])
+        .join(totals, [*keys, "band"], "left")
         .selectExpr(
             *keys,
             "pos",

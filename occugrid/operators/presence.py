@@ -23,7 +23,8 @@ def absence_counts(presence: DataFrame, locations: DataFrame) -> DataFrame:
     """
     total = locations.agg(F.count("*")).scalar()
     return (
-        species_presence(presence, locations.select("loc_id"))
+        present_locations(presence)
+        .join(locations.select("loc_id"), "loc_id", "left_semi")
         .groupBy("taxon_id")
         .agg(F.count("*").alias("n_present"))
         .withColumn("n_absent", total - F.col("n_present"))
