@@ -20,13 +20,20 @@ def absence_counts(presence: DataFrame, locations: DataFrame) -> DataFrame:
     """Present and absent locations per species.
 
     Absence is the complement of presence, so counting it needs no species x location grid.
+    A species with an empty list is absent everywhere.
     """
     total = locations.agg(F.count("*")).scalar()
-    return (
+    counts = (
         present_locations(presence)
         .join(locations.select("loc_id"), "loc_id", "left_semi")
         .groupBy("taxon_id")
-        .agg(F.count("*").alias("n_present"))
+        .agg(F.count("*").alias("n"))
+    )
+    return (
+        presence.select("taxon_id")
+        .distinct()
+        .join(counts, "taxon_id", "left")
+        .select("taxon_id", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_present"))
         .withColumn("n_absent", total - F.col("n_present"))
     )
 

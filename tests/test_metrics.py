@@ -51,8 +51,16 @@ def test_known_values(spark, cells, auc, ap):
 @pytest.mark.parametrize("seed", range(3))
 def test_equal_to_brute_force(spark, seed):
     rng = random.Random(seed)
-    draws = [rng.random, lambda: rng.randrange(9) / 8, lambda: 1e-9 * rng.random(), lambda: 1 - 1e-12 * rng.random()]
-    rows = [(f, t, rng.choice(draws)(), rng.randrange(2)) for f in (1, 2) for t in (7, 8, 9) for _ in range(40)]
+    draws = [
+        rng.random,
+        lambda: rng.randrange(9) / 8,
+        lambda: 1e-9 * rng.random(),
+        lambda: 1 - 1e-12 * rng.random(),
+    ]
+    rows = [
+        (f, t, rng.choice(draws)(), rng.randrange(2))
+        for f in (1, 2) for t in (7, 8, 9) for _ in range(40)
+    ]
     scores = table(spark, rows)
     per_label = metrics.label_metrics(scores)
     for r in per_label.collect():
