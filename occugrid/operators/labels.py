@@ -70,10 +70,9 @@ def one_hot_hemisphere(rows: DataFrame) -> DataFrame:
     return rows.withColumn(HEMISPHERE_FEATURE, (F.col("hemisphere") == "S").cast("int"))
 
 
-def feature_columns(rows: DataFrame) -> list[str]:
+def feature_columns(both_hemispheres: bool) -> list[str]:
     """Model inputs; the hemisphere column only if both hemispheres occur."""
-    low, high = rows.agg(F.min("hemisphere"), F.max("hemisphere")).first()
-    return NUMERIC_FEATURES + ([HEMISPHERE_FEATURE] if low != high else [])
+    return NUMERIC_FEATURES + ([HEMISPHERE_FEATURE] if both_hemispheres else [])
 
 
 def label_array(n_labels: int) -> Column:

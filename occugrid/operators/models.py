@@ -59,11 +59,12 @@ def prepare(
     rows = storage.written_table(
         labels.one_hot_hemisphere(labels.assign_folds(rows, n_splits)), "folds", spread_by="region"
     )
-    columns = labels.feature_columns(rows)
-    n_groups = rows.select("group_key").distinct().count()
+    low, high, n_groups = rows.agg(
+        F.min("hemisphere"), F.max("hemisphere"), F.count_distinct("group_key")
+    ).first()
     if not 2 <= n_splits <= n_groups:
         raise ValueError(f"cannot split {n_groups} groups into {n_splits} folds")
-    return Dataset(rows, top, n_labels, n_splits, columns)
+    return Dataset(rows, top, n_labels, n_splits, labels.feature_columns(low != high))
 
 
 def _score_columns(scores: DataFrame, top: DataFrame) -> DataFrame:
