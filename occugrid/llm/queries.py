@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from occugrid.llm import mixture, pii, weak_supervision, winnowing
+from occugrid.llm import line_dedup, mixture, packing, pii, weak_supervision, winnowing
 from occugrid.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = weak_supervision.judge(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -21,6 +25,15 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.with_kept_text(table(spark, sf_dir, "documents")).select(
+        "row.doc_id",
+        "n_lines",
+        "n_dropped",
+        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op7_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.taken(mixture.mix(table(spark, sf_dir, "documents")))
 
@@ -43,7 +56,9 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_packed_sequences": op1_packed_sequences,
     "op4_quality_rules": op4_quality_rules,
+    "op6_line_dedup": op6_line_dedup,
     "op7_source_mixture": op7_source_mixture,
     "op8_personal_data": op8_personal_data,
     "op10_fingerprints": op10_fingerprints,
