@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from occugrid.llm import line_dedup, mixture, packing, pii, weak_supervision, winnowing
+from occugrid.llm import (
+    line_dedup,
+    lsh_forest,
+    mixture,
+    ordinal,
+    packing,
+    pii,
+    revisits,
+    separators,
+    weak_supervision,
+    winnowing,
+)
 from occugrid.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +28,19 @@ def op1_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = revisits.resolve(revisits.captures_of_pages(table(spark, sf_dir, "pages")))
+    fields = F.transform("headers", lambda one: F.concat_ws("=", one["name"], one["value"]))
+    return resolved.withColumn("headers", F.array_join(fields, ";")).withColumn(
+        "page_id", F.floor(F.col("record_id") / 4)
+    )
+
+
+def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = separators.count_documents(table(spark, sf_dir, "documents"))
+    return counted.select("doc_id", "n_tokens")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = weak_supervision.judge(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -25,6 +49,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lsh_forest.near_copies(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), "class_id", "n_links")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.with_kept_text(table(spark, sf_dir, "documents")).select(
         "row.doc_id",
@@ -42,6 +71,19 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.detect(table(spark, sf_dir, "documents")))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    texts, toxic = ordinal.labelled_sample(docs, labels)
+    model = ordinal.fit(texts, ordinal.grades_by_dose(texts, toxic), n_grades=4)
+    return ordinal.predict(docs, model).select(
+        "doc_id",
+        F.round("expected", 6).alias("expected_severity"),
+        F.col("grade").alias("severity"),
+        F.round("p_above", 6).alias("p_toxic"),
+        (F.col("p_above") >= 0.5).alias("toxic"),
+    )
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     compared = winnowing.compare_edited(table(spark, sf_dir, "documents"))
     return compared.select(
@@ -57,9 +99,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_packed_sequences": op1_packed_sequences,
+    "op2_revisits": op2_revisits,
+    "op3_separator_scan": op3_separator_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op5_near_copies": op5_near_copies,
     "op6_line_dedup": op6_line_dedup,
     "op7_source_mixture": op7_source_mixture,
     "op8_personal_data": op8_personal_data,
+    "op9_toxicity": op9_toxicity,
     "op10_fingerprints": op10_fingerprints,
 }
