@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from occugrid.llm.shared import WORD, n_words, ordered_chunks, running_sum, text_of
+from occugrid.storage import written_table
 
 #: 1 / golden ratio: multiples modulo 1 spread evenly over every stretch of the sequence.
 STEP = 0.6180339887498949
@@ -165,14 +166,17 @@ def mix(
     order = [F.col("hash").asc(), F.col("id").asc(), F.col("size").asc()]
     chunked = ordered_chunks(rows, "shuffled-documents", F.col("source").asc(), *order)
     documents = running_sum(chunked, "size", order, ["source"], "first").drop("chunk")
-    sources = targets(
-        chunked.groupBy("source").agg(F.sum("size").alias("source_size")), weights
-    ).withColumn("words", F.floor("target"))
-    slots = schedule(sources.select("source", "words"), slots_per_source)
-    n_slots = slots.groupBy("source").agg(F.count("*").alias("n_slots"))
-    sources = sources.alias("s").join(
-        n_slots.alias("n"), F.col("s.source").eqNullSafe(F.col("n.source")), "left"
-    ).select("s.*", F.coalesce("n.n_slots", F.lit(0)).alias("n_slots"))
+    shares = targets(chunked.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
+    shares = written_table(shares.withColumn("words", F.floor("target")), "source-targets")
+    slots = written_table(
+        schedule(shares.select("source", "words"), slots_per_source), "source-slots"
+    )
+    n_slots = slots.groupBy("source").agg(F.count("*").alias("n_slots")).alias("n")
+    sources = (
+        shares.alias("s")
+        .join(n_slots, F.col("s.source").eqNullSafe(F.col("n.source")), "left")
+        .select("s.*", F.coalesce("n.n_slots", F.lit(0)).alias("n_slots"))
+    )
     return Mix(documents, sources, _pieces(documents, sources, slots))
 
 
