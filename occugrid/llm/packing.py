@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,8 +32,13 @@ class Costs:
     grid: int = 16
 
 
-def choose_cuts(places: np.ndarray, costs: np.ndarray, length: int) -> list[int]:
-    """Indices of the cuts, the last place included, that minimise padding plus cut costs.
+def choose_cuts(
+    places: np.ndarray, costs: np.ndarray, length: int, open_end: bool = False
+) -> list[int]:
+    """Indices of the cuts that minimise padding plus cut costs.
+
+    The last place is the last cut; with ``open_end`` it is the place less than ``length``
+    before it that has cost least so far, and what follows goes on with later tokens.
 
     ``places`` ascend from 0 (no cut) and are at most ``length`` apart. With ``g(j)`` the
     least cost up to place ``j`` plus ``j`` itself, ``g(j) = min g(i) + length + cost(j)`` over
@@ -54,7 +60,11 @@ def choose_cuts(places: np.ndarray, costs: np.ndarray, length: int) -> list[int]
         while queue and best[queue[-1]] > g:
             queue.pop()
         queue.append(j)
-    cuts = [len(at) - 1]
+    end = len(at) - 1
+    if open_end:
+        late = range(end, bisect_right(at, at[end] - length, 0, end), -1)
+        end = min(late, key=lambda j: best[j] - at[j], default=end)
+    cuts = [end]
     while before[cuts[-1]]:
         cuts.append(before[cuts[-1]])
     return cuts[::-1]
@@ -101,18 +111,16 @@ class _Packer:
             yield self.flush(final=False)
 
     def flush(self, final: bool) -> pa.RecordBatch:
-        """Sequences of what is held; unless ``final``, the last one waits for what follows."""
+        """Sequences of what is held; unless ``final``, what is past the best cut waits."""
         ids = np.concatenate(self.ids)
         doc_ends = np.cumsum([total - before for _, before, total in self.docs])
         places, costs = _cut_places(
             ids, doc_ends, self.docs[0][1], self.vocabulary, self.costs
         )
-        cuts = places[choose_cuts(places, costs, self.costs.sequence)]
-        if not final:
-            cuts = cuts[:-1]
-        end = int(cuts[-1]) if len(cuts) else 0
+        cuts = places[choose_cuts(places, costs, self.costs.sequence, open_end=not final)]
+        end = int(cuts[-1])
         edges = np.union1d(cuts, doc_ends[doc_ends < end]).astype(np.int64)
-        starts = np.concatenate([[0], edges[:-1]]).astype(np.int64) if end else edges
+        starts = np.concatenate([[0], edges[:-1]]).astype(np.int64)
         doc = np.searchsorted(doc_ends, starts, side="right")
         window = np.searchsorted(cuts, starts, side="right")
         doc_starts = np.concatenate([[0], doc_ends])
