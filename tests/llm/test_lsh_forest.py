@@ -1,0 +1,110 @@
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from conftest_llm import NASTY, WORD
+
+from occugrid.llm import lsh_forest
+
+SMALLEST = -(2**63)
+
+
+def shingles(text):
+    words = WORD.findall(text or "")
+    if len(words) < 5:
+        return frozenset([tuple(words)] if words else [])
+    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+
+
+def classes(rows, threshold=0.8):
+    """``(id, class id, links)`` of every row by comparing all pairs."""
+    docs = sorted((SMALLEST if i is None else i, text or "") for i, text in rows)
+    sets = [shingles(text) for _, text in docs]
+    holders = defaultdict(list)
+    for at, own in enumerate(sets):
+        for one in own:
+            holders[one].append(at)
+    shared = Counter()
+    for found in holders.values():
+        shared.update((a, b) for k, b in enumerate(found) for a in found[:k])
+    root, links = list(range(len(docs))), Counter()
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, b), n in shared.items():
+        if n >= threshold * (len(sets[a]) + len(sets[b]) - n) - 1e-9:
+            links[a] += 1
+            links[b] += 1
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    return Counter((docs[i][0], docs[find(i)][0], links[i]) for i in range(len(docs)))
+
+
+def found(docs, **options):
+    out = lsh_forest.near_copies(docs, **options).collect()
+    return Counter((r["doc"], r["class_id"], r["n_links"]) for r in out)
+
+
+def test_against_all_pairs(documents, rows):
+    assert found(documents) == classes([(i, t) for i, t, _ in rows])
+
+
+def test_awkward_rows(nasty, empty):
+    assert found(nasty) == classes([(i, t) for i, t, _ in NASTY])
+    assert not found(empty)
+    assert lsh_forest.keep_one(nasty).schema == nasty.schema
+
+
+def crowd(n, edits, seed=5):
+    """Near copies of one text, each with a few words changed, and copies of some."""
+    random.seed(seed)
+    base = [f"base{i}" for i in range(120)]
+    out = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(random.randint(0, edits)):
+            words[random.randrange(len(words))] = f"new{random.randrange(10**6)}"
+        out.append((i, " ".join(words), "s"))
+    return out
+
+
+@pytest.mark.parametrize("block", [lsh_forest.BLOCK, 16])
+def test_a_crowd_of_near_copies(make_docs, monkeypatch, block):
+    """Buckets larger than a block are compared block by block; no link is lost."""
+    monkeypatch.setattr(lsh_forest, "BLOCK", block)
+    rows = crowd(300, 4)
+    got, wanted = found(make_docs(rows)), classes([(i, t) for i, t, _ in rows])
+    assert {c for _, c, _ in got} == {c for _, c, _ in wanted}
+    lost = sum(n for (_, _, n) in wanted.elements()) - sum(n for (_, _, n) in got.elements())
+    assert 0 <= lost <= 0.002 * sum(n for (_, _, n) in wanted.elements())
+
+
+def test_recall_decides_the_depth():
+    depths = [lsh_forest.Forest(recall=r).depth() for r in (0.5, 0.9, 0.99, 0.999)]
+    assert depths == sorted(depths, reverse=True) and len(set(depths)) > 2
+    for r in (0.5, 0.9, 0.99, 0.999):
+        forest = lsh_forest.Forest(recall=r)
+        assert forest.found(forest.depth()) >= r
+
+
+def test_components(spark):
+    """A long chain, a star and a ring."""
+    def key(i):
+        return bytearray(i.to_bytes(4, "big"))
+
+    edges = [(key(i), key(i + 1)) for i in range(100)]
+    edges += [(key(1000), key(1000 + i)) for i in range(1, 50)]
+    edges += [(key(2000 + i), key(2000 + (i + 1) % 30)) for i in range(30)]
+    roots = lsh_forest.components(spark.createDataFrame(edges, "key binary, root binary"))
+    got = {bytes(r["key"]): bytes(r["root"]) for r in roots.collect()}
+    least = {i: 0 for i in range(101)} | {i: 1000 for i in range(1000, 1050)}
+    least |= {i: 2000 for i in range(2000, 2030)}
+    assert got == {bytes(key(i)): bytes(key(root)) for i, root in least.items()}
+
+
+def test_one_of_each_class_stays(documents, rows):
+    kept = {r["doc_id"] for r in lsh_forest.keep_one(documents).collect()}
+    assert kept == {c for _, c, _ in classes([(i, t) for i, t, _ in rows])}

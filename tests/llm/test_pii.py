@@ -1,0 +1,109 @@
+import hashlib
+import re
+
+import pytest
+from conftest_llm import NASTY
+from pyspark.sql import functions as F
+
+from occugrid.llm import pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+    return sum(n - 9 if n > 9 else n for n in doubled) % 10 == 0
+
+
+def passes(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    return {
+        "email": True,
+        "ip": kind == "ip" and all(int(part) <= 255 for part in value.split(".")),
+        "card": 13 <= len(digits) <= 19 and luhn(digits),
+        "phone": 9 <= len(digits) <= 15,
+    }[kind]
+
+
+def base_spans(text):
+    return [
+        (kind, m.start(), m.end())
+        for kind, pattern in PATTERNS.items()
+        for m in re.finditer(pattern, text or "")
+        if passes(kind, m.group())
+    ]
+
+
+def found(docs, **options):
+    return [
+        [(s["kind"], s["start"], s["end"]) for s in r["spans"]]
+        for r in pii.detect(docs, **options).collect()
+    ]
+
+
+TEXTS = [
+    "mail a.b+c@host.example.com, and x@y.z@w.v, a@b, .@-.-",
+    "été 1.2.3.4 and 1.2.3.4.5.6.7.8 but 1.2.3.256 or 001.002.000.0255 not 1.2.3",
+    "4111 1111 1111 1111, 4111-1111-1111-1112, 41111111111111111111111, 4 1 1",
+    "+1 (375) 555-4393 call +123 now +1.2.3.4.5.6.7.8.9. or +49 (0) 30 - 1234",
+    "\U0001f600 a@b.cc_d@e.ff 12-34 +1 555 555 55555555555 5.5.5.5@x.y",
+    "12.34.56.78" * 50,
+    "9" * 30_000 + " " + "a" * 30_000 + " " + "1." * 10_000 + "+" * 1000,
+    "a@b.cc " * 3000,
+]
+
+
+def test_base_spans_against_plain_patterns(make_docs, documents, rows):
+    own = [(i, text, "s") for i, text in enumerate(TEXTS)]
+    for docs, texts in (
+        (make_docs(own), [t for _, t, _ in own]),
+        (documents.orderBy("doc_id").coalesce(1), [t for _, t, _ in rows]),
+        (make_docs(NASTY), [t for _, t, _ in NASTY]),
+    ):
+        base = [[s for s in spans if s[0] in pii.BASE] for spans in found(docs)]
+        assert base == [base_spans(text) for text in texts]
+
+
+def test_summary(make_docs):
+    docs = make_docs([(i, text, "s") for i, text in enumerate(TEXTS[:5])])
+    for r in pii.summary(pii.detect(docs)).collect():
+        spans = base_spans(TEXTS[r["doc_id"]])
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in PATTERNS] == [sum(s[0] == k for s in spans) for k in PATTERNS]
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("to DE89 3704 0044 0532 0130 00 please", [("iban", 3, 30)]),
+        ("to GB82WEST12345698765432.", [("iban", 3, 25)]),
+        ("to DE88 3704 0044 0532 0130 00 please", []),
+        ("serial GB82WEST12345698765432", [("iban", 7, 29)]),
+        ("social security 123-45-6789", [("ssn", 16, 27)]),
+        ("code 123-45-6789", []),
+        ("social security 000-45-6789", []),
+    ],
+)
+def test_added_kinds_need_their_check_and_score(make_docs, text, wanted):
+    spans = found(make_docs([(1, text, "s")]))[0]
+    assert [s for s in spans if s[0] in ("iban", "ssn")] == wanted
+
+
+def test_context_moves_the_score(make_docs):
+    docs = make_docs([(1, "visa card 4111111111111111", "s"), (2, "order 4111111111111111", "s")])
+    scores = {
+        r["doc_id"]: r["score"]
+        for r in pii.detect(docs).select("doc_id", F.inline("spans")).collect()
+        if r["kind"] == "card"
+    }
+    assert scores == {1: 1.0, 2: 0.5}
+
+
+def test_empty_table(empty):
+    assert pii.summary(pii.detect(empty)).count() == 0
