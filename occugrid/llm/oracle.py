@@ -2,4 +2,92 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+_LOWER = "abcdefghijklmnopqrstuvwxyz"
+
+_REVISITS = r"""
+WITH captures AS (
+    SELECT page_id * 4 + i AS record_id,
+           i > 0 AS revisit,
+           regexp_replace(
+               CASE WHEN i = 0 THEN url ELSE regexp_replace(url, '#.*$', '') || '#again' END,
+               '#.*$', '') AS url,
+           CASE i WHEN 0 THEN page_id * 100
+                  WHEN 1 THEN page_id * 100 + CASE WHEN page_id % 3 = 0 THEN -7 ELSE 7 END
+                  WHEN 2 THEN page_id * 100 + 20 ELSE page_id * 100 + 30 END AS "at",
+           page_id, i, md5(coalesce(html, '')) AS tag,
+           'day ' || (page_id % 365) AS day, length(html) AS n
+    FROM pages, (SELECT unnest([0, 1, 2, 3]) AS i)
+), split AS (
+    SELECT *, regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM captures
+), parts AS (
+    SELECT *,
+           regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www\.', ''),
+                          ':(?:80|443)$', '') AS host,
+           regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+           list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
+               lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|gclid|fbclid|ref)(?:=|$)')
+           )) AS wanted
+    FROM split
+), keyed AS (
+    SELECT *, host || path ||
+           CASE WHEN len(wanted) > 0 THEN '?' || array_to_string(wanted, '&') ELSE '' END AS key
+    FROM parts
+), seen AS (
+    SELECT *, last_value(CASE WHEN NOT revisit THEN
+                 {'id': record_id, 'at': "at", 'tag': tag, 'day': day, 'n': n} END IGNORE NULLS)
+               OVER (PARTITION BY key ORDER BY "at", NOT revisit, record_id
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS found
+    FROM keyed
+), judged AS (
+    SELECT *, CASE
+        WHEN found IS NULL THEN 'missing'
+        WHEN i = 2 THEN CASE WHEN found.day = day THEN 'resolved' ELSE 'changed' END
+        WHEN i = 3 AND page_id % 5 < 2 THEN 'changed'
+        WHEN found.tag = tag THEN 'resolved' ELSE 'changed' END AS outcome
+    FROM seen WHERE revisit
+)
+SELECT record_id, key AS canonical_url, "at", outcome,
+       CASE WHEN outcome = 'resolved' THEN found.id END AS response_id,
+       CASE WHEN outcome = 'resolved' THEN found."at" END AS response_at,
+       CASE i
+       WHEN 1 THEN CASE WHEN outcome = 'resolved'
+            THEN 'Last-Modified=' || found.day || ';Content-Length=' || found.n || ';' ELSE '' END
+            || 'etag=W/' || tag || ';Date=' || (page_id * 100 + 7)
+       WHEN 2 THEN CASE WHEN outcome = 'resolved'
+            THEN 'ETag=' || found.tag || ';Content-Length=' || found.n || ';Date=' || found."at"
+                 || ';Last-Modified=' || day
+            ELSE 'Last-Modified=' || day || ';Content-Length=0' END
+       ELSE CASE WHEN outcome = 'resolved'
+            THEN 'Last-Modified=' || found.day || ';Content-Length=' || found.n || ';Date=' || found."at"
+                 || ';' ELSE '' END
+            || 'ETag=' || CASE WHEN page_id % 5 < 2 THEN 'new' ELSE tag END
+            || ';Expires=' || (page_id * 100 + 1000)
+       END AS headers,
+       record_id // 4 AS page_id
+FROM judged
+"""
+
+_LINES = rf"""
+WITH lines AS (
+    SELECT doc_id, pos, line,
+           translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''),
+                                    '[\x20\x09-\x0D]+$', ''),
+                     '{_LOWER.upper()}', '{_LOWER}') AS key
+    FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
+          FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
+), common AS (
+    SELECT key, max(doc_id) AS holder FROM lines WHERE length(key) >= 40
+    GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), judged AS (
+    SELECT doc_id, pos, line, holder IS NOT NULL AND holder <> doc_id AS gone
+    FROM lines LEFT JOIN common USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), ''))
+           AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+#: The others rest on hashes, token ids or iterations that SQL lacks, or on positions of
+#: matches; they are tested against brute force.
+ORACLE: dict[str, str] = {"op2_revisits": _REVISITS, "op6_line_dedup": _LINES}
