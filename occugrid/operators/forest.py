@@ -25,10 +25,9 @@ class ForestParams:
     max_depth: int = 30
     max_bins: int = 512
     seed: int = 42
-    # Forests grown at the same time; each is a sequence of Spark jobs of its own. Small
-    # training sets use few tasks each, so the cores are filled by growing several forests.
-    parallelism: int = 8
-    rows_per_task: int = 50_000
+    # Rows are dealt to so many tasks by region. Bootstrap samples are drawn task by task, so
+    # this is part of the model like the seed and must not follow the cluster or the data.
+    partitions: int = 8
 
 
 def assemble(rows: DataFrame, feature_columns: list[str]) -> DataFrame:
@@ -37,13 +36,14 @@ def assemble(rows: DataFrame, feature_columns: list[str]) -> DataFrame:
 
 
 def fit_one(
-    rows: DataFrame, label_rank: int, held_out: int, n_rows: int, params: ForestParams
+    rows: DataFrame, label_rank: int, held_out: int, params: ForestParams
 ) -> RandomForestClassificationModel:
-    """Forest for one label over the ``n_rows`` rows outside fold ``held_out``."""
+    """Forest for one label over the rows outside fold ``held_out``; the same on any cluster."""
     training = (
         rows.filter(F.col("fold") != held_out)
+        .repartition(params.partitions, "region")
+        .sortWithinPartitions("region")
         .select("features", F.col("labels")[label_rank].cast("double").alias("label"))
-        .coalesce(-(-n_rows // params.rows_per_task))
     )
     return RandomForestClassifier(
         numTrees=params.num_trees,
@@ -78,19 +78,22 @@ def for_each_model(
 ) -> None:
     """Grow the forest of every (fold, label) in ``counts`` and hand it to ``use``.
 
-    ``use`` writes scores or the model; afterwards the driver drops the forest, so at most
-    ``parallelism`` of them are held at a time.
+    ``use`` writes scores or the model; afterwards the driver drops the forest. Each forest is
+    a sequence of short Spark jobs of ``partitions`` tasks, so several are grown at a time for
+    the cores that the cluster has.
     """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    at_a_time = max(2, 4 * cores // params.partitions)
 
     def grow(key: tuple[int, int]) -> None:
         fold, rank = key
         n_rows, positives = counts[key]
         model = single_class(n_rows, positives)
         if model is None:
-            model = fit_one(rows, rank, fold, n_rows, params)
+            model = fit_one(rows, rank, fold, params)
         use(fold, rank, model)
 
-    with ThreadPoolExecutor(params.parallelism) as pool:
+    with ThreadPoolExecutor(at_a_time) as pool:
         for _ in pool.map(inheritable_thread_target(rows.sparkSession)(grow), counts):
             pass
 

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 FINAL = 0  # model of the whole table: no row has fold 0, so nothing is held out
 SUFFICIENT_DECREASE = 1e-4
 SMALLEST_STEP = 1e-10
+# Relative loss that may be left when the search stops for rounding.
+ROUNDING = 1e-9
 
 
 @dataclass
@@ -34,6 +36,7 @@ class _State:
     direction: np.ndarray | None = None
     step: float = 1.0
     done: bool = False
+    converged: bool = False
 
 
 @dataclass
@@ -132,13 +135,15 @@ def _advance(state: _State, loss: float, gradient, hessian, tol: float) -> None:
     if not loss <= state.loss + SUFFICIENT_DECREASE * state.step * state.slope:
         state.step /= 2
         state.done = state.step < SMALLEST_STEP
+        # Rounding can stop the search next to the optimum.
+        state.converged = state.done and -state.slope / 2 <= ROUNDING * max(1.0, state.loss)
     else:
         gradient = gradient + state.trial
         state.weights, state.loss, state.step = state.trial, loss, 1.0
         state.direction = -np.linalg.solve(hessian + np.eye(len(gradient)), gradient)
         state.slope = gradient @ state.direction
         # Half the squared Newton decrement bounds the loss still to be gained.
-        state.done = -state.slope / 2 <= tol * max(1.0, loss)
+        state.done = state.converged = -state.slope / 2 <= tol * max(1.0, loss)
     state.trial = state.weights + state.step * state.direction
 
 
@@ -179,6 +184,9 @@ def fit(
         )
         for key, sums in _sums(grid, trials, names).items():
             _advance(states[key], *sums, tol)
+    stuck = sorted(key for key, state in states.items() if not state.converged)
+    if stuck:
+        raise RuntimeError(f"(fold, label) without a converged fit: {stuck[:10]}, {len(stuck)} in all")
     models.weights = {key: state.weights for key, state in states.items()}
     return models
 

@@ -31,12 +31,23 @@ def deduplicate(observations: DataFrame) -> DataFrame:
 
 
 def taxon_dimension(taxa: DataFrame) -> DataFrame:
-    """One name per id. With a ``position`` column the last entry of a duplicate id wins."""
-    order = F.col("position" if "position" in taxa.columns else "taxon_name")
+    """One name per id: of duplicate ids the last entry wins, by the ``position`` column.
+
+    Without that column "last" has no meaning, so an id with two different names (a null one
+    included) fails.
+    """
+    named = taxa.withColumn("taxon_id", F.col("taxon_id").cast("bigint"))
+    if "position" in taxa.columns:
+        return named.groupBy("taxon_id").agg(F.max_by("taxon_name", "position").alias("taxon_name"))
+    one = (F.min("taxon_name") == F.max("taxon_name")) & (F.count("taxon_name") == F.count("*"))
+    message = F.concat(F.lit("two names without a position: "), F.col("taxon_id").cast("string"))
     return (
-        taxa.select(F.col("taxon_id").cast("bigint").alias("taxon_id"), "taxon_name", order.alias("at"))
-        .groupBy("taxon_id")
-        .agg(F.max_by("taxon_name", "at").alias("taxon_name"))
+        named.groupBy("taxon_id")
+        .agg(F.max("taxon_name").alias("name"), (one | (F.count("taxon_name") == 0)).alias("one"))
+        .select(
+            "taxon_id",
+            F.when(F.col("one"), F.col("name")).otherwise(F.raise_error(message)).alias("taxon_name"),
+        )
     )
 
 

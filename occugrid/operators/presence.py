@@ -11,9 +11,19 @@ def present_locations(presence: DataFrame) -> DataFrame:
     return presence.select("taxon_id", F.explode("loc_ids").alias("loc_id")).distinct()
 
 
+def _located(presence: DataFrame, locations: DataFrame) -> DataFrame:
+    """Present locations with the columns of ``locations``; fails on an id without location."""
+    found = present_locations(presence).join(
+        locations.withColumn("known", F.lit(True)), "loc_id", "left"
+    )
+    lost = F.concat(F.lit("no test location "), F.col("loc_id").cast("string"))
+    known = F.when(F.col("known"), True).otherwise(F.raise_error(lost).cast("boolean"))
+    return found.where(known).drop("known")
+
+
 def species_presence(presence: DataFrame, locations: DataFrame) -> DataFrame:
     """Locations where each species is present, with coordinates."""
-    return present_locations(presence).join(locations, "loc_id")
+    return _located(presence, locations)
 
 
 def absence_counts(presence: DataFrame, locations: DataFrame) -> DataFrame:
@@ -24,8 +34,7 @@ def absence_counts(presence: DataFrame, locations: DataFrame) -> DataFrame:
     """
     total = locations.agg(F.count("*")).scalar()
     counts = (
-        present_locations(presence)
-        .join(locations.select("loc_id"), "loc_id", "left_semi")
+        _located(presence, locations.select("loc_id"))
         .groupBy("taxon_id")
         .agg(F.count("*").alias("n"))
     )

@@ -22,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 TOP_K = 50
 N_SPLITS = 5
-SCORED_K = 5
+SCORED_K = TOP_K
 # Forests are grown with few labels, folds and trees here; the rows are all there.
 FOREST_K = 3
 FOREST_SPLITS = 2
@@ -219,7 +219,7 @@ def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deterministic scores with many ties: every region x the 5 most widespread species."""
+    """Deterministic scores with many ties: every region x the top species."""
     data = _prepared(spark, sf_dir, SCORED_K, keep_unlabelled=True)
     spread = (F.abs("grid_lat") * 7 + F.abs("grid_lon") * 3 + F.col("taxon_id")) % 33
     p = spread / F.lit(64.0) + F.when(F.col("y") == 1, 0.25).otherwise(0.0)
@@ -324,7 +324,6 @@ QUERIES: dict[str, Query] = {
     "species_name_map": species_name_map,
     "cooccurrence_pairs": _pairs(10, 20),
     "cooccurrence_pairs_low_threshold": _pairs(3, 3),
-    "cooccurrence_pairs_all": _pairs(10, 0),
     "top_k_species": top_k_species,
     "top_10_species": top_10_species,
     "region_features": region_features,

@@ -62,7 +62,9 @@ def run_location_to_species(
     table = location_to_species_metrics(data, params)
     return {
         "metrics": tables.write_table(
-            table.coalesce(1).orderBy("fold"), f"{out_dir}/cv_metrics", "csv"
+            table.coalesce(1).orderBy(F.col("fold").try_cast("int").asc_nulls_last(), "fold"),
+            f"{out_dir}/cv_metrics",
+            "csv",
         ),
         "model": models.fit_final(data, f"{out_dir}/loc2spec_model", "rf", forest_params=params),
     }

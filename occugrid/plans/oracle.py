@@ -69,7 +69,7 @@ _CTES: dict[str, str] = {
                ((abs(r.grid_lat) * 7 + abs(r.grid_lon) * 3 + m.taxon_id) % 33) / 64.0
                + CASE WHEN m.y = 1 THEN 0.25 ELSE 0 END AS p
         FROM matrix m JOIN regs r USING (region) JOIN folds_all f USING (region)
-        WHERE m.label_rank < 5""",
+        WHERE m.label_rank < 50""",
     "f1_label": """
         SELECT *, CASE WHEN tp + fp + fn = 0 THEN 0.0
                        ELSE CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) END AS f1
@@ -192,7 +192,6 @@ SELECT taxon_id, n_regions, first_region FROM supp WHERE n_regions >= 10"""),
     "species_name_map": _with(" SELECT taxon_id, taxon_name FROM names"),
     "cooccurrence_pairs": _pairs(10, 20),
     "cooccurrence_pairs_low_threshold": _pairs(3, 3),
-    "cooccurrence_pairs_all": _pairs(10, 0),
     "top_k_species": _with("""
 SELECT taxon_id, n_regions, first_region, label_rank FROM ranked WHERE label_rank < 50"""),
     "top_10_species": _with("""
@@ -276,7 +275,7 @@ UNION ALL SELECT 'micro', round(avg(roc_auc_micro), 9), round(avg(pr_auc_micro),
 UNION ALL SELECT 'macro', round(avg(roc_auc_macro), 9), round(avg(pr_auc_macro), 9),
                  round(avg(f1_macro), 9) FROM six"""),
     "cv_log_folds": _with("""
-SELECT 5 AS topk, 5 AS cv_splits, 'lr' AS model, 42 AS seed, fold,
+SELECT 50 AS topk, 5 AS cv_splits, 'lr' AS model, 42 AS seed, fold,
        round(roc_auc_micro, 9) AS roc_auc_micro, round(pr_auc_micro, 9) AS pr_auc_micro,
        round(f1_micro, 9) AS f1_micro, round(roc_auc_macro, 9) AS roc_auc_macro,
        round(pr_auc_macro, 9) AS pr_auc_macro, round(f1_macro, 9) AS f1_macro FROM six"""),

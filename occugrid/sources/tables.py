@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from occugrid import schemas
-
-
-# Row ids derived from positions: file rank * 2**40 + row inside the file.
-ROWS_PER_FILE = 1 << 40
-
+from occugrid import schemas, storage
 
 def read_table(
     spark: SparkSession, path: str, schema: str, fmt: str = "parquet", position: str | None = None
@@ -28,39 +23,44 @@ def read_table(
     if fmt == "csv":
         reader = reader.option("header", True).option("enforceSchema", False)
     df = reader.format(fmt).load(path)
-    return with_positions(df, fmt, position).select(declared.names) if position else df
+    return with_positions(df, position).select(declared.names) if position else df
+
+
+def _natural(path: Column) -> Column:
+    """A sort key of a path in which its numbers compare as numbers."""
+    parts = F.regexp_extract_all(path, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+    return F.array_join(
+        F.transform(parts, lambda part: F.when(part.rlike("^[0-9]"), F.lpad(part, 20, "0")).otherwise(part)),
+        "",
+    )
 
 
-def with_positions(df: DataFrame, fmt: str, name: str) -> DataFrame:
-    """Add the BIGINT position of each record, files in the order of their names.
+def with_positions(df: DataFrame, name: str) -> DataFrame:
+    """Add the BIGINT position of each record in its source: 0, 1, 2, ... without gaps.
 
-    Parquet knows the row number inside a file. Other formats are counted by the scan, whose
-    splits follow the file only if there is a single one.
+    Files count in the order of their names, numbers in a name as numbers. The scan numbers
+    the records of a split as it reads them; how many all earlier splits hold comes from one
+    row per split. The numbered records are written once, so that both steps see the same.
     """
-    files = sorted(df.inputFiles())
-    if fmt != "parquet":
-        if len(files) > 1:
-            raise ValueError("positions in several files need Parquet or an id column")
-        return df.withColumn(name, F.monotonically_increasing_id())
-    row = F.col("_metadata.row_index")
-    if len(files) <= 1:
-        return df.withColumn(name, row)
-    # One row per input file, from the listing the driver already holds. The two spellings of
-    # a path differ in the number of slashes after the scheme.
-    def normal(path: str) -> Column:
-        return F.regexp_replace(path, "^([a-z0-9]+):/+", "$1:/").alias("file_path")
-
-    listed = df.sparkSession.createDataFrame(
-        list(enumerate(files)), "file_rank BIGINT, path STRING"
-    ).select("file_rank", normal("path"))
-    placed = df.select("*", normal("_metadata.file_path"), row.alias("file_row"))
-    rank = F.coalesce(
-        "file_rank", F.raise_error(F.lit("file is not in the listing")).cast("bigint")
+    scanned = df.select(
+        "*",
+        F.col("_metadata.file_path").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__split"),
+        F.monotonically_increasing_id().alias("__read"),
+    )
+    numbered = storage.written_table(scanned, "positions")
+    splits = numbered.groupBy("__file", "__split").agg(
+        F.count("*").alias("__n"), F.min("__read").alias("__first")
+    )
+    # One row for each split of a file, however many records it has.
+    earlier = Window.orderBy(_natural(F.col("__file")), "__split").rowsBetween(
+        Window.unboundedPreceding, -1
     )
+    offsets = splits.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
     return (
-        placed.join(F.broadcast(listed), "file_path", "left")
-        .withColumn(name, rank * F.lit(ROWS_PER_FILE) + F.col("file_row"))
-        .drop("file_path", "file_rank", "file_row")
+        numbered.join(offsets.drop("__n"), ["__file", "__split"])
+        .withColumn(name, F.col("__before") + F.col("__read") - F.col("__first"))
+        .drop("__file", "__split", "__read", "__first", "__before")
     )
 
 

@@ -10,7 +10,7 @@ from occugrid.operators.forest import ForestParams
 from occugrid.plans import feature_build, mining, modelling, summary
 from occugrid.sources import events
 
-SMALL = ForestParams(num_trees=3, max_depth=5, parallelism=4)
+SMALL = ForestParams(num_trees=3, max_depth=5)
 
 
 def read_csv(path):

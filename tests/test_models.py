@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
@@ -9,7 +13,7 @@ from occugrid.operators import forest, logistic, metrics, models
 from occugrid.operators.forest import ForestParams
 from occugrid.plans import catalog, modelling
 
-SMALL = ForestParams(num_trees=5, max_depth=6, parallelism=4)
+SMALL = ForestParams(num_trees=5, max_depth=6)
 
 
 @pytest.fixture(scope="module")
@@ -113,7 +117,7 @@ def test_saved_models_predict_like_the_fitted_ones(spark, data, tmp_path, kind):
         vectors = forest.assemble(data.wide(), data.feature_columns)
         expected = {}
         for rank in range(data.n_labels):
-            model = forest.fit_one(vectors, rank, logistic.FINAL, vectors.count(), SMALL)
+            model = forest.fit_one(vectors, rank, logistic.FINAL, SMALL)
             scored = forest.score_one(vectors, rank, model).collect()
             expected |= {(r.region, rank): r.p for r in scored}
     assert saved.keys() == expected.keys()
@@ -121,3 +125,30 @@ def test_saved_models_predict_like_the_fitted_ones(spark, data, tmp_path, kind):
     metadata = spark.read.parquet(f"{path}/metadata").orderBy("label_rank").collect()
     assert [m.taxon_id for m in metadata] == [t.taxon_id for t in data.top.orderBy("label_rank").collect()]
     assert metadata[0].feature_columns == data.feature_columns
+
+
+SCRIPT = """
+import sys
+from occugrid.session import get_session
+from occugrid.operators import models
+from occugrid.operators.forest import ForestParams
+from occugrid.plans import catalog, modelling
+spark = get_session("cores", sys.argv[1], spark__sql__shuffle__partitions="3", spark__checkpoint__dir=sys.argv[2])
+data = modelling.dataset(catalog.features(spark, sys.argv[3]), 2, 2)
+scores = models.cross_validate(data, "rf", forest_params=ForestParams(num_trees=5, max_depth=6))
+rows = scores.select("fold", "region", "taxon_id", "p").collect()
+print("SCORES", sorted((r.fold, r.region, r.taxon_id, round(r.p, 9)) for r in rows))
+"""
+
+
+def test_forests_do_not_depend_on_the_cores(sf_dir, tmp_path):
+    """Two sessions with different numbers of cores, each in a process of its own."""
+    found = set()
+    for master in ("local[2]", "local[4]"):
+        done = subprocess.run(
+            [sys.executable, "-c", SCRIPT, master, str(tmp_path / master[6]), sf_dir],
+            capture_output=True, text=True, timeout=300, cwd=Path(__file__).parents[1],
+        )
+        assert done.returncode == 0, done.stderr[-2000:]
+        found.add(done.stdout.rpartition("SCORES")[2])
+    assert len(found) == 1 and len(found.pop()) > 1000

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from occugrid import schemas
 from occugrid.operators import observations as obs
+from occugrid.operators import presence
 from occugrid.plans import feature_build
 from occugrid.sources import tables
 
@@ -98,18 +99,46 @@ def test_positions_follow_file_names_and_rows(spark, tmp_path):
     assert len({row.row_id for row in rows}) == 1000
 
 
-def test_positions_in_one_csv_file(spark, tmp_path):
-    path = f"{tmp_path}/one"
-    spark.range(500).selectExpr("double(id) AS lat", "0D AS lon", "7L AS taxon_id").coalesce(1).write.csv(
-        path, header=True
-    )
-    rows = tables.read_observations(spark, path, "csv", by_position=True).orderBy("row_id").collect()
-    assert [row.lat for row in rows] == [float(i) for i in range(500)]
-    spark.range(4).selectExpr("double(id) AS lat", "0D AS lon", "7L AS taxon_id").repartition(2).write.csv(
-        f"{tmp_path}/two", header=True
-    )
-    with pytest.raises(ValueError, match="positions"):
-        tables.read_observations(spark, f"{tmp_path}/two", "csv", by_position=True)
+def test_positions_in_csv_files(spark, tmp_path):
+    lines = spark.range(40_000).selectExpr("double(id) AS lat", "0D AS lon", "7L AS taxon_id")
+    for name, files in (("one", 1), ("many", 12)):
+        path = f"{tmp_path}/{name}"
+        lines.repartitionByRange(files, "lat").sortWithinPartitions("lat").write.csv(path, header=True)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+        try:
+            rows = tables.read_observations(spark, path, "csv", by_position=True)
+            assert rows.where("row_id <> lat").isEmpty()
+            assert rows.select("row_id").distinct().count() == 40_000
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_file_numbers_count_as_numbers(spark, tmp_path):
+    for i, name in enumerate(("part-9", "part-99999", "part-100000")):
+        frame = spark.createDataFrame([(float(2 * i + k), 0.0, 7) for k in range(2)], "lat DOUBLE, lon DOUBLE, taxon_id BIGINT")
+        frame.coalesce(1).write.parquet(f"{tmp_path}/draft{i}")
+        written = next((tmp_path / f"draft{i}").glob("part-*.parquet"))
+        (tmp_path / "all").mkdir(exist_ok=True)
+        written.rename(tmp_path / "all" / f"{name}.parquet")
+    rows = tables.read_observations(spark, f"{tmp_path}/all", by_position=True).collect()
+    assert sorted((r.row_id, r.lat) for r in rows) == [(i, float(i)) for i in range(6)]
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+@pytest.mark.parametrize("files", [1, 3])
+def test_listed_indices_find_their_location(spark, tmp_path, fmt, files):
+    spark.range(4000).selectExpr("double(id) AS lat", "0D AS lon").repartitionByRange(
+        files, "lat"
+    ).sortWithinPartitions("lat").write.format(fmt).option("header", True).save(f"{tmp_path}/l")
+    locations = tables.read_test_locations(spark, f"{tmp_path}/l", fmt, by_position=True)
+    lists = spark.createDataFrame([(5, list(range(0, 4000, 10)))], schemas.TEST_PRESENCE)
+    found = presence.species_presence(lists, locations)
+    assert found.where("loc_id = lat").count() == 400
+    counts = one(presence.absence_counts(lists, locations))
+    assert (counts.n_present, counts.n_absent) == (400, 3600)
+    lost = spark.createDataFrame([(5, [4000])], schemas.TEST_PRESENCE)
+    with pytest.raises(PySparkException, match="no test location 4000"):
+        presence.species_presence(lost, locations).collect()
 
 
 def test_the_last_of_two_names_wins_by_position(spark, tmp_path):
@@ -118,6 +147,17 @@ def test_the_last_of_two_names_wins_by_position(spark, tmp_path):
     assert one(obs.taxon_dimension(taxa)).taxon_name == "a"
 
 
+def test_two_names_need_a_position(spark):
+    same = spark.createDataFrame([(7, "z"), (7, "z"), (8, None), (8, None)], schemas.TAXA)
+    assert {(r.taxon_id, r.taxon_name) for r in obs.taxon_dimension(same).collect()} == {(7, "z"), (8, None)}
+    for names in (("z", "a"), ("z", None)):
+        taxa = spark.createDataFrame([(7, name) for name in names], schemas.TAXA)
+        with pytest.raises(PySparkException, match="two names without a position: 7"):
+            obs.taxon_dimension(taxa).collect()
+    placed = spark.createDataFrame([(7, "z", 0), (7, None, 1)], schemas.TAXA + ", position BIGINT")
+    assert one(obs.taxon_dimension(placed)).taxon_name is None
+
+
 def test_missing_path_fails_on_read(spark, tmp_path):
     with pytest.raises(PySparkException, match="PATH_NOT_FOUND"):
         tables.read_train_features(spark, f"{tmp_path}/nowhere")
