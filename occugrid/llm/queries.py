@@ -94,6 +94,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         winnowing.digest(F.col("edited_fingerprint")).alias("edited_fingerprint"),
         "near_edited",
         "near_next",
+        F.col("next_id").alias("next_doc_id"),
     )
 
 
