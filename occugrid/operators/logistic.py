@@ -144,6 +144,9 @@ def _advance(state: _State, loss: float, gradient, hessian, tol: float) -> None:
         state.slope = gradient @ state.direction
         # Half the squared Newton decrement bounds the loss still to be gained.
         state.done = state.converged = -state.slope / 2 <= tol * max(1.0, loss)
+        if state.converged:
+            # The step is known already, and this close it squares the error.
+            state.weights = state.weights + state.direction
     state.trial = state.weights + state.step * state.direction
 
 
@@ -191,6 +194,46 @@ def fit(
     return models
 
 
+def optimality(grid: DataFrame, models: LogisticModels, folds: Iterable[int]) -> DataFrame:
+    """``(model_fold, label_rank, n, n_pos, gradient)`` of fitted models on their training rows.
+
+    ``gradient`` is the largest slope of the objective in any weight; null for a constant.
+    """
+    counts = class_counts(grid, folds)
+    weight_names = [f"w_{name}" for name in ["intercept", *models.feature_columns]]
+    trials = small_table(
+        grid.sparkSession,
+        [
+            (*key, counts[key][0] / (2.0 * counts[key][1]),
+             counts[key][0] / (2.0 * (counts[key][0] - counts[key][1])), *map(float, weights))
+            for key, weights in models.weights.items()
+        ],
+        ["cost_pos", "cost_neg", *weight_names],
+    )
+    slopes = {
+        key: float(np.abs(gradient + models.weights[key]).max())
+        for key, (_, gradient, _) in _sums(grid, trials, models.feature_columns).items()
+    }
+    rows = [(*key, float(n), float(pos), slopes.get(key)) for key, (n, pos) in counts.items()]
+    return small_table(grid.sparkSession, rows, ["n", "n_pos", "gradient"])
+
+
+def predict_rows(rows: DataFrame, models: DataFrame, feature_columns: list[str], keep: list[str]) -> DataFrame:
+    """``keep`` with ``(label_rank, p, yhat)`` of every final model, for rows without labels."""
+    n_labels = models.agg(F.max("label_rank") + 1).scalar()
+    return (
+        rows.withColumn("label_rank", F.explode(F.sequence(F.lit(0), n_labels - 1)))
+        .join(F.broadcast(models.where(F.col("model_fold") == FINAL)), "label_rank")
+        .selectExpr(*keep, "label_rank", "constant", f"{_linear(feature_columns)} AS z")
+        .selectExpr(
+            *keep,
+            "label_rank",
+            "coalesce(constant, 1D / (1D + exp(-z))) AS p",
+            "CAST(coalesce(constant > 0, z > 0) AS INT) AS yhat",
+        )
+    )
+
+
 def predict(grid: DataFrame, models: DataFrame, feature_columns: list[str]) -> DataFrame:
     """Score label rows with the model of their label; ``p`` = P(y = 1), ``yhat`` = 1 iff z > 0.
 

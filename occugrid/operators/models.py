@@ -5,8 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from occugrid import storage
 from occugrid.operators import forest, labels, logistic
@@ -137,15 +139,49 @@ def predict(spark: SparkSession, path: str, data: Dataset) -> DataFrame:
     if kind == "lr":
         scores = logistic.predict(data.grid(), spark.read.parquet(f"{path}/weights"), columns)
         return _score_columns(scores, data.top)
-    vectors = forest.assemble(data.wide(), columns)
-    scored = None
-    for row in metadata:
-        rank, constant = row["label_rank"], row["constant"]
-        fitted = (
-            RandomForestClassificationModel.load(f"{path}/label_{rank}")
-            if constant is None
-            else constant
-        )
-        one = forest.score_one(vectors, rank, fitted).withColumn("label_rank", F.lit(rank))
-        scored = one if scored is None else scored.unionByName(one)
+    scored = _forest_scores(spark, path, metadata, forest.assemble(data.wide(), columns), [
+        "fold", "region", F.col("labels").alias("labels")
+    ])
+    scored = scored.withColumn("y", F.get("labels", F.col("label_rank"))).drop("labels")
     return _score_columns(scored, data.top)
+
+
+def _forest_scores(spark: SparkSession, path: str, metadata: list, vectors: DataFrame, keep: list) -> DataFrame:
+    """``keep`` with ``(label_rank, p, yhat)`` of every saved forest.
+
+    Label by label, each written before the next is loaded: the driver holds one forest.
+    """
+    target = storage.new_table_path(spark, "forest-scores")
+    for row in metadata:
+        if row["constant"] is None:
+            fitted = RandomForestClassificationModel.load(f"{path}/label_{row['label_rank']}")
+            scored = fitted.transform(vectors)
+            p, yhat = vector_to_array("probability")[1], F.col("prediction").cast("int")
+        else:
+            scored, p, yhat = vectors, F.lit(row["constant"]), F.lit(int(row["constant"]))
+        out = scored.select(*keep, p.alias("p"), yhat.alias("yhat"))
+        out.write.parquet(f"{target}/label_rank={row['label_rank']}")
+    schema = out.schema.add("label_rank", IntegerType())
+    return spark.read.schema(schema).parquet(target)
+
+
+def predict_locations(
+    spark: SparkSession, path: str, features: DataFrame, id_col: str = "loc_id"
+) -> DataFrame:
+    """``(id, taxon_id, label_rank, p, yhat)``: saved models on any table with grid features.
+
+    ``features`` needs ``id_col`` and the five features of a cell, like the test features of
+    the feature job; it needs no labels.
+    """
+    metadata = spark.read.parquet(f"{path}/metadata").orderBy("label_rank").collect()
+    kind, columns = metadata[0]["model"], list(metadata[0]["feature_columns"])
+    rows = labels.one_hot_hemisphere(features)
+    if kind == "lr":
+        weights = spark.read.parquet(f"{path}/weights")
+        scored = logistic.predict_rows(rows, weights, columns, [id_col])
+    else:
+        scored = _forest_scores(spark, path, metadata, forest.assemble(rows, columns), [id_col])
+    top = spark.read.parquet(f"{path}/metadata").select("label_rank", "taxon_id")
+    return scored.join(F.broadcast(top), "label_rank").select(
+        id_col, "taxon_id", "label_rank", "p", "yhat"
+    )

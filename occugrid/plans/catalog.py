@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from occugrid import schemas, storage
-from occugrid.operators import density, labels, metrics, models, occupancy, presence
+from occugrid.operators import density, labels, logistic, metrics, models, occupancy, presence
 from occugrid.operators.cooccurrence import cooccurrence
 from occugrid.operators.forest import ForestParams
 from occugrid.plans import feature_build, modelling
@@ -315,6 +315,35 @@ def _final_predictions(kind: str, k: int) -> Query:
     return run
 
 
+def out_of_fold_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each region is scored once for each label, by models that did not see its fold."""
+    data = _prepared(spark, sf_dir, TOP_K, keep_unlabelled=True)
+    held_out = models.cross_validate(data, "lr")
+    return held_out.where("p between 0 and 1").select("fold", "region", "taxon_id", "y")
+
+
+def logistic_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training rows and positives of every fit, and whether the objective is flat there."""
+    data = _prepared(spark, sf_dir, TOP_K, keep_unlabelled=True)
+    grid = data.grid()
+    fitted = logistic.fit(grid, data.feature_columns, data.folds())
+    return logistic.optimality(grid, fitted, data.folds()).select(
+        F.col("model_fold").alias("held_out"),
+        "label_rank",
+        F.col("n").cast("bigint").alias("n"),
+        F.col("n_pos").cast("bigint").alias("n_pos"),
+        (F.col("gradient") < 1e-6).alias("flat"),
+    )
+
+
+def location_predictions_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The saved models on the test locations, which have no labels."""
+    data = _prepared(spark, sf_dir, TOP_K, keep_unlabelled=True)
+    path = models.fit_final(data, storage.new_table_path(spark, "model"), "lr")
+    located = feature_build.test_features(events.test_locations(spark, sf_dir))
+    return models.predict_locations(spark, path, located)
+
+
 QUERIES: dict[str, Query] = {
     "observation_features": observation_features,
     "test_location_features": test_location_features,
@@ -358,4 +387,7 @@ QUERIES: dict[str, Query] = {
     "cv_log": cv_log_lr,
     "final_model_predictions_lr": _final_predictions("lr", TOP_K),
     "final_model_predictions_rf": _final_predictions("rf", FOREST_K),
+    "out_of_fold_labels": out_of_fold_labels,
+    "logistic_optimality": logistic_optimality,
+    "location_predictions_lr": location_predictions_lr,
 }

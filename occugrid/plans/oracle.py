@@ -279,4 +279,12 @@ SELECT 50 AS topk, 5 AS cv_splits, 'lr' AS model, 42 AS seed, fold,
        round(roc_auc_micro, 9) AS roc_auc_micro, round(pr_auc_micro, 9) AS pr_auc_micro,
        round(f1_micro, 9) AS f1_micro, round(roc_auc_macro, 9) AS roc_auc_macro,
        round(pr_auc_macro, 9) AS pr_auc_macro, round(f1_macro, 9) AS f1_macro FROM six"""),
+    "out_of_fold_labels": _with("""
+SELECT f.fold, m.region, m.taxon_id, m.y FROM matrix m JOIN folds_all f USING (region)"""),
+    "logistic_optimality": _with("""
+SELECT h.fold AS held_out, m.label_rank, count(*) AS n, CAST(sum(m.y) AS BIGINT) AS n_pos,
+       CASE WHEN sum(m.y) BETWEEN 1 AND count(*) - 1 THEN true END AS flat
+FROM matrix m JOIN folds_all f USING (region)
+JOIN (SELECT DISTINCT fold FROM folds_all) h ON h.fold <> f.fold
+GROUP BY h.fold, m.label_rank"""),
 }

@@ -127,6 +127,15 @@ def test_saved_models_predict_like_the_fitted_ones(spark, data, tmp_path, kind):
     assert metadata[0].feature_columns == data.feature_columns
 
 
+@pytest.mark.parametrize("kind", ["lr", "rf"])
+def test_saved_models_score_locations_without_labels(spark, data, tmp_path, kind):
+    path = models.fit_final(data, f"{tmp_path}/model", kind, forest_params=SMALL)
+    known = {(r.region, r.label_rank): (r.p, r.yhat) for r in models.predict(spark, path, data).collect()}
+    located = data.rows.select("region", "grid_lat", "grid_lon", "sin_lon", "cos_lon", "hemisphere")
+    found = models.predict_locations(spark, path, located, "region").collect()
+    assert {(r.region, r.label_rank): (pytest.approx(r.p, abs=1e-9), r.yhat) for r in found} == known
+
+
 SCRIPT = """
 import sys
 from occugrid.session import get_session

@@ -20,7 +20,8 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
 
 def test_every_query_but_the_fits_has_sql():
     fitted = {"loc2spec_cv_metrics", "spec2loc_cv_metrics_lr", "spec2loc_cv_metrics_rf", "cv_log",
-              "final_model_predictions_lr", "final_model_predictions_rf"}
+              "final_model_predictions_lr", "final_model_predictions_rf",
+              "location_predictions_lr"}
     assert set(catalog.QUERIES) - set(oracle.ORACLE) == fitted
 
 
