@@ -25,7 +25,7 @@ def text_of(text_col: str) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(text, f"{BLANK}+"), "")
 
 
 def n_words(text: Column) -> Column:

@@ -60,8 +60,9 @@ RULES = (
     ),
     Rule(
         "word_length",
-        lambda f: ~(f["word_chars"] / f["n_words"]).between(2.5, 14.0),
-        lambda f: (f["word_chars"] / f["n_words"]).between(3.5, 10.0),
+        lambda f: ~(f["word_chars"] * 2).between(f["n_words"] * 5, f["n_words"] * 28),
+        lambda f: (f["word_chars"] * 2).between(f["n_words"] * 7, f["n_words"] * 20)
+        & (f["n_words"] > 0),
     ),
     Rule(
         "length",
@@ -96,25 +97,30 @@ def _removed(text: Column, pattern: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
 
 
-def _repeat_words(sorted_grams: Column, mask: Column) -> Column:
-    """Words inside grams found twice or more.
+def _repeat_words(grams: Column, mask: Column) -> Column:
+    """Words inside grams found twice or more; most texts have none, which is cheap to see.
 
-    A gram is its hash with its position in the low bits, so that sorting puts equal hashes
-    side by side. The covered words are the union of the runs that start at those positions.
+    Else a gram is its hash with its position in the low bits, so that sorting puts equal
+    hashes side by side. The covered words are the union of the runs that start there.
     """
+    placed = F.transform(
+        grams,
+        lambda gram, i: gram.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long")),
+    )
 
-    def twice(gram: Column, i: Column) -> Column:
-        def same(other: Column) -> Column:
-            return F.coalesce(gram.bitwiseXOR(other).between(F.lit(0), mask), F.lit(False))
+    def starts(in_order: Column) -> Column:
+        def twice(gram: Column, i: Column) -> Column:
+            def same(other: Column) -> Column:
+                return F.coalesce(gram.bitwiseXOR(other).between(F.lit(0), mask), F.lit(False))
 
-        return same(F.get(sorted_grams, i - 1)) | same(F.get(sorted_grams, i + 1))
+            return same(F.get(in_order, i - 1)) | same(F.get(in_order, i + 1))
 
-    starts = F.sort_array(
-        F.transform(F.filter(sorted_grams, twice), lambda gram: gram.bitwiseAND(mask))
-    )
-    return let(
-        starts,
-        lambda at: F.aggregate(
+        return F.sort_array(
+            F.transform(F.filter(in_order, twice), lambda gram: gram.bitwiseAND(mask))
+        )
+
+    def covered(at: Column) -> Column:
+        return F.aggregate(
             F.transform(
                 at,
                 lambda start, i: F.least(
@@ -123,7 +129,11 @@ def _repeat_words(sorted_grams: Column, mask: Column) -> Column:
             ),
             F.lit(0).cast("long"),
             lambda total, more: total + more,
-        ),
+        )
+
+    none_twice = F.size(F.array_distinct(grams)) == F.size(grams)
+    return F.when(none_twice, F.lit(0).cast("long")).otherwise(
+        let(let(F.sort_array(placed), starts), covered)
     )
 
 
@@ -142,32 +152,23 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     grams = split.withColumn("__mask", index_mask(F.col("n_words"))).withColumn(
         "__grams", word_grams(F.col("__words"), F.col("n_words").cast("int"), GRAM)
     )
-    placed = grams.withColumn(
-        "__sorted",
-        F.sort_array(
-            F.transform(
-                F.col("__grams"),
-                lambda gram, i: gram.bitwiseAND(F.bitwise_not(F.col("__mask"))).bitwiseOR(
-                    i.cast("long")
-                ),
-            )
-        ),
-    )
-    words = F.col("__words")
-    return placed.select(
-        "row",
-        "n_words",
-        F.length(F.regexp_replace(text, BLANK, "")).cast("long").alias("word_chars"),
+    words, lines = F.col("__words"), F.col("__lines")
+    counts = F.struct(
+        F.col("n_words").alias("n_words"),
+        F.length(F.regexp_replace(text, f"{BLANK}+", "")).cast("long").alias("word_chars"),
         _removed(text, r"[#*$%&|<>]").alias("n_symbols"),
-        (_size(F.col("__lines")) - _size(F.array_distinct(F.col("__lines")))).alias("n_dup_lines"),
-        _repeat_words(F.col("__sorted"), F.col("__mask")).alias("n_repeat_words"),
-        _size(F.col("__lines")).alias("n_lines"),
+        (_size(lines) - _size(F.array_distinct(lines))).alias("n_dup_lines"),
+        _repeat_words(F.col("__grams"), F.col("__mask")).alias("n_repeat_words"),
+        _size(lines).alias("n_lines"),
         _size(F.filter(words, lambda word: word.isin(*FUNCTION_WORDS))).alias("n_function"),
-        _size(F.filter(words, lambda word: F.right(word, F.lit(1)).isin(".", "!", "?"))).alias(
-            "n_ends"
-        ),
-        _removed(text, r"\p{L}").alias("n_letters"),
+        _size(
+            F.filter(words, lambda word: word.endswith(".") | word.endswith("!") | word.endswith("?"))
+        ).alias("n_ends"),
+        _removed(text, r"\p{L}+").alias("n_letters"),
     )
+    # A generator keeps later filters on the counts above their computation; pushed below it,
+    # a filter would split the text again for every word.
+    return grams.select("row", F.inline(F.array(counts)))
 
 
 FEATURES = (
