@@ -42,14 +42,22 @@ def joined_text(column: str):
     return F.array_join(F.col(column).cast("array<string>"), ",").alias(column)
 
 
-_PATHS: dict[tuple[str, str, str], str] = {}
+_PATHS: dict[tuple, str] = {}
+
+
+def _file_state(spark: SparkSession, path: str) -> int:
+    """A number that changes with the files of ``path``, their sizes or their times."""
+    parts = ("file_path", "file_size", "file_modification_time")
+    files = spark.read.parquet(path).select(*[f"_metadata.{part}" for part in parts]).distinct()
+    return files.agg(F.expr(f"bit_xor(xxhash64({', '.join(parts)}))")).first()[0]
 
 
 def _written(
     spark: SparkSession, sf_dir: str, build: Query, schema: str
 ) -> DataFrame:
     """The table of ``build``, written once per application as a separate job would do."""
-    key = (spark.sparkContext.applicationId, build.__name__, sf_dir)
+    state = _file_state(spark, f"{sf_dir}/events.parquet")
+    key = (spark.sparkContext.applicationId, build.__name__, sf_dir, state)
     if key not in _PATHS:
         path = storage.new_table_path(spark, build.__name__)
         build(spark, sf_dir).write.parquet(path)

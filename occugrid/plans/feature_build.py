@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from occugrid import storage
 from occugrid.operators import observations as obs
 from occugrid.sources import tables
 
@@ -27,6 +28,7 @@ def test_features(locations: DataFrame) -> DataFrame:
     return obs.add_features(locations)
 
 
+@storage.drops_its_tables
 def run(
     spark: SparkSession,
     train: str,

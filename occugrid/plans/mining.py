@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from occugrid import storage
 from occugrid.operators.cooccurrence import cooccurrence
 from occugrid.sources import tables
 
 
+@storage.drops_its_tables
 def run(
     spark: SparkSession,
     train_features: str,

@@ -45,6 +45,7 @@ def species_to_location_tables(scores: DataFrame) -> tuple[DataFrame, DataFrame]
     return per_fold, metrics.species_table(metrics.species_means(per_label), per_fold)
 
 
+@storage.drops_its_tables
 def run_location_to_species(
     spark: SparkSession,
     train_features: str,
@@ -70,6 +71,7 @@ def run_location_to_species(
     }
 
 
+@storage.drops_its_tables
 def run_species_to_location(
     spark: SparkSession,
     train_features: str,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from occugrid import storage
 from occugrid.operators import density
 from occugrid.sources import tables
 
@@ -18,6 +19,7 @@ def summaries(features: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+@storage.drops_its_tables
 def run(
     spark: SparkSession,
     train_features: str,

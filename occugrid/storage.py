@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +29,35 @@ def shared_dir(spark: SparkSession) -> str:
     return fresh
 
 
+# Paths handed out inside each running job, the innermost job last.
+_SCOPES: list[list[str]] = []
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/occugrid/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/occugrid/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+def drops_its_tables(job: Callable) -> Callable:
+    """A job ``(spark, ...)`` whose intermediate tables go when it ends, well or not.
+
+    What it returns must not read them: paths of its results, not frames.
+    """
+
+    @functools.wraps(job)
+    def run(spark: SparkSession, *args, **options):
+        _SCOPES.append([])
+        try:
+            return job(spark, *args, **options)
+        finally:
+            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+            for name in _SCOPES.pop():
+                path = jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(conf).delete(path, True)
+
+    return run
 
 
 def written_table(df: DataFrame, name: str, spread_by: str | None = None) -> DataFrame:

@@ -7,7 +7,8 @@ from pathlib import Path
 import pytest
 
 from occugrid.operators.forest import ForestParams
-from occugrid.plans import feature_build, mining, modelling, summary
+from occugrid import storage
+from occugrid.plans import exploration, feature_build, mining, modelling, summary
 from occugrid.sources import events
 
 SMALL = ForestParams(num_trees=3, max_depth=5)
@@ -95,3 +96,26 @@ def test_species_to_location(spark, built, kind):
     micro = {row["taxon_id"]: row for row in rows}["micro"]
     assert float(micro["roc_auc"]) == pytest.approx(sum(f["roc_auc_micro"] for f in log["folds"]) / 2)
     assert written["model"].endswith(f"spec2loc_{kind}")
+
+
+def scratch(spark):
+    root = storage.new_table_path(spark, "probe").rsplit("/", 1)[0].removeprefix("file:")
+    return {path.name for path in Path(root).glob("*")}
+
+
+def test_exploration_and_its_scratch_tables(spark, built, sf_dir, tmp_path):
+    base, _ = built
+    events.test_presence(spark, sf_dir).write.parquet(f"{tmp_path}/presence")
+    before = scratch(spark)
+    paths = exploration.run(
+        spark, f"{base}/train", f"{base}/taxa", f"{base}/test", f"{tmp_path}/presence", f"{tmp_path}/out"
+    )
+    assert scratch(spark) == before
+    tables_ = {name: spark.read.parquet(path) for name, path in paths.items()}
+    (species,) = tables_["species"].collect()
+    assert species.taxon_name in (None, f"taxon_{species.taxon_id}")
+    assert {r.taxon_id for r in tables_["species_observations"].collect()} <= {species.taxon_id}
+    kinds = {r.kind: r["count"] for r in tables_["species_locations"].groupBy("kind").count().collect()}
+    counts = tables_["absence_counts"].where(f"taxon_id = {species.taxon_id}").first()
+    assert (kinds.get("present", 0), kinds["absent"]) == (counts.n_present, counts.n_absent)
+    assert tables_["stats"].count() == 1
