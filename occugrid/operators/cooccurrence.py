@@ -1,9 +1,9 @@
 """Species pairs that share regions.
 
 Joining the species of a region with each other would emit every pair of every region. Here
-species are hashed into blocks of a few hundred; each pair of blocks is one group, and its
-overlaps come from a bit-mask product inside the task. Only pairs that reach the threshold
-leave the task, and no group depends on how rich a single region is.
+species of the same area form blocks of a few hundred; each pair of blocks whose areas overlap
+enough is one group, and its overlaps come from a bit-mask product inside the task. Only pairs
+that reach the threshold leave the task, and no group depends on how rich a single region is.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from occugrid import storage
 from occugrid.functions import measures
 from occugrid.operators import occupancy as occ
 
@@ -47,6 +48,68 @@ def _overlap_counter(min_pair_count: int) -> Callable[[tuple, pd.DataFrame], pd.
     return count_overlaps
 
 
+def placed_masks(occupied: DataFrame, species: DataFrame, species_per_block: int) -> DataFrame:
+    """Mask rows of ``species`` with their ``block``: species of the same area share one.
+
+    Species are ranked by the tile that holds most of their cells, then dealt to blocks in that
+    order. The rank is the number of species of earlier tiles (a row per tile) plus the place
+    inside the tile.
+    """
+    mine = occupied.join(species.select("taxon_id"), "taxon_id", "left_semi")
+    cells = F.struct(F.bit_count("mask"), "tile_lat", "tile_lon")
+    homes = mine.groupBy("taxon_id").agg(F.max_by(F.struct("tile_lat", "tile_lon"), cells).alias("home"))
+    earlier = Window.orderBy("home").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        homes.groupBy("home")
+        .agg(F.count("*").alias("n"))
+        .select("home", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    )
+    place = F.row_number().over(Window.partitionBy("home").orderBy("taxon_id")) - 1
+    blocks = (
+        homes.withColumn("place", place)
+        .join(before, "home")
+        .select("taxon_id", F.floor((F.col("before") + F.col("place")) / species_per_block).alias("block"))
+    )
+    return storage.written_table(mine.join(blocks, "taxon_id"), "placed-masks")
+
+
+def meeting_rows(placed: DataFrame, min_pair_count: int) -> DataFrame:
+    """Mask rows of both blocks for each pair of blocks ``(low, high)`` that may hold a pair.
+
+    Two species share at most the cells that the joint masks of their blocks share. So a pair
+    of blocks counts only if those reach the threshold, and only in the tiles where they meet.
+    Rows grow with the overlap of areas; only species found everywhere still meet all others.
+    """
+    tile = ["tile_lat", "tile_lon"]
+    columns = ["low", "high", "block", "taxon_id", *tile, "mask"]
+    if min_pair_count < 1:
+        # Pairs that never meet are wanted too: every block meets every other.
+        last = placed.agg(F.max("block")).scalar()
+        other = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+        return other.withColumns(
+            {"low": F.least("block", "other"), "high": F.greatest("block", "other")}
+        ).select(*columns)
+    joint = storage.written_table(
+        placed.groupBy("block", *tile).agg(F.bit_or("mask").alias("mask")), "joint-masks"
+    )
+    low = joint.withColumnsRenamed({"block": "low", "mask": "low_mask"})
+    high = joint.withColumnsRenamed({"block": "high", "mask": "high_mask"})
+    met = (
+        low.join(high, tile)
+        .where("low <= high")
+        .withColumn("shared", F.bit_count(F.col("low_mask").bitwiseAND(F.col("high_mask"))))
+        .where("shared > 0")
+        .select("low", "high", *tile, "shared")
+    )
+    met = storage.written_table(met, "met-blocks")
+    enough = met.groupBy("low", "high").agg(F.sum("shared").alias("n")).where(F.col("n") >= min_pair_count)
+    tiles = met.join(enough.select("low", "high"), ["low", "high"], "left_semi").select("low", "high", *tile)
+    sides = tiles.withColumn("block", F.col("low")).unionByName(
+        tiles.where("low < high").withColumn("block", F.col("high"))
+    )
+    return placed.join(sides, ["block", *tile]).select(*columns)
+
+
 def shared_regions(
     occupied: DataFrame,
     species: DataFrame,
@@ -55,29 +118,10 @@ def shared_regions(
 ) -> DataFrame:
     """``(x, y, n_ab)`` for each unordered pair of ``species`` with ``n_ab >= min_pair_count``.
 
-    A threshold of 0 or less also returns the pairs that never meet.
+    A threshold of 0 or less also returns the pairs that never meet: all pairs of species.
     """
-    n_blocks = (
-        species.agg(F.greatest(F.ceil(F.count("*") / species_per_block), F.lit(1)))
-        .scalar()
-        .cast("bigint")
-    )
-    own = F.col("block")
-    replicated = (
-        occupied.join(species.select("taxon_id"), "taxon_id", "left_semi")
-        .withColumn("block", F.pmod(F.xxhash64("taxon_id"), n_blocks))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1)))
-        .select(
-            F.least(own, "other").alias("low"),
-            F.greatest(own, "other").alias("high"),
-            "block",
-            "taxon_id",
-            "tile_lat",
-            "tile_lon",
-            "mask",
-        )
-    )
-    return replicated.groupBy("low", "high").applyInPandas(
+    placed = placed_masks(occupied, species, species_per_block)
+    return meeting_rows(placed, min_pair_count).groupBy("low", "high").applyInPandas(
         _overlap_counter(min_pair_count), "x BIGINT, y BIGINT, n_ab BIGINT"
     )
 

@@ -6,7 +6,12 @@ import pytest
 
 from occugrid import schemas
 from occugrid.operators import occupancy as occ
-from occugrid.operators.cooccurrence import cooccurrence, shared_regions
+from occugrid.operators.cooccurrence import (
+    cooccurrence,
+    meeting_rows,
+    placed_masks,
+    shared_regions,
+)
 
 
 def random_records(seed, n=400, species=12):
@@ -122,3 +127,23 @@ def test_only_qualifying_pairs_leave_the_tasks(make_features):
     occupied = occ.occupancy(features)
     shared = shared_regions(occupied, occ.species_support(occupied), 4, species_per_block=4)
     assert min(r.n_ab for r in shared.collect()) >= 4
+
+
+def test_rows_follow_the_overlap_of_areas(spark, make_features):
+    """Twice the species in twice the area: twice the rows, not four times."""
+    def rows(n_areas):
+        records, i = [], 0
+        for area in range(n_areas):
+            lat, lon = -60 + 16 * (area % 8), -170 + 32 * (area // 8)
+            for species in range(20):
+                for cell in range(12):
+                    records.append((i, lat + cell % 4 + 0.5, lon + cell // 4 + 0.5, 100 * area + species))
+                    i += 1
+        occupied = occ.occupancy(make_features(records))
+        kept = occ.frequent_species(occ.species_support(occupied), 5)
+        placed = placed_masks(occupied, kept, 10)
+        assert shared_regions(occupied, kept, 5, 10).count() == n_areas * 190
+        return meeting_rows(placed, 5).count()
+
+    few, many = rows(12), rows(24)
+    assert many <= 2.1 * few
