@@ -172,6 +172,16 @@ def species_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def species_presence_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test locations without ids in several files; the lists hold their positions."""
+    path = storage.new_table_path(spark, "locations")
+    located = events.test_locations(spark, sf_dir).repartitionByRange(5, "loc_id")
+    located.sortWithinPartitions("loc_id").drop("loc_id").write.parquet(path)
+    return presence.species_presence(
+        events.test_presence(spark, sf_dir), tables.read_test_locations(spark, path, by_position=True)
+    )
+
+
 def species_absence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return presence.absence_counts(
         events.test_presence(spark, sf_dir), events.test_locations(spark, sf_dir)
@@ -373,6 +383,7 @@ QUERIES: dict[str, Query] = {
     "observation_stats": observation_stats,
     "dataset_counts": dataset_counts,
     "species_presence": species_presence,
+    "species_presence_by_position": species_presence_by_position,
     "species_absence_counts": species_absence_counts,
     "random_species": random_species,
     "random_species_locations": random_species_locations,

@@ -235,6 +235,8 @@ FROM (SELECT count(*) AS n FROM obs GROUP BY taxon_id)"""),
 SELECT count(*) AS n_observations, count(DISTINCT region) AS n_regions,
        count(DISTINCT taxon_id) AS n_species FROM feats"""),
     "species_presence": _with("""
+SELECT row_id AS loc_id, taxon_id, lat, lon FROM obs"""),
+    "species_presence_by_position": _with("""
 SELECT row_id AS loc_id, taxon_id, lat, lon FROM obs"""),
     "species_absence_counts": _with("""
 SELECT taxon_id, count(*) AS n_present, (SELECT count(*) FROM obs) - count(*) AS n_absent
