@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 
 import numpy as np
 
+#: The pattern of the vocabulary gives up on blanks of very great length, so such runs are cut
+#: out first. White space as Unicode has it, a fixed set of characters.
+_LONG_BLANK = re.compile(
+    "[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2000,}"
+)
+
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -45,9 +52,21 @@ def sentence_tables(vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def encode(text: str, vocabulary: str) -> np.ndarray:
-    """Ids of a text as unsigned 32-bit integers; strings of special tokens are ordinary text."""
+    """Ids of a text as unsigned 32-bit integers; strings of special tokens are ordinary text.
+
+    A run of blanks is one piece, but for its last one if text follows, which opens the next
+    piece; so a long run can be encoded apart without changing any id.
+    """
     enc = encoder(vocabulary)
-    return np.array(enc.encode_ordinary(text), np.uint32)
+    ids: list[int] = []
+    at = 0
+    for run in _LONG_BLANK.finditer(text):
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        ids += enc.encode_ordinary(text[at : run.start()])
+        ids += enc._core_bpe.encode_single_piece(text[run.start() : stop].encode())
+        at = stop
+    ids += enc.encode_ordinary(text[at:])
+    return np.array(ids, np.uint32)
 
 
 def decode(ids: np.ndarray, vocabulary: str) -> str:

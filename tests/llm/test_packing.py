@@ -82,10 +82,18 @@ def test_awkward_rows(nasty, empty, make_docs, tokenizer):
 
 def test_encoder_agrees_with_the_tokenizer(tokenizer):
     vocabulary = tokens.default_vocabulary()
-    for text in ("", "a  b\n\n c\t", "I'll we've 123 3.14", "é　ß<|endoftext|>", " " * 5000):
+    blanks = [" " * 5000, "a" + " \n" * 3000 + "b", "x." + "\t" * 2500, "\u3000" * 2100 + " 5"]
+    plain = ["", "a  b\n\n c\t", "I'll we've 123 3.14", "é　ß<|endoftext|>", "\x1c\x1f a"]
+    for text in plain + blanks:
         assert tokens.encode(text, vocabulary).tolist() == ids_of(tokenizer, text)[:-1]
 
 
+def test_very_long_runs():
+    vocabulary = tokens.default_vocabulary()
+    for text in (" " * 1_000_000 + "x", "a" * 1_000_000, "\n" * 300_000, "é" * 300_000):
+        assert tokens.decode(tokens.encode(text, vocabulary), vocabulary) == text
+
+
 def test_cuts_cost_least():
     """Against a plain search over all sets of cuts."""
     random.seed(3)
