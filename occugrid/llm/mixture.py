@@ -21,8 +21,9 @@ MAX_REPEATS = 3
 class Mix:
     """Tables of one schedule.
 
-    ``documents``: ``(id, source, size, hash, first)``, a row per input row, where ``first`` is
-    its place in the shuffled words of its source. ``sources``: ``(source, source_size, target,
+    ``documents``: ``(id, source, size, hash, chunk, first)``, a row per input row, where
+    ``first`` is its place in the shuffled words of its source, ``chunk`` the range of rows it
+    was shuffled in. ``sources``: ``(source, source_size, target,
     words, n_slots)``. ``pieces``: ``(slot, source, id, first, round, start, length)``: in the
     order of ``slot``, then ``round`` and ``first``, the words of the mix.
     """
@@ -165,7 +166,7 @@ def mix(
     )
     order = [F.col("hash").asc(), F.col("id").asc(), F.col("size").asc()]
     chunked = ordered_chunks(rows, "shuffled-documents", F.col("source").asc(), *order)
-    documents = running_sum(chunked, "size", order, ["source"], "first").drop("chunk")
+    documents = running_sum(chunked, "size", order, ["source"], "first")
     shares = targets(chunked.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
     shares = written_table(shares.withColumn("words", F.floor("target")), "source-targets")
     slots = written_table(
@@ -180,16 +181,30 @@ def mix(
     return Mix(documents, sources, _pieces(documents, sources, slots))
 
 
+def _with_source(documents: DataFrame, sources: DataFrame) -> DataFrame:
+    """The documents, with what ``sources`` has of their source.
+
+    Sources are spread over the ranges they reach into first, so that the documents of a
+    source that has most of them meet it range by range, not in one task.
+    """
+    reach = documents.select("source", "chunk").distinct().alias("r")
+    spread = (
+        reach.join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
+        .select("r.*", "s.source_size", "s.target", "s.words", "s.n_slots")
+        .alias("s")
+    )
+    d = documents.alias("d")
+    same = F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.chunk") == F.col("s.chunk"))
+    return d.join(spread, same).select("d.*", "s.source_size", "s.target", "s.words", "s.n_slots")
+
+
 def _pieces(documents: DataFrame, sources: DataFrame, slots: DataFrame) -> DataFrame:
     """Stretches of the slots cut at the ends of documents."""
     begin = F.col("round") * F.col("source_size") + F.col("first")
     end = F.least(begin + F.col("size"), F.col("words"))
     rounds = F.floor((F.col("words") - F.col("first") - 1) / F.col("source_size"))
     placed = (
-        documents.where(F.col("size") > 0)
-        .alias("d")
-        .join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-        .select("d.*", "s.source_size", "s.words", "s.n_slots")
+        _with_source(documents.where(F.col("size") > 0), sources)
         .where(F.col("first") < F.col("words"))
         .withColumn("round", F.explode(F.sequence(F.lit(0), rounds.cast("int"))))
         .withColumn("begin", begin)
@@ -230,23 +245,19 @@ def _pieces(documents: DataFrame, sources: DataFrame, slots: DataFrame) -> DataF
 def taken(mixed: Mix, id_col: str = "doc_id") -> DataFrame:
     """``(id, size, source_size, target, taken)``, a row per input row."""
     used = mixed.pieces.groupBy("source", "first").agg(F.sum("length").alias("taken"))
-    d, s, u = mixed.documents.alias("d"), mixed.sources.alias("s"), used.alias("u")
+    d, u = _with_source(mixed.documents, mixed.sources).alias("d"), used.alias("u")
     # A place belongs to one document with words; documents without share it, but take none.
     same = (
         F.col("d.source").eqNullSafe(F.col("u.source"))
         & (F.col("d.first") == F.col("u.first"))
         & (F.col("d.size") > 0)
     )
-    return (
-        d.join(s, F.col("d.source").eqNullSafe(F.col("s.source")))
-        .join(u, same, "left")
-        .select(
-            F.col("d.id").alias(id_col),
-            F.col("d.size").alias("size"),
-            F.col("s.source_size").alias("source_size"),
-            F.col("s.target").alias("target"),
-            F.coalesce("u.taken", F.lit(0)).alias("taken"),
-        )
+    return d.join(u, same, "left").select(
+        F.col("d.id").alias(id_col),
+        F.col("d.size").alias("size"),
+        F.col("d.source_size").alias("source_size"),
+        F.col("d.target").alias("target"),
+        F.coalesce("u.taken", F.lit(0)).alias("taken"),
     )
 
 
