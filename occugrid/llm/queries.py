@@ -80,7 +80,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("expected", 6).alias("expected_severity"),
         F.col("grade").alias("severity"),
         F.round("p_above", 6).alias("p_toxic"),
-        (F.col("p_above") >= 0.5).alias("toxic"),
+        (F.col("p_above") >= ordinal.TOXIC).alias("toxic"),
     )
 
 
