@@ -23,10 +23,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 TOP_K = 50
 N_SPLITS = 5
 SCORED_K = TOP_K
-# Forests are grown with few labels, folds and trees here; the rows are all there.
-FOREST_K = 3
-FOREST_SPLITS = 2
-SMALL_FOREST = ForestParams(num_trees=10, max_depth=10)
 
 PAIR_RATIOS = ("support_a", "support_b", "support_ab", "jaccard", "p_a_given_b", "lift")
 SIX_METRICS = (
@@ -299,8 +295,8 @@ def cv_log_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loc2spec_cv_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = modelling.dataset(features(spark, sf_dir), FOREST_K, FOREST_SPLITS)
-    return modelling.location_to_species_metrics(data, SMALL_FOREST)
+    data = modelling.dataset(features(spark, sf_dir), TOP_K, N_SPLITS)
+    return modelling.location_to_species_metrics(data, ForestParams())
 
 
 def spec2loc_cv_metrics_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,8 +306,8 @@ def spec2loc_cv_metrics_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spec2loc_cv_metrics_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = modelling.dataset(features(spark, sf_dir), FOREST_K, FOREST_SPLITS, keep_unlabelled=True)
-    held_out = models.cross_validate(data, "rf", forest_params=SMALL_FOREST)
+    data = modelling.dataset(features(spark, sf_dir), TOP_K, N_SPLITS, keep_unlabelled=True)
+    held_out = models.cross_validate(data, "rf", forest_params=ForestParams())
     return modelling.species_to_location_tables(held_out)[1]
 
 
@@ -322,11 +318,11 @@ def cv_log_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.cv_log(per_fold, TOP_K, N_SPLITS, "lr", 42)
 
 
-def _final_predictions(kind: str, k: int) -> Query:
+def _final_predictions(kind: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        data = modelling.dataset(features(spark, sf_dir), k, N_SPLITS, keep_unlabelled=True)
+        data = modelling.dataset(features(spark, sf_dir), TOP_K, N_SPLITS, keep_unlabelled=True)
         path = models.fit_final(
-            data, storage.new_table_path(spark, "model"), kind, forest_params=SMALL_FOREST
+            data, storage.new_table_path(spark, "model"), kind, forest_params=ForestParams()
         )
         return models.predict(spark, path, data).drop("fold")
 
@@ -404,8 +400,8 @@ QUERIES: dict[str, Query] = {
     "spec2loc_cv_metrics_lr": spec2loc_cv_metrics_lr,
     "spec2loc_cv_metrics_rf": spec2loc_cv_metrics_rf,
     "cv_log": cv_log_lr,
-    "final_model_predictions_lr": _final_predictions("lr", TOP_K),
-    "final_model_predictions_rf": _final_predictions("rf", FOREST_K),
+    "final_model_predictions_lr": _final_predictions("lr"),
+    "final_model_predictions_rf": _final_predictions("rf"),
     "out_of_fold_labels": out_of_fold_labels,
     "logistic_optimality": logistic_optimality,
     "location_predictions_lr": location_predictions_lr,
