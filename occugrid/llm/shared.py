@@ -58,6 +58,40 @@ def word_grams(words: Column, size: Column, k: int) -> Column:
     return F.when(size == 0, none).when(size < k, short).otherwise(run)
 
 
+def char_grams(df: DataFrame, texts: dict[str, str], k: int) -> DataFrame:
+    """Adds a 64-bit hash of every run of ``k`` characters of the columns ``texts`` (text: new).
+
+    ``k`` is a power of two: hashes of runs are paired to hashes of runs twice as long, so the
+    work per character grows with the logarithm of ``k``. Of all characters where there are
+    fewer, none of none.
+    """
+    if k & (k - 1):
+        raise ValueError("k must be a power of two")
+    out = df.withColumns({to: F.split(F.col(text), "") for text, to in texts.items()})
+    width = 1
+    while width < k:
+        out = out.withColumns({to: _paired(F.col(to), width) for to in texts.values()})
+        width *= 2
+    none = F.array().cast("array<bigint>")
+    return out.withColumns(
+        {
+            to: F.when(F.length(text) == 0, none)
+            .when(F.length(text) < k, F.array(F.xxhash64(F.col(text), F.lit("short"))))
+            .otherwise(F.slice(F.col(to), F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(0))))
+            for text, to in texts.items()
+        }
+    )
+
+
+def _paired(runs: Column, width: int) -> Column:
+    """Hashes of runs twice as long; past the last whole run they mean nothing."""
+    return F.zip_with(
+        runs,
+        F.slice(runs, width + 1, F.greatest(F.size(runs) - width, F.lit(0))),
+        lambda here, later: F.xxhash64(here, later),
+    )
+
+
 def ordered_chunks(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """``df`` range-partitioned by ``order`` and written once, with the number of the range.
 
