@@ -35,7 +35,7 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences, with their token ids."""
-    pieces = packing.pack(docs)
+    pieces = packing.pack(docs, added_tokens=True)
     return pieces.withColumnRenamed("id", "doc_id")
 
 

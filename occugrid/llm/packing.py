@@ -95,7 +95,16 @@ def _cut_places(
 class _Packer:
     """Packs the documents of one range, block by block, in order."""
 
-    def __init__(self, vocabulary: str, costs: Costs, end_id: int, block: int, first_sequence: int):
+    def __init__(
+        self,
+        vocabulary: str,
+        costs: Costs,
+        end_id: int,
+        block: int,
+        first_sequence: int,
+        added_tokens: bool,
+    ):
+        self.encode = tokens.encode_with_added if added_tokens else tokens.encode
         self.vocabulary, self.costs, self.end_id, self.block = vocabulary, costs, end_id, block
         self.sequence = first_sequence
         self.ids: list[np.ndarray] = []
@@ -103,7 +112,7 @@ class _Packer:
         self.held = 0
 
     def add(self, doc_id: int | None, text: str) -> Iterator[pa.RecordBatch]:
-        ids = np.append(tokens.encode(text, self.vocabulary), np.uint32(self.end_id))
+        ids = np.append(self.encode(text, self.vocabulary), np.uint32(self.end_id))
         self.ids.append(ids)
         self.docs.append((doc_id, 0, len(ids)))
         self.held += len(ids)
@@ -161,6 +170,7 @@ def pack(
     costs: Costs = Costs(),  # noqa: B008
     end_id: int = 0,
     block: int = 1 << 18,
+    added_tokens: bool = False,
 ) -> DataFrame:
     """Pieces of all documents in sequences of at most ``costs.sequence`` tokens.
 
@@ -172,6 +182,9 @@ def pack(
     tokens. A document goes on in the next sequence where it is cut. Every range ends with one
     sequence of what is left.
 
+    With ``added_tokens`` the string of an added token in a text is that token, as the tokenizer
+    reads it when loaded; without, it is ordinary text.
+
     A null or empty text is the single ``end_id``. Null ids come first. Repeated rows are packed
     each. No rows give no pieces. A long text takes as many sequences as it needs. Other columns
     are not read.
@@ -180,7 +193,7 @@ def pack(
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
-        packer = _Packer(vocabulary, costs, end_id, block, first)
+        packer = _Packer(vocabulary, costs, end_id, block, first, added_tokens)
         for batch in batches:
             ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
             for doc_id, text in zip(ids, texts, strict=True):

@@ -25,7 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), added_tokens=True))
 
 
 def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

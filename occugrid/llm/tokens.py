@@ -14,6 +14,9 @@ _LONG_BLANK = re.compile(
     "[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2000,}"
 )
 
+#: The one added token of the vocabulary. Its string is cut out before the pattern is applied.
+END_OF_TEXT, END_OF_TEXT_STRING = 50256, "<|endoftext|>"
+
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -38,7 +41,7 @@ def encoder(vocabulary: str):
 def sentence_tables(vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every id: does it end a sentence, begin with a blank, end with a line feed."""
     enc = encoder(vocabulary)
-    size = enc.n_vocab
+    size = max(enc.n_vocab, END_OF_TEXT + 1)
     ends, blank, feed = (np.zeros(size, bool) for _ in range(3))
     for token in range(size):
         try:
@@ -69,5 +72,17 @@ def encode(text: str, vocabulary: str) -> np.ndarray:
     return np.array(ids, np.uint32)
 
 
+def encode_with_added(text: str, vocabulary: str) -> np.ndarray:
+    """Ids of a text as by ``encode``, but each string of the added token is that token."""
+    if END_OF_TEXT_STRING not in text:
+        return encode(text, vocabulary)
+    parts = text.split(END_OF_TEXT_STRING)
+    between = np.array([END_OF_TEXT], np.uint32)
+    out = [encode(parts[0], vocabulary)]
+    for part in parts[1:]:
+        out += [between, encode(part, vocabulary)]
+    return np.concatenate(out)
+
+
 def decode(ids: np.ndarray, vocabulary: str) -> str:
     return encoder(vocabulary).decode(ids.tolist())
