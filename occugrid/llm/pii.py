@@ -33,6 +33,19 @@ class Kind:
     always: bool = True
 
 
+#: Length of an IBAN by country.
+IBAN_LENGTHS = {
+    code: length
+    for length, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI",
+        20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for code in codes.split()
+}
+
 # Patterns, context words and prior scores of each kind, in the order of output.
 KINDS = (
     Kind(
@@ -161,6 +174,66 @@ def _found(text: Column, kind: Kind) -> Column:
     return F.when(text.rlike(kind.worth_a_look), spans).otherwise(nothing)
 
 
+def _ibans(text: Column, kind: Kind) -> Column:
+    """Spans of IBANs. Words after one may look like its groups, so shorter ones are tried too.
+
+    The pattern is looked for from every head (two letters, two digits), also inside an earlier
+    match that failed. Each match is taken without its last groups where that gives the length
+    of its country, or, for a country not in ``IBAN_LENGTHS``, any length; else as a whole.
+    """
+    head = r"[A-Z]{2}[0-9]{2}"
+    guard, rest = kind.pattern.split(head, 1)
+    ahead = f"{guard}(?=({head}{rest})){head}"
+    found = F.regexp_extract_all(text, F.lit(ahead), F.lit(1))
+    gaps = F.split(text, ahead, -1)
+    nothing = F.array().cast(f"array<{SPAN}>")
+    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+
+    def iban(match: Column) -> Column:
+        parts = F.split(match, r"\x20")
+        known = F.try_element_at(lengths, F.substring(match, 1, 2))
+        shorter = F.transform(
+            F.sequence(F.lit(0), F.size(parts) - 1),
+            lambda less: F.array_join(F.slice(parts, F.lit(1), F.size(parts) - less), " "),
+        )
+        valid = F.filter(shorter, lambda value: _valid(kind.name, value))
+        right = F.filter(valid, lambda value: F.length(F.replace(value, F.lit(" "), F.lit(""))) == known)
+        rest = F.filter(valid, lambda value: known.isNull() | (value == match))
+        return F.coalesce(F.get(right, F.lit(0)), F.get(rest, F.lit(0)))
+
+    def step(state: Column, pair: Column) -> Column:
+        start = state["at"] + F.length(pair["gap"])
+        end = start + F.length(pair["value"])
+        span = F.struct(
+            F.lit(kind.name).alias("kind"),
+            start.alias("start"),
+            end.alias("end"),
+            pair["value"].alias("value"),
+            F.lit(kind.prior).alias("score"),
+        )
+        taken = pair["value"].isNotNull() & (start >= state["free"])
+        return F.struct(
+            (start + 4).alias("at"),
+            F.when(taken, end).otherwise(state["free"]).alias("free"),
+            F.when(taken, F.concat(state["spans"], F.array(span)))
+            .otherwise(state["spans"])
+            .alias("spans"),
+        )
+
+    pairs = F.zip_with(
+        F.slice(gaps, F.lit(1), F.size(found)),
+        found,
+        lambda gap, match: F.struct(gap.alias("gap"), iban(match).alias("value")),
+    )
+    spans = F.aggregate(
+        pairs,
+        F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), nothing.alias("spans")),
+        step,
+        lambda state: state["spans"],
+    )
+    return F.when(text.rlike(kind.worth_a_look), spans).otherwise(nothing)
+
+
 def _scored(text: Column, spans: Column, kind: Kind) -> Column:
     def score(span: Column) -> Column:
         first = F.greatest(span["start"] - NEAR, F.lit(0))
@@ -192,7 +265,7 @@ def detect(
     ``spans`` is an array of ``(kind, start, end, value, score)``, by kind in the order of
     ``KINDS``, then by start; offsets are code points, the end is exclusive. Matches of a kind
     are leftmost and do not overlap; a match that fails its check (octets up to 255, Luhn,
-    number of digits, mod-97) is dropped and not retried. Context words within ``NEAR``
+    number of digits, mod-97) is dropped and not retried, but for IBANs (see ``_ibans``). Context words within ``NEAR``
     characters move the score. Spans of the kinds in ``BASE`` are kept whatever their score,
     others from ``min_score``.
 
@@ -202,7 +275,12 @@ def detect(
     text = F.col("__text")
     rows = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text"))
     raw = rows.select(
-        "__id", "__text", *[_found(text, kind).alias(f"__{kind.name}") for kind in KINDS]
+        "__id",
+        "__text",
+        *[
+            (_ibans if kind.name == "iban" else _found)(text, kind).alias(f"__{kind.name}")
+            for kind in KINDS
+        ],
     )
     scored = [
         _scored(text, F.col(f"__{kind.name}"), kind)
