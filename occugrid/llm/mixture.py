@@ -211,9 +211,13 @@ def _pieces(documents: DataFrame, sources: DataFrame, slots: DataFrame) -> DataF
         .withColumn("end", end)
     )
 
+    def whole(a: Column, b: Column) -> Column:
+        """Whole-number division; a quotient of decimals would be rounded first."""
+        return F.call_function("div", a.cast("decimal(38,0)"), b.cast("decimal(38,0)"))
+
     def slot_of(word: Column) -> Column:
         """The slot whose stretch ``[rank * words // n, (rank + 1) * words // n)`` has it."""
-        return F.floor(((word + 1) * F.col("n_slots") - 1).cast("decimal(38,0)") / F.col("words"))
+        return whole((word + 1) * F.col("n_slots") - 1, F.col("words"))
 
     reached = placed.withColumn(
         "rank",
@@ -225,8 +229,8 @@ def _pieces(documents: DataFrame, sources: DataFrame, slots: DataFrame) -> DataF
         slots.alias("t"),
         F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.rank") == F.col("t.rank")),
     )
-    low = F.floor((F.col("p.rank") * F.col("words")).cast("decimal(38,0)") / F.col("n_slots"))
-    high = F.floor(((F.col("p.rank") + 1) * F.col("words")).cast("decimal(38,0)") / F.col("n_slots"))
+    low = whole(F.col("p.rank") * F.col("words"), F.col("n_slots"))
+    high = whole((F.col("p.rank") + 1) * F.col("words"), F.col("n_slots"))
     left = F.greatest(F.col("begin"), low.cast("long"))
     right = F.least(F.col("end"), high.cast("long"))
     return met.select(
