@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from occugrid.llm.shared import text_of
 
 #: Labelled rows that a model is fitted on, at most (about: rows are drawn by hash).
-MAX_ROWS = 6_000
+MAX_ROWS = 8_000
 #: Chance of any grade above 0 from which a text counts as toxic: missing one costs more than
 #: looking at one too many.
 TOXIC = 0.3
