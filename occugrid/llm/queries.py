@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from occugrid.llm import (
+    decontamination,
+    importance,
     line_dedup,
     lsh_forest,
     mixture,
@@ -17,6 +19,7 @@ from occugrid.llm import (
     revisits,
     separators,
     weak_supervision,
+    whitening,
     winnowing,
 )
 from occugrid.llm.shared import table
@@ -98,6 +101,23 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighed = importance.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return importance.resample(weighed)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = whitening.fixed_point(table(spark, sf_dir, "embeddings"))
+    model, distinct = whitening.fit(vectors)
+    error = whitening.identity_error(model, distinct)
+    return whitening.components(whitening.transform(vectors, model), model, error)
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.contamination(found)
+
+
 QUERIES: dict[str, Query] = {
     "op1_packed_sequences": op1_packed_sequences,
     "op2_revisits": op2_revisits,
@@ -109,4 +129,7 @@ QUERIES: dict[str, Query] = {
     "op8_personal_data": op8_personal_data,
     "op9_toxicity": op9_toxicity,
     "op10_fingerprints": op10_fingerprints,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_decontamination": op13_decontamination,
 }
