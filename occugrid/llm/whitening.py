@@ -217,8 +217,8 @@ def identity_error(model: Whitening, distinct: DataFrame) -> float:
 def transform(vectors: DataFrame, model: Whitening) -> DataFrame:
     """``(id, whitened, deviation)``: whitened coordinates of every row, and its exact distance.
 
-    ``deviation`` is the sum over the dimensions of ``(n * x - sums) ** 2``; one that no long
-    holds fails the job. Null ids and repeated rows are kept. No shuffle.
+    ``deviation`` is the sum over the dimensions of ``(n * x - sums) ** 2``, a decimal of up to
+    38 digits. Null ids and repeated rows are kept. No shuffle.
     """
     dims = len(model.sums)
     shared = vectors.sparkSession.sparkContext.broadcast(model)
@@ -231,22 +231,25 @@ def transform(vectors: DataFrame, model: Whitening) -> DataFrame:
                 pa.array(np.arange(len(x) + 1) * w.shape[1], pa.int32()), pa.array(w.ravel())
             )
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], lists, pa.array(shared.value.squares(x), pa.int64())],
+                [batch["id"], lists, pa.array(map(str, shared.value.squares(x)), pa.string())],
                 names=["id", "whitened", "deviation"],
             )
 
     kind = vectors.schema["id"].dataType.simpleString()
-    return vectors.mapInArrow(whiten, f"id {kind}, whitened array<double>, deviation long")
+    found = vectors.mapInArrow(whiten, f"id {kind}, whitened array<double>, deviation string")
+    return found.withColumn("deviation", F.col("deviation").cast("decimal(38,0)"))
 
 
 def components(transformed: DataFrame, model: Whitening, error: float, id_col: str = "vec_id") -> DataFrame:
     """A row for each row and component: ``(id, component, n, deviation, whitened, explained,
-    identity_error)``. Null ids and repeated rows are kept; without components there are no rows.
+    identity_error)``. A deviation that no long holds is null. Null ids and repeated rows are kept;
+    without components there are no rows.
     """
     shares = [float(one) for one in model.variances / model.trace] if model.trace else []
     explained = F.array(*[F.lit(one) for one in shares]).cast("array<double>")
+    deviation = F.col("deviation").try_cast("long").alias("deviation")
     return transformed.select(
-        F.col("id").alias(id_col), "deviation", F.posexplode("whitened").alias("place", "whitened")
+        F.col("id").alias(id_col), deviation, F.posexplode("whitened").alias("place", "whitened")
     ).select(
         id_col,
         (F.col("place") + 1).alias("component"),
