@@ -45,6 +45,11 @@ def group_key(grid_lat: Column, grid_lon: Column) -> Column:
     return grid_lat * 1000 + grid_lon
 
 
+def block_key(grid_lat: Column, grid_lon: Column, block_deg: int) -> Column:
+    """Integer key of the block of ``block_deg`` x ``block_deg`` cells; blocks of 1 are the cells."""
+    return group_key(F.floor(grid_lat / block_deg), F.floor(grid_lon / block_deg))
+
+
 def tile_index(grid: Column) -> Column:
     """Tile row or column of a cell index (arithmetic shift, so it floors negatives too)."""
     return F.shiftright(grid, TILE_SHIFT)

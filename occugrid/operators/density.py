@@ -3,16 +3,87 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from occugrid.storage import written_table
+
 
 def point_density(points: DataFrame) -> DataFrame:
     """Observations per exact position."""
     return points.groupBy("lon", "lat").agg(F.count("*").alias("n"))
 
 
+def point_pyramid(points: DataFrame, finest: int = 12, split_above: int = 1000) -> DataFrame:
+    """Counts on a quad tree of cells: ``(level, x, y, quadkey, n, parent_n, shown)``.
+
+    Level 0 is the globe as one cell; every cell has four children of half its width and height,
+    ``quadkey`` names its ancestors by a digit 0 to 3 each. Only the finest level is counted from
+    the observations, and combined before the shuffle; each coarser level adds up the at most four
+    children of the next finer one. So every level sums to all observations, and cells without
+    any are left out.
+
+    ``shown`` marks the cells that together cover each observation once at a fitting grain: a cell
+    is split where it holds more than ``split_above``, down to the finest level. Null coordinates
+    count nowhere; the upper edges belong to the last cell.
+    """
+    last = F.lit((1 << finest) - 1).cast("long")
+
+    def cell(coordinate: str, low: float, width: float) -> Column:
+        inside = F.floor((F.col(coordinate) - low) / width * (1 << finest))
+        return F.least(F.greatest(inside, F.lit(0).cast("long")), last)
+
+    counted = (
+        points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
+        .groupBy(cell("lon", -180.0, 360.0).alias("x"), cell("lat", -90.0, 180.0).alias("y"))
+        .agg(F.count("*").alias("n"))
+    )
+    cells = written_table(counted, "finest-cells")
+    levels = []
+    for level in range(finest, 0, -1):
+        parents = cells.groupBy(F.shiftright("x", 1).alias("px"), F.shiftright("y", 1).alias("py")).agg(
+            F.sum("n").alias("parent_n"), F.collect_list(F.struct("x", "y", "n")).alias("children")
+        )
+        # The next level and this one read the same written parents.
+        parents = written_table(parents, f"cells-{level - 1}")
+        levels.append(parents.select(F.lit(level).alias("level"), F.inline("children"), "parent_n"))
+        cells = parents.select(F.col("px").alias("x"), F.col("py").alias("y"), F.col("parent_n").alias("n"))
+    levels.append(
+        cells.select(F.lit(0).alias("level"), "x", "y", "n", F.lit(None).cast("long").alias("parent_n"))
+    )
+    pyramid = reduce(DataFrame.unionByName, levels)
+    bits = F.sequence(F.lit(1), F.col("level"))
+    digit = lambda i: (
+        F.getbit("x", F.col("level") - i) + 2 * F.getbit("y", F.col("level") - i)
+    ).cast("string")
+    split = F.coalesce(F.col("parent_n") > split_above, F.lit(True))
+    return pyramid.select(
+        "level",
+        "x",
+        "y",
+        F.when(F.col("level") == 0, "").otherwise(F.array_join(F.transform(bits, digit), "")).alias("quadkey"),
+        "n",
+        "parent_n",
+        (split & ((F.col("n") <= split_above) | (F.col("level") == finest))).alias("shown"),
+    )
+
+
+def fitting_cells(pyramid: DataFrame) -> DataFrame:
+    """``(quadkey, level, n, west, south, width, height)`` of the shown cells, in degrees."""
+    width, height = 360.0 / F.pow(2.0, F.col("level")), 180.0 / F.pow(2.0, F.col("level"))
+    return pyramid.where("shown").select(
+        "quadkey",
+        "level",
+        "n",
+        (F.col("x") * width - 180.0).alias("west"),
+        (F.col("y") * height - 90.0).alias("south"),
+        width.alias("width"),
+        height.alias("height"),
+    )
+
+
 def hemisphere_counts(features: DataFrame) -> DataFrame:
     return features.groupBy("hemisphere").agg(F.count("*").alias("n"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 from operator import or_
 
@@ -15,29 +16,31 @@ NUMERIC_FEATURES = ["grid_lat", "grid_lon", "sin_lon", "cos_lon"]
 HEMISPHERE_FEATURE = "hemisphere_S"
 
 
-def _words(n_labels: int) -> list[str]:
+def label_words(n_labels: int) -> list[str]:
+    """Columns that hold the label bits."""
     return [f"word_{i}" for i in range(-(-n_labels // WORD_BITS))]
 
 
-def _has_label(rank: Column, n_labels: int) -> Column:
+def has_label(rank: Column, n_labels: int) -> Column:
     """1 if the label words hold ``rank``, else 0."""
     word = F.element_at(
-        F.array(*_words(n_labels)), F.floor(rank / WORD_BITS).cast("int") + 1
+        F.array(*label_words(n_labels)), F.floor(rank / WORD_BITS).cast("int") + 1
     )
     return F.getbit(word, (rank % WORD_BITS).cast("int")).cast("int")
 
 
 def labelled_regions(
-    features: DataFrame, top: DataFrame, n_labels: int, keep_unlabelled: bool
+    features: DataFrame, top: DataFrame, n_labels: int, keep_unlabelled: bool, block_deg: int = 1
 ) -> DataFrame:
     """One row per region: location features and its top species as label bits.
 
     ``top`` holds the ``n_labels`` most widespread species, so it is broadcast. Labels,
     first-observation features and regions come out of one aggregation whose buffers are all
-    fixed-width. ``keep_unlabelled=False`` drops the regions without a top species.
+    fixed-width. ``keep_unlabelled=False`` drops the regions without a top species. The group of
+    a region is its block of ``block_deg`` degrees, by default the region itself.
     """
     lat, lon, rank = F.col("grid_lat"), F.col("grid_lon"), F.col("label_rank")
-    words = _words(n_labels)
+    words = label_words(n_labels)
     bit = geo.bit_flag(rank % WORD_BITS)
     in_word = [
         F.bit_or(F.when(F.floor(rank / WORD_BITS) == i, bit)) for i in range(len(words))
@@ -60,7 +63,7 @@ def labelled_regions(
         {
             "region": geo.region_key(lat, lon),
             "hemisphere": geo.hemisphere(lat),
-            "group_key": geo.group_key(lat, lon),
+            "group_key": geo.block_key(lat, lon, block_deg),
         }
     )
 
@@ -78,7 +81,7 @@ def feature_columns(both_hemispheres: bool) -> list[str]:
 def label_array(n_labels: int) -> Column:
     """0/1 per label in popularity order."""
     ranks = F.sequence(F.lit(0), F.lit(n_labels - 1))
-    return F.transform(ranks, lambda rank: _has_label(rank, n_labels))
+    return F.transform(ranks, lambda rank: has_label(rank, n_labels))
 
 
 def label_grid(rows: DataFrame, n_labels: int) -> DataFrame:
@@ -88,8 +91,8 @@ def label_grid(rows: DataFrame, n_labels: int) -> DataFrame:
     """
     return (
         rows.withColumn("label_rank", F.explode(F.sequence(F.lit(0), F.lit(n_labels - 1))))
-        .withColumn("y", _has_label(F.col("label_rank"), n_labels))
-        .drop(*_words(n_labels))
+        .withColumn("y", has_label(F.col("label_rank"), n_labels))
+        .drop(*label_words(n_labels))
     )
 
 
@@ -104,6 +107,31 @@ def top_species_lists(baskets: DataFrame, top: DataFrame) -> DataFrame:
     return baskets.withColumn("species_topk", F.array_intersect("species_list", wanted))
 
 
+def balanced_folds(sizes: list[tuple[int, int]], n_splits: int) -> list[tuple[int, int]]:
+    """``(group, fold)`` for ``(group, rows)``: the largest group first, each to the fold with the
+    fewest rows so far. Among equal groups the greater key goes first, among equal folds the first.
+    """
+    loads = [(0, fold) for fold in range(1, n_splits + 1)]
+    dealt = []
+    for group, n in sorted(sizes, key=lambda one: (-one[1], -one[0])):
+        load, fold = loads[0]
+        heapq.heapreplace(loads, (load + n, fold))
+        dealt.append((group, fold))
+    return dealt
+
+
+def assign_block_folds(rows: DataFrame, n_splits: int = 5) -> DataFrame:
+    """Grouped k-fold for groups of unequal size, so that the folds have like numbers of rows.
+
+    Groups are blocks of cells, so their table is bounded by the 181 x 361 cells of the globe,
+    however many observations there are; that table is what the driver deals and what is
+    broadcast. Groups of one row get the folds of ``assign_folds``.
+    """
+    sizes = [tuple(row) for row in rows.groupBy("group_key").count().collect()]
+    folds = rows.sparkSession.createDataFrame(balanced_folds(sizes, n_splits), "group_key BIGINT, fold INT")
+    return rows.join(F.broadcast(folds), "group_key")
+
+
 def assign_folds(rows: DataFrame, n_splits: int = 5) -> DataFrame:
     """Grouped k-fold: groups in descending key order are dealt to the folds in turn.
 

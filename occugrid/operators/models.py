@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import RandomForestClassificationModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from occugrid import storage
 from occugrid.operators import forest, labels, logistic
@@ -47,19 +44,24 @@ def check_kind(model: str) -> str:
 
 
 def prepare(
-    features: DataFrame, top: DataFrame, n_splits: int, keep_unlabelled: bool
+    features: DataFrame, top: DataFrame, n_splits: int, keep_unlabelled: bool, block_deg: int = 1
 ) -> Dataset:
     """Build the dataset in two passes over the features: one for ``top``, one for the regions.
 
-    Each step is written, so the folds and every later fit only read small tables.
+    Each step is written, so the folds and every later fit only read small tables. With
+    ``block_deg`` above 1 all regions of a block of so many degrees are in one fold, so that a
+    region is not judged by its neighbours.
     """
+    if block_deg < 1:
+        raise ValueError(f"block_deg must be a whole number from 1 up, not {block_deg}")
     top = storage.written_table(top, "labels")
     n_labels = top.count()
     rows = storage.written_table(
-        labels.labelled_regions(features, top, n_labels, keep_unlabelled), "regions"
+        labels.labelled_regions(features, top, n_labels, keep_unlabelled, block_deg), "regions"
     )
+    dealt = labels.assign_folds if block_deg == 1 else labels.assign_block_folds
     rows = storage.written_table(
-        labels.one_hot_hemisphere(labels.assign_folds(rows, n_splits)), "folds", spread_by="region"
+        labels.one_hot_hemisphere(dealt(rows, n_splits)), "folds", spread_by="region"
     )
     low, high, n_groups = rows.agg(
         F.min("hemisphere"), F.max("hemisphere"), F.count_distinct("group_key")
@@ -85,10 +87,9 @@ def cross_validate(
         models = logistic.fit(grid, data.feature_columns, data.folds(), max_iter)
         scores = logistic.predict(grid, models.table(spark), data.feature_columns)
         return _score_columns(scores, data.top)
-    vectors = forest.assemble(data.wide(), data.feature_columns)
     counts = logistic.class_counts(grid, data.folds())
-    path = storage.new_table_path(spark, "scores")
-    return _score_columns(forest.held_out_scores(vectors, counts, forest_params, path), data.top)
+    scores = forest.held_out_scores(data.rows, data.feature_columns, counts, forest_params)
+    return _score_columns(storage.written_table(scores, "scores"), data.top)
 
 
 def fit_final(
@@ -110,13 +111,8 @@ def fit_final(
         constants = {
             rank: c for (_, rank), n in counts.items() if (c := logistic.single_class(*n)) is not None
         }
-
-        def save(_: int, rank: int, fitted: RandomForestClassificationModel | float) -> None:
-            if not isinstance(fitted, float):
-                fitted.write().overwrite().save(f"{path}/label_{rank}")
-
-        vectors = forest.assemble(data.wide(), data.feature_columns)
-        forest.for_each_model(counts, vectors, forest_params, save)
+        nodes = forest.fit(data.rows, data.feature_columns, counts, forest_params)
+        nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     known = spark.createDataFrame(list(constants.items()), "label_rank INT, constant DOUBLE")
     metadata = (
         data.top.select("label_rank", "taxon_id")
@@ -125,6 +121,7 @@ def fit_final(
             {
                 "model": F.lit(model),
                 "feature_columns": F.array(*[F.lit(name) for name in data.feature_columns]),
+                "num_trees": F.lit(forest_params.num_trees if model == "rf" else None).cast("int"),
             }
         )
     )
@@ -139,30 +136,23 @@ def predict(spark: SparkSession, path: str, data: Dataset) -> DataFrame:
     if kind == "lr":
         scores = logistic.predict(data.grid(), spark.read.parquet(f"{path}/weights"), columns)
         return _score_columns(scores, data.top)
-    scored = _forest_scores(spark, path, metadata, forest.assemble(data.wide(), columns), [
-        "fold", "region", F.col("labels").alias("labels")
-    ])
-    scored = scored.withColumn("y", F.get("labels", F.col("label_rank"))).drop("labels")
+    words = labels.label_words(data.n_labels)
+    scored = _forest_scores(spark, path, metadata, data.rows, ["fold", "region", *words])
+    scored = scored.withColumn("y", labels.has_label(F.col("label_rank"), data.n_labels))
     return _score_columns(scored, data.top)
 
 
-def _forest_scores(spark: SparkSession, path: str, metadata: list, vectors: DataFrame, keep: list) -> DataFrame:
-    """``keep`` with ``(label_rank, p, yhat)`` of every saved forest.
-
-    Label by label, each written before the next is loaded: the driver holds one forest.
-    """
-    target = storage.new_table_path(spark, "forest-scores")
-    for row in metadata:
-        if row["constant"] is None:
-            fitted = RandomForestClassificationModel.load(f"{path}/label_{row['label_rank']}")
-            scored = fitted.transform(vectors)
-            p, yhat = vector_to_array("probability")[1], F.col("prediction").cast("int")
-        else:
-            scored, p, yhat = vectors, F.lit(row["constant"]), F.lit(int(row["constant"]))
-        out = scored.select(*keep, p.alias("p"), yhat.alias("yhat"))
-        out.write.parquet(f"{target}/label_rank={row['label_rank']}")
-    schema = out.schema.add("label_rank", IntegerType())
-    return spark.read.schema(schema).parquet(target)
+def _forest_scores(spark: SparkSession, path: str, metadata: list, rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` with ``(label_rank, p, yhat)`` of every saved forest and constant."""
+    nodes = spark.read.schema(forest.NODES).parquet(f"{path}/nodes")
+    scored = forest.predict(nodes, metadata[0]["num_trees"], rows, list(metadata[0]["feature_columns"]), keep)
+    constants = [(m["label_rank"], m["constant"]) for m in metadata if m["constant"] is not None]
+    if not constants:
+        return scored
+    # One for each label at most.
+    known = F.explode(F.array(*[F.struct(F.lit(r).alias("label_rank"), F.lit(c).alias("p")) for r, c in constants]))
+    constant = rows.select(*keep, known.alias("known")).select(*keep, "known.*")
+    return scored.unionByName(constant.withColumn("yhat", (F.col("p") > 0.5).cast("int")))
 
 
 def predict_locations(
@@ -180,7 +170,7 @@ def predict_locations(
         weights = spark.read.parquet(f"{path}/weights")
         scored = logistic.predict_rows(rows, weights, columns, [id_col])
     else:
-        scored = _forest_scores(spark, path, metadata, forest.assemble(rows, columns), [id_col])
+        scored = _forest_scores(spark, path, metadata, rows, [id_col])
     top = spark.read.parquet(f"{path}/metadata").select("label_rank", "taxon_id")
     return scored.join(F.broadcast(top), "label_rank").select(
         id_col, "taxon_id", "label_rank", "p", "yhat"

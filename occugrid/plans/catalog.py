@@ -147,6 +147,18 @@ def point_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.point_density(features(spark, sf_dir))
 
 
+def _pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.point_pyramid(features(spark, sf_dir), finest=10, split_above=40)
+
+
+def density_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pyramid(spark, sf_dir)
+
+
+def density_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.fitting_cells(_pyramid(spark, sf_dir))
+
+
 def observations_per_species(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.observations_per_species(events.observations(spark, sf_dir))
 
@@ -201,8 +213,10 @@ def one_species_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return presence.observations_of(every, random_species(spark, sf_dir))
 
 
-def _prepared(spark: SparkSession, sf_dir: str, k: int, keep_unlabelled: bool) -> models.Dataset:
-    return modelling.dataset(features(spark, sf_dir), k, N_SPLITS, keep_unlabelled)
+def _prepared(
+    spark: SparkSession, sf_dir: str, k: int, keep_unlabelled: bool, block_deg: int = 1
+) -> models.Dataset:
+    return modelling.dataset(features(spark, sf_dir), k, N_SPLITS, keep_unlabelled, block_deg)
 
 
 def _dataset(keep_unlabelled: bool) -> Query:
@@ -221,15 +235,19 @@ def multilabel_matrix_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.with_taxa(data.grid(), data.top).select("region", "taxon_id", "label_rank", "y")
 
 
-def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _group_folds(block_deg: int) -> Query:
     """Folds of both populations: all regions, and those with a top species."""
-    parts = [
-        _prepared(spark, sf_dir, TOP_K, keep).rows.select(
-            F.lit(name).alias("population"), "region", "group_key", "fold"
-        )
-        for name, keep in (("all", True), ("labelled", False))
-    ]
-    return parts[0].unionByName(parts[1])
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        parts = [
+            _prepared(spark, sf_dir, TOP_K, keep, block_deg).rows.select(
+                F.lit(name).alias("population"), "region", "group_key", "fold"
+            )
+            for name, keep in (("all", True), ("labelled", False))
+        ]
+        return parts[0].unionByName(parts[1])
+
+    return run
 
 
 def build_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,6 +354,25 @@ def out_of_fold_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out.where("p between 0 and 1").select("fold", "region", "taxon_id", "y")
 
 
+def forest_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the forests of all species, rare ones included: every region once for each, and
+    the constant where the training rows of a fold have one class."""
+    data = _prepared(spark, sf_dir, 10_000, keep_unlabelled=True)
+    counts = logistic.class_counts(data.grid(), data.folds())
+    one_class = F.array(
+        *[
+            F.struct(F.lit(fold).alias("fold"), F.lit(rank).alias("label_rank"))
+            for (fold, rank), n in counts.items()
+            if logistic.single_class(*n) is not None
+        ]
+    ).cast("array<struct<fold:int,label_rank:int>>")
+    held_out = models.cross_validate(data, "rf", forest_params=ForestParams())
+    constant = F.array_contains(one_class, F.struct("fold", "label_rank"))
+    return held_out.where("p between 0 and 1 and yhat = int(p > 0.5)").select(
+        "fold", "region", "taxon_id", "y", F.when(constant, F.col("p")).alias("constant")
+    )
+
+
 def logistic_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training rows and positives of every fit, and whether the objective is flat there."""
     data = _prepared(spark, sf_dir, TOP_K, keep_unlabelled=True)
@@ -375,6 +412,8 @@ QUERIES: dict[str, Query] = {
     "lon_histogram": lon_histogram,
     "hexbin_density": hexbin_density,
     "point_density": point_density,
+    "density_pyramid": density_pyramid,
+    "density_cells": density_cells,
     "observations_per_species": observations_per_species,
     "observation_stats": observation_stats,
     "dataset_counts": dataset_counts,
@@ -387,7 +426,8 @@ QUERIES: dict[str, Query] = {
     "loc2spec_dataset": _dataset(keep_unlabelled=False),
     "spec2loc_dataset": _dataset(keep_unlabelled=True),
     "multilabel_matrix_long": multilabel_matrix_long,
-    "group_folds": group_folds,
+    "group_folds": _group_folds(1),
+    "group_folds_5deg": _group_folds(5),
     "f1_micro_macro": f1_micro_macro,
     "f1_per_species": f1_per_species,
     "ranking_micro_macro": ranking_micro_macro,
@@ -403,6 +443,7 @@ QUERIES: dict[str, Query] = {
     "final_model_predictions_lr": _final_predictions("lr"),
     "final_model_predictions_rf": _final_predictions("rf"),
     "out_of_fold_labels": out_of_fold_labels,
+    "forest_out_of_fold": forest_out_of_fold,
     "logistic_optimality": logistic_optimality,
     "location_predictions_lr": location_predictions_lr,
 }

@@ -12,17 +12,22 @@ from occugrid.sources import tables
 
 
 def dataset(
-    features: DataFrame, top_k: int = 50, cv_splits: int = 5, keep_unlabelled: bool = False
+    features: DataFrame,
+    top_k: int = 50,
+    cv_splits: int = 5,
+    keep_unlabelled: bool = False,
+    block_deg: int = 1,
 ) -> models.Dataset:
     """Region dataset of the ``top_k`` species.
 
     location -> species leaves out the regions without any of them; species -> location
-    (``keep_unlabelled=True``) keeps every region.
+    (``keep_unlabelled=True``) keeps every region. ``block_deg`` is the edge of the blocks that
+    cross-validation keeps together, in degrees.
     """
     top = occupancy.top_species(
         occupancy.species_support(occupancy.occupancy(features)), top_k
     )
-    return models.prepare(features, top, cv_splits, keep_unlabelled)
+    return models.prepare(features, top, cv_splits, keep_unlabelled, block_deg)
 
 
 def location_to_species_metrics(
@@ -56,10 +61,12 @@ def run_location_to_species(
     forest_params: ForestParams | None = None,
     fmt: str = "parquet",
     by_position: bool = False,
+    block_deg: int = 1,
 ) -> dict[str, str]:
     """Cross-validate, write the metric table, fit on all regions and save the models."""
     params = forest_params or ForestParams(seed=seed)
-    data = dataset(tables.read_train_features(spark, train_features, fmt, by_position), topk, cv_splits)
+    features = tables.read_train_features(spark, train_features, fmt, by_position)
+    data = dataset(features, topk, cv_splits, block_deg=block_deg)
     table = location_to_species_metrics(data, params)
     return {
         "metrics": tables.write_table(
@@ -84,12 +91,13 @@ def run_species_to_location(
     forest_params: ForestParams | None = None,
     fmt: str = "parquet",
     by_position: bool = False,
+    block_deg: int = 1,
 ) -> dict[str, str]:
     """Cross-validate, write metric table and run log, fit on all regions, save the models."""
     models.check_kind(model)
     params = forest_params or ForestParams(seed=seed)
     features = tables.read_train_features(spark, train_features, fmt, by_position)
-    data = dataset(features, topk, cv_splits, keep_unlabelled=True)
+    data = dataset(features, topk, cv_splits, keep_unlabelled=True, block_deg=block_deg)
     scores = storage.written_table(models.cross_validate(data, model, forest_params=params), "scores")
     per_fold, table = species_to_location_tables(scores)
     rank = F.broadcast(data.top.select(F.col("taxon_id").cast("string").alias("taxon_id"), "label_rank"))

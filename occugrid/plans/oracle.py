@@ -120,6 +120,26 @@ def _with(select: str) -> str:
     return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in _CTES.items()) + select
 
 
+def _recursive(select: str) -> str:
+    return _with(select).replace("WITH", "WITH RECURSIVE", 1)
+
+
+_PYRAMID = """,
+cells AS (
+    SELECT l.level,
+           CAST(least(floor((lon - -180.0) / 360.0 * 1024), 1023) AS BIGINT) >> (10 - l.level) AS x,
+           CAST(least(floor((lat - -90.0) / 180.0 * 1024), 1023) AS BIGINT) >> (10 - l.level) AS y,
+           count(*) AS n
+    FROM feats, (SELECT CAST(unnest(range(0, 11)) AS INTEGER) AS level) l GROUP BY ALL),
+pyramid AS (
+    SELECT c.level, c.x, c.y, c.n, p.n AS parent_n,
+           array_to_string(list_transform(range(c.level - 1, -1, -1), lambda b:
+               CAST(((c.x >> b) & 1) + 2 * ((c.y >> b) & 1) AS VARCHAR)), '') AS quadkey,
+           coalesce(p.n > 40, true) AND (c.n <= 40 OR c.level = 10) AS shown
+    FROM cells c LEFT JOIN cells p ON p.level = c.level - 1 AND p.x = c.x >> 1 AND p.y = c.y >> 1)
+"""
+
+
 def _pairs(min_species_support: int, min_pair_count: int) -> str:
     return _with(f""",
 freq AS (SELECT * FROM ranked JOIN names USING (taxon_id) WHERE n_regions >= {min_species_support}),
@@ -283,6 +303,48 @@ SELECT 50 AS topk, 5 AS cv_splits, 'lr' AS model, 42 AS seed, fold,
        round(pr_auc_macro, 9) AS pr_auc_macro, round(f1_macro, 9) AS f1_macro FROM six"""),
     "out_of_fold_labels": _with("""
 SELECT f.fold, m.region, m.taxon_id, m.y FROM matrix m JOIN folds_all f USING (region)"""),
+    "forest_out_of_fold": _with(""",
+every AS (
+    SELECT r.region, t.taxon_id, f.fold,
+           CAST(EXISTS (SELECT 1 FROM rt WHERE rt.region = r.region
+                        AND rt.taxon_id = t.taxon_id) AS INTEGER) AS y
+    FROM regs r CROSS JOIN ranked t JOIN folds_all f USING (region)),
+one_class AS (
+    SELECT h.fold, e.taxon_id, CAST(min(e.y) AS DOUBLE) AS constant
+    FROM every e JOIN (SELECT DISTINCT fold FROM folds_all) h ON h.fold <> e.fold
+    GROUP BY ALL HAVING min(e.y) = max(e.y))
+SELECT e.fold, e.region, e.taxon_id, e.y, o.constant
+FROM every e LEFT JOIN one_class o USING (fold, taxon_id)"""),
+    "density_pyramid": _with(_PYRAMID + """
+SELECT level, x, y, quadkey, n, parent_n, shown FROM pyramid"""),
+    "density_cells": _with(_PYRAMID + """
+SELECT quadkey, level, n, x * (360.0 / pow(2.0, level)) - 180.0 AS west,
+       y * (180.0 / pow(2.0, level)) - 90.0 AS south,
+       360.0 / pow(2.0, level) AS width, 180.0 / pow(2.0, level) AS height
+FROM pyramid WHERE shown"""),
+    "group_folds_5deg": _recursive(""",
+blocks AS (
+    SELECT 'all' AS population, region,
+           CAST(floor(grid_lat / 5) * 1000 + floor(grid_lon / 5) AS BIGINT) AS group_key
+    FROM regs
+    UNION ALL
+    SELECT 'labelled', region, CAST(floor(grid_lat / 5) * 1000 + floor(grid_lon / 5) AS BIGINT)
+    FROM regs WHERE region IN (SELECT region FROM matrix WHERE y = 1)),
+sizes AS (
+    SELECT *, row_number() OVER (PARTITION BY population ORDER BY n DESC, group_key DESC) AS i
+    FROM (SELECT population, group_key, count(*) AS n FROM blocks GROUP BY ALL)),
+dealt(population, i, group_key, loads, fold) AS (
+    SELECT population, CAST(0 AS BIGINT), CAST(NULL AS BIGINT),
+           CAST([0, 0, 0, 0, 0] AS BIGINT[]), CAST(0 AS INTEGER)
+    FROM (SELECT DISTINCT population FROM sizes)
+    UNION ALL
+    SELECT d.population, s.i, s.group_key,
+           list_transform(range(1, 6), lambda k: d.loads[k]
+               + CASE WHEN k = list_position(d.loads, list_min(d.loads)) THEN s.n ELSE 0 END),
+           CAST(list_position(d.loads, list_min(d.loads)) AS INTEGER)
+    FROM dealt d JOIN sizes s ON s.population = d.population AND s.i = d.i + 1)
+SELECT b.population, b.region, b.group_key, d.fold
+FROM blocks b JOIN dealt d USING (population, group_key)"""),
     "logistic_optimality": _with("""
 SELECT h.fold AS held_out, m.label_rank, count(*) AS n, CAST(sum(m.y) AS BIGINT) AS n_pos,
        CASE WHEN sum(m.y) BETWEEN 1 AND count(*) - 1 THEN true END AS flat

@@ -95,3 +95,42 @@ def test_counts(spark, make_features):
     taxa = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "taxon_id BIGINT, taxon_name STRING")
     assert tuple(density.observation_stats(features, taxa).first()) == (3, 3, 1.5, 1, 2)
     assert tuple(density.dataset_counts(features).first()) == (3, 2, 2)
+
+
+def grown(spark, records, **options):
+    points = spark.createDataFrame(records, "lon double, lat double").repartition(3)
+    return density.point_pyramid(points, **options)
+
+
+def test_every_level_of_the_pyramid_sums_to_all_points(spark):
+    records = [((i * 37 % 360) - 180.0, (i * 53 % 181) - 90.0) for i in range(500)]
+    records += [(12.34, 56.78)] * 300 + [(180.0, 90.0), (-180.0, -90.0), (None, 1.0), (1.0, None)]
+    pyramid = grown(spark, records, finest=6, split_above=25).collect()
+    for level in range(7):
+        cells = [r for r in pyramid if r.level == level]
+        assert sum(r.n for r in cells) == 802 and len({(r.x, r.y) for r in cells}) == len(cells)
+        assert all(len(r.quadkey) == level and 0 <= r.x < 2**level > r.y >= 0 for r in cells)
+    by_key = {r.quadkey: r for r in pyramid}
+    for r in pyramid:
+        if r.level:
+            parent = by_key[r.quadkey[:-1]]
+            assert (parent.x, parent.y, parent.n) == (r.x >> 1, r.y >> 1, r.parent_n)
+    shown = [r for r in pyramid if r.shown]
+    assert sum(r.n for r in shown) == 802
+    assert all(r.n <= 25 or r.level == 6 for r in shown)
+    assert all(by_key[r.quadkey[:-1]].n > 25 for r in shown if r.level)
+    assert not any(a.quadkey != b.quadkey and b.quadkey.startswith(a.quadkey) for a in shown for b in shown)
+
+
+def test_cells_of_the_pyramid_hold_their_points(spark):
+    records = [(10.5, 20.5), (10.6, 20.4), (-100.0, -45.0)]
+    cells = density.fitting_cells(grown(spark, records, finest=8, split_above=1)).collect()
+    for lon, lat in records:
+        inside = [c for c in cells if c.west <= lon < c.west + c.width and c.south <= lat < c.south + c.height]
+        assert len(inside) == 1
+    assert sum(c.n for c in cells) == 3
+
+
+def test_pyramid_without_points(spark):
+    assert grown(spark, [], finest=3).collect() == []
+    assert [(r.level, r.n, r.shown) for r in grown(spark, [(1.0, 2.0)], finest=0).collect()] == [(0, 1, True)]

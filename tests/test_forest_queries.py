@@ -20,10 +20,11 @@ class Asked(Exception):
     ],
 )
 def test_all_forests_are_asked_for(spark, sf_dir, monkeypatch, name, keep_unlabelled, held_out):
-    def asked(counts, rows, params, use):
+    def asked(rows, feature_columns, counts, params):
         raise Asked(set(counts), rows.count(), params)
 
-    monkeypatch.setattr(forest, "for_each_model", asked)
+    monkeypatch.setattr(forest, "held_out_scores", asked)
+    monkeypatch.setattr(forest, "fit", asked)
     with pytest.raises(Asked) as found:
         catalog.QUERIES[name](spark, sf_dir)
     counts, n_rows, params = found.value.args
@@ -31,4 +32,4 @@ def test_all_forests_are_asked_for(spark, sf_dir, monkeypatch, name, keep_unlabe
     assert counts == {(fold, rank) for fold in held_out for rank in range(50)}
     assert n_rows == whole.rows.count()
     assert params == forest.ForestParams()
-    assert (params.num_trees, params.max_depth) == (300, 30)
+    assert (params.num_trees, params.max_depth) == (300, None)

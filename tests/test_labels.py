@@ -79,3 +79,32 @@ def test_more_folds_than_groups_is_refused(make_features, n_splits):
     features = make_features([(0, 0.5, 0.5, 1), (1, 1.5, 0.5, 1)])
     with pytest.raises(ValueError):
         prepared(features, 1, n_splits)
+
+
+def test_blocks_of_one_degree_keep_the_folds(make_features):
+    data = prepared(make_features(grid_records(9)), 100, 5)
+    again = labels.assign_block_folds(data.rows.drop("fold"), 5)
+    assert {(r.region, r.fold) for r in again.collect()} == {(r.region, r.fold) for r in data.rows.collect()}
+
+
+def test_blocks_stay_together_and_folds_are_balanced(make_features):
+    features = make_features(grid_records(9))
+    top = occupancy.top_species(occupancy.species_support(occupancy.occupancy(features)), 100)
+    rows = models.prepare(features, top, 3, True, block_deg=4).rows.collect()
+    folds = {}
+    for r in rows:
+        folds.setdefault((r.grid_lat // 4, r.grid_lon // 4), set()).add(r.fold)
+        assert r.group_key == (r.grid_lat // 4) * 1000 + r.grid_lon // 4
+    assert all(len(one) == 1 for one in folds.values()) and len(folds) > 6
+    loads = [sum(r.fold == k for r in rows) for k in (1, 2, 3)]
+    assert max(loads) - min(loads) <= 16
+    with pytest.raises(ValueError, match="cannot split"):
+        models.prepare(features, top, 5, True, block_deg=90)
+    with pytest.raises(ValueError, match="block_deg"):
+        models.prepare(features, top, 5, True, block_deg=0)
+
+
+def test_greedy_folds():
+    sizes = [(1, 5), (2, 5), (3, 4), (4, 3), (5, 3), (6, 3), (-7, 1)]
+    assert labels.balanced_folds(sizes, 3) == [(2, 1), (1, 2), (3, 3), (6, 3), (5, 1), (4, 2), (-7, 3)]
+    assert labels.balanced_folds([], 3) == []

@@ -4,12 +4,13 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from occugrid import storage
-from occugrid.operators import forest, logistic, metrics, models
+from occugrid.operators import forest, logistic, metrics, models, trees
 from occugrid.operators.forest import ForestParams
 from occugrid.plans import catalog, modelling
 
@@ -105,6 +106,53 @@ def test_forest_is_reproducible_and_beats_chance(spark, sf_dir):
         assert row.roc_auc > 0.6
 
 
+def test_forests_are_as_good_as_those_of_spark_ml(spark, sf_dir):
+    """Held-out ranking of both, on the same folds; trees differ, since their draws do."""
+    data = modelling.dataset(catalog.features(spark, "/root/testdata/sf0.01"), 3, 2, keep_unlabelled=True)
+    ours = metrics.label_metrics(models.cross_validate(data, "rf", forest_params=ForestParams(num_trees=60)))
+    own = {(r.fold, r.label_rank): r.roc_auc for r in ours.join(data.top, "taxon_id").collect()}
+    vectors = VectorAssembler(inputCols=data.feature_columns, outputCol="features").transform(data.wide())
+    for (fold, rank), auc in own.items():
+        y = F.col("labels")[rank].cast("double").alias("label")
+        fitted = RandomForestClassifier(numTrees=60, maxDepth=30, maxBins=512, featureSubsetStrategy="sqrt", seed=1).fit(
+            vectors.where(F.col("fold") != fold).select("features", y)
+        )
+        scored = fitted.transform(vectors.where(F.col("fold") == fold).select("features", y))
+        pairs = [(r.p, r.label) for r in scored.select(vector_to_array("probability")[1].alias("p"), "label").collect()]
+        up, down = [p for p, y in pairs if y], [p for p, y in pairs if not y]
+        other = np.mean([(a > b) + (a == b) / 2 for a in up for b in down])
+        assert auc == pytest.approx(other, abs=0.06)
+
+
+def test_blocks_of_trees_change_nothing(data, monkeypatch):
+    """A forest cut into blocks is the same forest, grown, scored and saved."""
+    whole = models.cross_validate(data, "rf", forest_params=SMALL).collect()
+    path = storage.new_table_path(data.rows.sparkSession, "model")
+    saved = models.predict(data.rows.sparkSession, models.fit_final(data, f"{path}/a", "rf", forest_params=SMALL), data)
+    saved = {(r.region, r.label_rank): r.p for r in saved.collect()}
+    monkeypatch.setattr(forest, "ROWS_AT_A_TIME", 2 * data.rows.count())
+    monkeypatch.setattr(forest, "LOCATIONS", 20)
+    parts = models.cross_validate(data, "rf", forest_params=SMALL).collect()
+    key = lambda r: (r.fold, r.region, r.label_rank)
+    assert {key(r): r.p for r in parts} == {key(r): pytest.approx(r.p, abs=1e-12) for r in whole}
+    again = models.fit_final(data, f"{path}/b", "rf", forest_params=SMALL)
+    nodes = data.rows.sparkSession.read.parquet(f"{again}/nodes")
+    assert nodes.select("block").distinct().count() == 3
+    found = models.predict(data.rows.sparkSession, again, data).collect()
+    assert len(found) == len(saved)
+    assert {(r.region, r.label_rank): r.p for r in found} == {k: pytest.approx(p, abs=1e-12) for k, p in saved.items()}
+
+
+def test_prediction_takes_no_forest_to_the_driver(spark, data, tmp_path):
+    path = models.fit_final(data, f"{tmp_path}/model", "rf", forest_params=SMALL)
+    located = data.rows.select("region", "grid_lat", "grid_lon", "sin_lon", "cos_lon", "hemisphere")
+    plan = models.predict_locations(spark, path, located, "region")._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "LocalRelation" not in plan
+    twice = models.predict_locations(spark, path, located.union(located), "region").count()
+    assert twice == 2 * located.count() * data.n_labels
+    assert models.predict_locations(spark, path, located.limit(0), "region").collect() == []
+
+
 @pytest.mark.parametrize("kind", models.MODEL_KINDS)
 def test_saved_models_predict_like_the_fitted_ones(spark, data, tmp_path, kind):
     path = models.fit_final(data, f"{tmp_path}/model", kind, forest_params=SMALL)
@@ -114,12 +162,12 @@ def test_saved_models_predict_like_the_fitted_ones(spark, data, tmp_path, kind):
         scored = logistic.predict(data.grid(), fitted.table(spark), data.feature_columns)
         expected = {(r.region, r.label_rank): r.p for r in scored.collect()}
     else:
-        vectors = forest.assemble(data.wide(), data.feature_columns)
+        local_rows = forest._collected(data.rows, data.feature_columns)
         expected = {}
         for rank in range(data.n_labels):
-            model = forest.fit_one(vectors, rank, logistic.FINAL, SMALL)
-            scored = forest.score_one(vectors, rank, model).collect()
-            expected |= {(r.region, rank): r.p for r in scored}
+            grown = local_rows.forest(logistic.FINAL, rank, 0, SMALL.num_trees, SMALL)
+            p = trees.walk(grown, SMALL.num_trees, local_rows.x) / SMALL.num_trees
+            expected |= {(region, rank): one for region, one in zip(local_rows.region, p, strict=True)}
     assert saved.keys() == expected.keys()
     assert all(saved[key] == pytest.approx(expected[key], abs=1e-9) for key in saved)
     metadata = spark.read.parquet(f"{path}/metadata").orderBy("label_rank").collect()
