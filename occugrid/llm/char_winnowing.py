@@ -1,0 +1,139 @@
+"""Winnowing over character grams of a text and of an edited copy that shares its beginning.
+
+A text is held as UTF-32, where the gram at a place is a slice of the bytes: one pass hashes all
+grams. The hash competes by its high 33 bits, with the place in the low 31 bits counted from the
+end, so that of equal ones the rightmost is least; a chosen place leads back to the whole hash.
+An edited copy takes the grams and window minima of the common beginning as they are.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from occugrid.llm.shared import BLANK, let
+
+_PLACE = (1 << 31) - 1
+_CODE_POINT = 4
+
+
+def normal(text: Column) -> Column:
+    """Runs of blanks as one space, none at the ends."""
+    return F.btrim(_collapsed(text))
+
+
+def _collapsed(text: Column) -> Column:
+    return F.regexp_replace(text, f"{BLANK}+", " ")
+
+
+def _size(raw: Column) -> Column:
+    return F.shiftright(F.length(raw), 2)
+
+
+def _gram(raw: Column, place: Column, k: int) -> Column:
+    return F.xxhash64(F.substring(raw, place * _CODE_POINT + 1, F.lit(k * _CODE_POINT)))
+
+
+def _whole(raw: Column) -> Column:
+    """The one gram of a text of fewer than ``k`` characters."""
+    return F.xxhash64(raw, F.lit("short"))
+
+
+def _packed(hashed: Column, place: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(F.lit(_PLACE) - place)
+
+
+def _lows(raw: Column, first: Column, k: int) -> Column:
+    """Packed grams of the places from ``first`` on; of a shorter text the one gram."""
+    none = F.array().cast("array<bigint>")
+    last = _size(raw) - k
+    return (
+        F.when(F.length(raw) == 0, none)
+        .when(last < 0, F.array(_packed(_whole(raw), F.lit(0))))
+        .when(last < first, none)
+        .otherwise(F.transform(F.sequence(first, last), lambda i: _packed(_gram(raw, i, k), i)))
+    )
+
+
+def _minima(low: Column, window: int) -> Column:
+    """Least of the ``window`` elements from each place on, or of those that are left.
+
+    The width grows fourfold or twofold a pass: fewer passes, few comparisons.
+    """
+    width = 1
+    while width < window:
+        times = 4 if window % (4 * width) == 0 else 2
+        low = let(low, _widened(width, times))
+        width *= times
+    return low
+
+
+def _widened(width: int, times: int) -> Callable[[Column], Column]:
+    """Minima over ``times`` as many elements, from minima over ``width``."""
+    return lambda own: F.transform(
+        own, lambda x, i: F.least(x, *[F.get(own, i + width * j) for j in range(1, times)])
+    )
+
+
+def _looked_up(raw: Column, chosen: Column, k: int) -> Column:
+    """``(hash, position)`` of packed grams."""
+
+    def one(low: Column, own: Column) -> Column:
+        place = (F.lit(_PLACE) - low.bitwiseAND(F.lit(_PLACE))).cast("int")
+        hashed = F.when(_size(own) < k, _whole(own)).otherwise(_gram(own, place, k))
+        return F.struct(hashed.alias("hash"), place.alias("position"))
+
+    return let(raw, lambda own: F.transform(chosen, lambda low: one(low, own)))
+
+
+def _raw(text: Column) -> Column:
+    return F.encode(text, "UTF-32")
+
+
+def _n_windows(low: Column, window: int) -> Column:
+    return F.greatest(F.size(low) - window + 1, F.lit(1))
+
+
+def with_fingerprint(df: DataFrame, text: str, to: str, k: int, window: int) -> DataFrame:
+    """Adds the fingerprint of a text column, with its packed grams and minima as ``__low`` and
+    ``__min`` behind the name ``to``.
+
+    Each run of ``k`` characters of the normal text is hashed; of every ``window`` consecutive
+    ones the least is chosen, the rightmost among equals. A text with fewer grams is one window,
+    one with fewer characters one gram; one without any has no fingerprint. Texts must not be null.
+    ``window`` is a power of two.
+    """
+    if window & (window - 1):
+        raise ValueError("window must be a power of two")
+    out = df.withColumn(f"{to}__raw", _raw(normal(F.col(text))))
+    out = out.withColumn(f"{to}__low", let(F.col(f"{to}__raw"), lambda raw: _lows(raw, F.lit(0), k)))
+    out = out.withColumn(f"{to}__min", _minima(F.col(f"{to}__low"), window))
+    windows = F.slice(F.col(f"{to}__min"), F.lit(1), _n_windows(F.col(f"{to}__low"), window))
+    # Minima of windows that slide come by place, so their order stays.
+    return out.withColumn(to, _looked_up(F.col(f"{to}__raw"), F.array_distinct(windows), k))
+
+
+def with_edited_fingerprint(
+    df: DataFrame, own: str, begin: str, edited: str, to: str, k: int, window: int
+) -> DataFrame:
+    """Adds the fingerprint of ``edited``, a text that starts with the text ``begin``, as does the
+    text of the fingerprint ``own``. The result is that of ``with_fingerprint``; only places past
+    the common beginning are hashed.
+    """
+    out = df.withColumn(f"{to}__raw", _raw(normal(F.col(edited))))
+    raw, low = F.col(f"{to}__raw"), F.col(f"{to}__low")
+    common = F.least(F.length(F.ltrim(_collapsed(F.col(begin)))), _size(F.col(f"{own}__raw")), _size(raw))
+    out = out.withColumn(f"{to}__same", F.greatest(common - k + 1, F.lit(0)))
+    same = F.col(f"{to}__same")
+    tail = F.transform(F.array(raw), lambda one: _lows(one, same, k))[0]
+    out = out.withColumn(f"{to}__low", F.concat(F.slice(F.col(f"{own}__low"), F.lit(1), same), tail))
+    # Windows that end before the first other gram.
+    kept = F.least(F.greatest(same - window + 1, F.lit(0)), _n_windows(low, window))
+    out = out.withColumn(f"{to}__kept", kept)
+    kept = F.col(f"{to}__kept")
+    rest = F.slice(low, kept + 1, F.greatest(F.size(low) - kept, F.lit(0)))
+    late = F.slice(_minima(rest, window), F.lit(1), _n_windows(low, window) - kept)
+    windows = F.concat(F.slice(F.col(f"{own}__min"), F.lit(1), kept), late)
+    return out.withColumn(to, _looked_up(raw, F.array_distinct(windows), k))

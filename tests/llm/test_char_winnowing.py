@@ -1,0 +1,73 @@
+import random
+
+import pytest
+from conftest_llm import NASTY, WORD
+from pyspark.sql import functions as F
+
+from occugrid.llm import char_winnowing, winnowing
+
+
+def plain(spark, texts, k, window):
+    """Fingerprints by a hash of every gram by itself and a search of every window."""
+    normal = [" ".join(WORD.findall(t)) for t in texts]
+    runs = [(i, j, t[j : j + k]) for i, t in enumerate(normal) for j in range(len(t) - k + 1)]
+    runs += [(i, 0, t) for i, t in enumerate(normal) if 0 < len(t) < k]
+    table = spark.createDataFrame(runs, "i int, j int, gram string")
+    raw = F.encode("gram", "UTF-32")
+    hashed = F.when(F.length("gram") < k, F.xxhash64(raw, F.lit("short"))).otherwise(F.xxhash64(raw))
+    grams = {}
+    for i, j, h in table.select("i", "j", hashed).collect():
+        grams.setdefault(i, {})[j] = h
+    out = []
+    for i in range(len(texts)):
+        own = grams.get(i, {})
+        chosen = set()
+        for first in range(max(1, len(own) - window + 1) if own else 0):
+            span = range(first, min(len(own), first + window))
+            chosen.add(min(span, key=lambda j: (own[j] >> 31, -j)))
+        out.append([(own[j], j) for j in sorted(chosen)])
+    return out
+
+
+@pytest.mark.parametrize(("k", "window"), [(8, 8), (8, 1), (3, 4), (5, 2), (8, 16)])
+def test_against_plain_winnowing(spark, rows, k, window):
+    texts = [t or "" for _, t, _ in rows[:60]] + [t or "" for _, t, _ in NASTY if t is None or len(t) < 60_000]
+    texts += ["ab" * 300, " é\U0001f600\t\n x" * 40, "12345678", "1234567", "x", " \t "]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    found = char_winnowing.with_fingerprint(frame, "t", "p", k, window).select("i", "p").collect()
+    expected = plain(spark, texts, k, window)
+    assert len(found) == len(texts)
+    for r in found:
+        assert [tuple(one) for one in r["p"]] == expected[r["i"]]
+
+
+@pytest.mark.parametrize(("k", "window"), [(8, 8), (3, 4), (4, 1)])
+def test_edited_texts_against_plain_winnowing(spark, rows, k, window):
+    rng = random.Random(4)
+    pairs = [((a[1] or ""), (b[1] or "")) for a, b in zip(rows[:50], rows[1:51], strict=True) if len(a[1] or "") < 20_000]
+    alphabet = ["a", "b", " ", "  ", "\n", "é", "\U0001f600", "word", "\t "]
+    pairs += [
+        tuple("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(2)) for _ in range(400)
+    ]
+    begins = [a[: len(a) - len(a) // 3] for a, _ in pairs]
+    edited = [begin + b[: len(a) // 3] for begin, (a, b) in zip(begins, pairs, strict=True)]
+    table = [(i, a, begins[i], edited[i]) for i, (a, _) in enumerate(pairs)]
+    frame = spark.createDataFrame(table, "i int, t string, b string, e string").repartition(3)
+    own = char_winnowing.with_fingerprint(frame, "t", "p", k, window)
+    found = char_winnowing.with_edited_fingerprint(own, "p", "b", "e", "q", k, window)
+    expected = plain(spark, edited, k, window)
+    for r in found.select("i", "q").collect():
+        assert [tuple(one) for one in r["q"]] == expected[r["i"]], edited[r["i"]]
+
+
+def test_query_prints_are_those_of_the_texts(spark, nasty, documents):
+    for docs in (nasty, documents):
+        found = winnowing.compare_edited(docs).select("edited", "fingerprint", "edited_fingerprint", "doc_id", "n_chars")
+        again = char_winnowing.with_fingerprint(found, "edited", "again", 8, 4)
+        assert again.where(~F.col("again").eqNullSafe(F.col("edited_fingerprint"))).count() == 0
+        assert again.count() == docs.count()
+
+
+def test_windows_are_powers_of_two(spark):
+    with pytest.raises(ValueError, match="power of two"):
+        char_winnowing.with_fingerprint(spark.createDataFrame([("a",)], "t string"), "t", "p", 8, 6)
