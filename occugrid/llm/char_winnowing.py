@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from occugrid.llm.shared import BLANK, let
@@ -77,63 +77,88 @@ def _widened(width: int, times: int) -> Callable[[Column], Column]:
     )
 
 
-def _looked_up(raw: Column, chosen: Column, k: int) -> Column:
-    """``(hash, position)`` of packed grams."""
+def _looked_up(raw: Column, windows: Column, k: int) -> Column:
+    """Hashes and positions of the packed grams that are least in ``windows``, as two arrays."""
 
-    def one(low: Column, own: Column) -> Column:
-        place = (F.lit(_PLACE) - low.bitwiseAND(F.lit(_PLACE))).cast("int")
-        hashed = F.when(_size(own) < k, _whole(own)).otherwise(_gram(own, place, k))
-        return F.struct(hashed.alias("hash"), place.alias("position"))
+    def place(low: Column) -> Column:
+        return (F.lit(_PLACE) - low.bitwiseAND(F.lit(_PLACE))).cast("int")
 
-    return let(raw, lambda own: F.transform(chosen, lambda low: one(low, own)))
+    def of(chosen: Column) -> Column:
+        hashes = F.when(_size(raw) < k, F.transform(chosen, lambda low: _whole(raw))).otherwise(
+            F.transform(chosen, lambda low: _gram(raw, place(low), k))
+        )
+        return F.struct(hashes.alias("hashes"), F.transform(chosen, place).alias("positions"))
+
+    # Minima of windows that slide come by place, so their order stays.
+    return let(F.array_distinct(windows), of)
 
 
 def _raw(text: Column) -> Column:
-    return F.encode(text, "UTF-32")
+    return F.encode(normal(text), "UTF-32")
 
 
 def _n_windows(low: Column, window: int) -> Column:
     return F.greatest(F.size(low) - window + 1, F.lit(1))
 
 
-def with_fingerprint(df: DataFrame, text: str, to: str, k: int, window: int) -> DataFrame:
-    """Adds the fingerprint of a text column, with its packed grams and minima as ``__low`` and
-    ``__min`` behind the name ``to``.
+def fingerprint(text: Column, k: int, window: int) -> Column:
+    """The fingerprint of a text: a struct of its ``hashes`` and their ``positions``, ascending.
 
     Each run of ``k`` characters of the normal text is hashed; of every ``window`` consecutive
     ones the least is chosen, the rightmost among equals. A text with fewer grams is one window,
     one with fewer characters one gram; one without any has no fingerprint. Texts must not be null.
     ``window`` is a power of two.
     """
+    _check(window)
+
+    def of(raw: Column, low: Column) -> Column:
+        return _looked_up(raw, F.slice(_minima(low, window), F.lit(1), _n_windows(low, window)), k)
+
+    return let(_raw(text), lambda raw: let(_lows(raw, F.lit(0), k), lambda low: of(raw, low)))
+
+
+def _check(window: int) -> None:
     if window & (window - 1):
         raise ValueError("window must be a power of two")
-    out = df.withColumn(f"{to}__raw", _raw(normal(F.col(text))))
-    out = out.withColumn(f"{to}__low", let(F.col(f"{to}__raw"), lambda raw: _lows(raw, F.lit(0), k)))
-    out = out.withColumn(f"{to}__min", _minima(F.col(f"{to}__low"), window))
-    windows = F.slice(F.col(f"{to}__min"), F.lit(1), _n_windows(F.col(f"{to}__low"), window))
-    # Minima of windows that slide come by place, so their order stays.
-    return out.withColumn(to, _looked_up(F.col(f"{to}__raw"), F.array_distinct(windows), k))
 
 
-def with_edited_fingerprint(
-    df: DataFrame, own: str, begin: str, edited: str, to: str, k: int, window: int
-) -> DataFrame:
-    """Adds the fingerprint of ``edited``, a text that starts with the text ``begin``, as does the
-    text of the fingerprint ``own``. The result is that of ``with_fingerprint``; only places past
-    the common beginning are hashed.
+def edited_fingerprints(text: Column, begin: Column, edited: Column, k: int, window: int) -> Column:
+    """A struct of the fingerprints ``own`` of ``text`` and ``edited`` of ``edited``, two texts that
+    start with ``begin``. Both are those of ``fingerprint``; of the edited text only places past
+    the common beginning are hashed and compared. Nothing may be null.
+
+    One expression, so that arrays of a text's length stay in memory between its steps.
     """
-    out = df.withColumn(f"{to}__raw", _raw(normal(F.col(edited))))
-    raw, low = F.col(f"{to}__raw"), F.col(f"{to}__low")
-    common = F.least(F.length(F.ltrim(_collapsed(F.col(begin)))), _size(F.col(f"{own}__raw")), _size(raw))
-    out = out.withColumn(f"{to}__same", F.greatest(common - k + 1, F.lit(0)))
-    same = F.col(f"{to}__same")
-    tail = F.transform(F.array(raw), lambda one: _lows(one, same, k))[0]
-    out = out.withColumn(f"{to}__low", F.concat(F.slice(F.col(f"{own}__low"), F.lit(1), same), tail))
-    # Windows that end before the first other gram.
-    kept = F.least(F.greatest(same - window + 1, F.lit(0)), _n_windows(low, window))
-    out = out.withColumn(f"{to}__kept", kept)
-    kept = F.col(f"{to}__kept")
-    rest = F.slice(low, kept + 1, F.greatest(F.size(low) - kept, F.lit(0)))
-    late = F.slice(_minima(rest, window), F.lit(1), _n_windows(low, window) - kept)
-    windows = F.concat(F.slice(F.col(f"{own}__min"), F.lit(1), kept), late)
-    return out.withColumn(to, _looked_up(raw, F.array_distinct(windows), k))
+    _check(window)
+
+    def whole(low: Column, minima: Column) -> Column:
+        return F.slice(minima, F.lit(1), _n_windows(low, window))
+
+    def same_grams(raw: Column, other: Column) -> Column:
+        common = F.least(F.length(F.ltrim(_collapsed(begin))), _size(raw), _size(other))
+        return F.greatest(common - k + 1, F.lit(0))
+
+    def with_other(raw, low, minima, other, same) -> Column:
+        lows = F.concat(F.slice(low, F.lit(1), same), _lows(other, same, k))
+        return let(lows, lambda own: with_lows(raw, low, minima, other, same, own))
+
+    def with_lows(raw, low, minima, other, same, lows) -> Column:
+        # Windows that end before the first other gram.
+        kept = F.least(F.greatest(same - window + 1, F.lit(0)), _n_windows(lows, window))
+        rest = F.slice(lows, kept + 1, F.greatest(F.size(lows) - kept, F.lit(0)))
+        late = F.slice(_minima(rest, window), F.lit(1), _n_windows(lows, window) - kept)
+        windows = F.concat(F.slice(minima, F.lit(1), kept), late)
+        return F.struct(
+            _looked_up(raw, whole(low, minima), k).alias("own"),
+            _looked_up(other, windows, k).alias("edited"),
+        )
+
+    def with_minima(raw, low, minima) -> Column:
+        return let(_raw(edited), lambda other: let(
+            same_grams(raw, other), lambda same: with_other(raw, low, minima, other, same)
+        ))
+
+    return let(_raw(text), lambda raw: let(
+        _lows(raw, F.lit(0), k),
+        lambda low: let(_minima(low, window), lambda minima: with_minima(raw, low, minima)),
+    ))

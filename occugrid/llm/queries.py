@@ -93,8 +93,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        winnowing.digest(F.col("fingerprint")).alias("fingerprint"),
-        winnowing.digest(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        F.col("digest").alias("fingerprint"),
+        F.col("edited_digest").alias("edited_fingerprint"),
         "near_edited",
         "near_next",
         F.col("next_id").alias("next_doc_id"),

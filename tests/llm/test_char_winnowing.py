@@ -29,16 +29,20 @@ def plain(spark, texts, k, window):
     return out
 
 
+def pairs_of(fingerprint):
+    return list(zip(fingerprint["hashes"], fingerprint["positions"], strict=True))
+
+
 @pytest.mark.parametrize(("k", "window"), [(8, 8), (8, 1), (3, 4), (5, 2), (8, 16)])
 def test_against_plain_winnowing(spark, rows, k, window):
     texts = [t or "" for _, t, _ in rows[:60]] + [t or "" for _, t, _ in NASTY if t is None or len(t) < 60_000]
     texts += ["ab" * 300, " é\U0001f600\t\n x" * 40, "12345678", "1234567", "x", " \t "]
     frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
-    found = char_winnowing.with_fingerprint(frame, "t", "p", k, window).select("i", "p").collect()
+    found = frame.select("i", char_winnowing.fingerprint(F.col("t"), k, window).alias("p")).collect()
     expected = plain(spark, texts, k, window)
     assert len(found) == len(texts)
     for r in found:
-        assert [tuple(one) for one in r["p"]] == expected[r["i"]]
+        assert pairs_of(r["p"]) == expected[r["i"]]
 
 
 @pytest.mark.parametrize(("k", "window"), [(8, 8), (3, 4), (4, 1)])
@@ -53,21 +57,24 @@ def test_edited_texts_against_plain_winnowing(spark, rows, k, window):
     edited = [begin + b[: len(a) // 3] for begin, (a, b) in zip(begins, pairs, strict=True)]
     table = [(i, a, begins[i], edited[i]) for i, (a, _) in enumerate(pairs)]
     frame = spark.createDataFrame(table, "i int, t string, b string, e string").repartition(3)
-    own = char_winnowing.with_fingerprint(frame, "t", "p", k, window)
-    found = char_winnowing.with_edited_fingerprint(own, "p", "b", "e", "q", k, window)
-    expected = plain(spark, edited, k, window)
-    for r in found.select("i", "q").collect():
-        assert [tuple(one) for one in r["q"]] == expected[r["i"]], edited[r["i"]]
+    both = char_winnowing.edited_fingerprints(F.col("t"), F.col("b"), F.col("e"), k, window)
+    expected = plain(spark, [a for a, _ in pairs] + edited, k, window)
+    for r in frame.select("i", both.alias("both")).collect():
+        assert pairs_of(r["both"]["own"]) == expected[r["i"]]
+        assert pairs_of(r["both"]["edited"]) == expected[len(pairs) + r["i"]], edited[r["i"]]
 
 
 def test_query_prints_are_those_of_the_texts(spark, nasty, documents):
     for docs in (nasty, documents):
-        found = winnowing.compare_edited(docs).select("edited", "fingerprint", "edited_fingerprint", "doc_id", "n_chars")
-        again = char_winnowing.with_fingerprint(found, "edited", "again", 8, 4)
-        assert again.where(~F.col("again").eqNullSafe(F.col("edited_fingerprint"))).count() == 0
-        assert again.count() == docs.count()
+        found = winnowing.compare_edited(docs)
+        again = found.withColumn("again", char_winnowing.fingerprint(F.col("edited"), 8, 4))
+        same = F.col("again.hashes") == F.transform("edited_fingerprint", lambda one: one["hash"])
+        same &= F.col("again.positions") == F.transform("edited_fingerprint", lambda one: one["position"])
+        same &= winnowing.digest(F.col("edited_fingerprint")) == F.col("edited_digest")
+        same &= winnowing.digest(F.col("fingerprint")) == F.col("digest")
+        assert again.where(same).count() == docs.count()
 
 
 def test_windows_are_powers_of_two(spark):
     with pytest.raises(ValueError, match="power of two"):
-        char_winnowing.with_fingerprint(spark.createDataFrame([("a",)], "t string"), "t", "p", 8, 6)
+        char_winnowing.fingerprint(F.lit("a"), 8, 6)
