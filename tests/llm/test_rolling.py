@@ -1,0 +1,80 @@
+import random
+
+import numpy as np
+import pytest
+from conftest_llm import NASTY, WORD
+
+from occugrid.llm import rolling, winnowing
+
+MASK = 2**64 - 1
+
+
+def plain_hash(run):
+    value = 0
+    for char in run:
+        value = (value * 0x9E3779B97F4A7C15 + ord(char) + 1) & MASK
+    value = ((value ^ (value >> 30)) * 0xBF58476D1CE4E5B9) & MASK
+    value = ((value ^ (value >> 27)) * 0x94D049BB133111EB) & MASK
+    return value ^ (value >> 31)
+
+
+def plain(text, k, window):
+    """Every gram hashed by itself, every window searched."""
+    normal = " ".join(WORD.findall(text))
+    k = min(k, len(normal))
+    hashes = [plain_hash(normal[i : i + k]) for i in range(len(normal) - k + 1)] if k else []
+    chosen = set()
+    for first in range(max(1, len(hashes) - window + 1) if hashes else 0):
+        span = range(first, min(len(hashes), first + window))
+        chosen.add(min(span, key=lambda j: (hashes[j], -j)))
+    return [(hashes[j], j) for j in sorted(chosen)]
+
+
+def pairs_of(found):
+    return list(zip(found[0].tolist(), found[1].tolist(), strict=True))
+
+
+@pytest.mark.parametrize(("k", "window"), [(8, 4), (8, 8), (8, 1), (3, 5), (5, 2), (7, 16), (1, 3)])
+def test_against_plain_winnowing(rows, k, window):
+    rng = random.Random(1)
+    texts = [(t or "")[:3000] for _, t, _ in rows[:40]] + [(t or "")[:3000] for _, t, _ in NASTY]
+    texts += ["ab" * 300, " é\U0001f600\t\n x" * 40, "12345678", "1234567", "x", " \t ", "", "aaaaaaaaaaaaaaaaaaaaaaaa"]
+    texts += ["".join(rng.choice("ab \n") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    for text in texts:
+        assert pairs_of(rolling.fingerprint(text, k, window)) == plain(text, k, window)
+
+
+def test_a_shared_run_is_always_met():
+    rng = random.Random(2)
+    for _ in range(300):
+        shared = "".join(rng.choice("abcdefgh") for _ in range(8 + 4 - 1))
+        a, b = ("".join(rng.choice("stuvwxyz") for _ in range(rng.randint(0, 30))) for _ in range(2))
+        one, other = (set(rolling.fingerprint(t, 8, 4)[0].tolist()) for t in (a + shared + b, b + shared + a))
+        assert one & other
+
+
+def test_likeness():
+    def sets(*values):
+        return [np.array(one, np.uint64) for one in values]
+
+    assert rolling.likeness(*sets([], [])) == 1.0
+    assert rolling.likeness(*sets([1, 2], [])) == 0.0
+    assert rolling.likeness(*sets([1, 2, 3], [2, 3, 4])) == 0.5
+
+
+@pytest.mark.parametrize("chars", [1, 10_000, 2_000_000])
+def test_every_row_of_a_comparison(nasty, monkeypatch, chars):
+    """Prints and likeness of each row by the plain version, however many rows are held at a time."""
+    monkeypatch.setattr(winnowing, "_CHARS_AT_A_TIME", chars)
+    found = winnowing.compare_edited(nasty).collect()
+    assert len(found) == len(NASTY)
+    for r in found:
+        text = next(t or "" for i, t, _ in NASTY if i == r["doc_id"] and len(t or "") == r["n_chars"])
+        if len(text) < 10_000:
+            new = plain(r["edited"], 8, 4)
+            assert [(one["hash"] & MASK, one["position"]) for one in r["edited_fingerprint"]] == new
+            own = {h for h, _ in plain(text, 8, 4)}
+            assert {one["hash"] & MASK for one in r["fingerprint"]} == own
+            theirs = {h for h, _ in new}
+            near = len(own & theirs) / len(own | theirs) if own | theirs else 1.0
+            assert r["near_edited"] == pytest.approx(near)
