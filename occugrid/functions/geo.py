@@ -2,7 +2,7 @@
 
 A *cell* is a 1 degree square. A *tile* is a block of 8 x 8 cells: one BIGINT holds the
 occupancy of a whole tile, one bit per cell. The globe has 181 * 361 cells and so at most
-23 * 46 = 1,058 tiles, however many observations there are.
+24 * 46 = 1,104 tiles, however many observations there are.
 """
 
 from __future__ import annotations

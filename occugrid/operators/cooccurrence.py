@@ -19,7 +19,7 @@ from occugrid import storage
 from occugrid.functions import measures
 from occugrid.operators import occupancy as occ
 
-# A block pair holds about 2 * 256 species with at most 1,058 tiles each: ~540,000 short rows.
+# A block pair holds about 2 * 256 species with at most 1,104 tiles each: ~540,000 short rows.
 SPECIES_PER_BLOCK = 256
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from occugrid.operators.forest import ForestParams
 from occugrid.operators.logistic import FINAL
 
 MODEL_KINDS = ("lr", "rf")
+#: Labels whose fits are one entry of a ledger.
+LABELS_PER_PART = 25
 
 
 @dataclass(frozen=True)
@@ -77,19 +80,62 @@ def _score_columns(scores: DataFrame, top: DataFrame) -> DataFrame:
     )
 
 
+def _held_out(
+    data: Dataset, grid: DataFrame, folds: list[int], model: str, max_iter: int, forest_params: ForestParams
+) -> DataFrame:
+    """Scores of the rows of ``folds``, by the models of the labels in ``grid`` that did not see them."""
+    if model == "lr":
+        models = logistic.fit(grid, data.feature_columns, folds, max_iter)
+        held = grid.where(F.col("fold").isin(folds))
+        return logistic.predict(held, models.table(grid.sparkSession), data.feature_columns)
+    counts = logistic.class_counts(grid, folds)
+    return forest.held_out_scores(data.rows, data.feature_columns, counts, forest_params)
+
+
 def cross_validate(
-    data: Dataset, model: str = "lr", max_iter: int = 200, forest_params: ForestParams = ForestParams()
+    data: Dataset,
+    model: str = "lr",
+    max_iter: int = 200,
+    forest_params: ForestParams = ForestParams(),
+    ledger: str | None = None,
 ) -> DataFrame:
-    """Out-of-fold scores ``(fold, region, taxon_id, label_rank, y, p, yhat)``."""
-    spark = data.rows.sparkSession
+    """Out-of-fold scores ``(fold, region, taxon_id, label_rank, y, p, yhat)``.
+
+    With ``ledger``, a folder that outlives the run, the fits are done in parts of one fold and
+    ``LABELS_PER_PART`` labels, each of which leaves its scores there. A run that was stopped does
+    only what is missing when it is started again on the same data with the same parameters; other
+    data or parameters have parts of their own.
+    """
+    check_kind(model)
     grid = data.grid()
-    if check_kind(model) == "lr":
-        models = logistic.fit(grid, data.feature_columns, data.folds(), max_iter)
-        scores = logistic.predict(grid, models.table(spark), data.feature_columns)
+    if ledger is None:
+        scores = _held_out(data, grid, list(data.folds()), model, max_iter, forest_params)
+        if model == "rf":
+            scores = storage.written_table(scores, "scores")
         return _score_columns(scores, data.top)
-    counts = logistic.class_counts(grid, data.folds())
-    scores = forest.held_out_scores(data.rows, data.feature_columns, counts, forest_params)
-    return _score_columns(storage.written_table(scores, "scores"), data.top)
+    spark = data.rows.sparkSession
+    folder = f"{ledger}/{_run_key(data, model, max_iter, forest_params)}"
+    columns = ["fold", "region", "label_rank", "y", "p", "yhat"]
+    paths = []
+    for fold in data.folds():
+        for first in range(0, data.n_labels, LABELS_PER_PART):
+            path = f"{folder}/fold-{fold}-labels-{first}"
+            paths.append(path)
+            if not storage.is_written(spark, path):
+                part = grid.where(F.col("label_rank").between(first, first + LABELS_PER_PART - 1))
+                scores = _held_out(data, part, [fold], model, max_iter, forest_params)
+                scores.select(*columns).write.mode("overwrite").parquet(path)
+    return _score_columns(spark.read.parquet(*paths), data.top)
+
+
+def _run_key(data: Dataset, model: str, max_iter: int, forest_params: ForestParams) -> str:
+    """A name for the fits of these rows and labels with these parameters."""
+    ordered = sorted(data.rows.columns)
+    rows = data.rows.agg(F.count("*"), F.expr(f"bit_xor(xxhash64({', '.join(ordered)}))")).first()
+    top = data.top.agg(F.count("*"), F.expr("bit_xor(xxhash64(label_rank, taxon_id))")).first()
+    settings = forest_params if model == "rf" else max_iter
+    named = (*rows, *top, ordered, data.feature_columns, data.n_splits, model, settings, LABELS_PER_PART)
+    return f"{model}-{hashlib.sha256(repr(named).encode()).hexdigest()[:16]}"
 
 
 def fit_final(

@@ -16,7 +16,7 @@ from occugrid.operators import density, labels, logistic, metrics, models, occup
 from occugrid.operators.cooccurrence import cooccurrence
 from occugrid.operators.forest import ForestParams
 from occugrid.plans import feature_build, modelling
-from occugrid.sources import events, tables
+from occugrid.sources import clustered, events, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,10 +42,17 @@ _PATHS: dict[tuple, str] = {}
 
 
 def _file_state(spark: SparkSession, path: str) -> int:
-    """A number that changes with the files of ``path``, their sizes or their times."""
-    parts = ("file_path", "file_size", "file_modification_time")
-    files = spark.read.parquet(path).select(*[f"_metadata.{part}" for part in parts]).distinct()
-    return files.agg(F.expr(f"bit_xor(xxhash64({', '.join(parts)}))")).first()[0]
+    """A number that changes with the files of ``path``, their sizes or their times.
+
+    The file system is asked, not the rows.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    state = set()
+    while files.hasNext():
+        one = files.next()
+        state.add((one.getPath().toString(), one.getLen(), one.getModificationTime()))
+    return hash(frozenset(state))
 
 
 def _written(
@@ -70,6 +77,30 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written(spark, sf_dir, build_features, schemas.TRAIN_FEATURES)
 
 
+def _clustered(spark: SparkSession, sf_dir: str) -> str:
+    """The feature table laid out by place and species, written once per application."""
+    state = _file_state(spark, f"{sf_dir}/events.parquet")
+    key = (spark.sparkContext.applicationId, "clustered", sf_dir, state)
+    if key not in _PATHS:
+        path = storage.new_table_path(spark, "clustered-features")
+        _PATHS[key] = clustered.write_clustered(features(spark, sf_dir), path, rows_per_file=500)
+    return _PATHS[key]
+
+
+def one_species_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of one species, from the files that can hold it."""
+    taxon = random_species(spark, sf_dir).first().taxon_id
+    found = clustered.read_clustered(spark, _clustered(spark, sf_dir), schemas.TRAIN_FEATURES, taxa=[taxon])
+    return rounded(found.drop("row_id"), "sin_lon", "cos_lon")
+
+
+def one_tile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the tile north east of 0, 0, from the files that can hold it."""
+    tile = spark.range(1).select(clustered.tile_number(F.lit(0), F.lit(0))).first()[0]
+    found = clustered.read_clustered(spark, _clustered(spark, sf_dir), schemas.TRAIN_FEATURES, tiles=[tile])
+    return rounded(found.drop("row_id"), "sin_lon", "cos_lon")
+
+
 def _support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occupancy.species_support(occupancy.occupancy(features(spark, sf_dir)))
 
@@ -395,6 +426,50 @@ def location_predictions_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.predict_locations(spark, path, located)
 
 
+def _gap_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of a fold whose rows have one class only for every fifth species."""
+    gap = (F.col("fold") == 1) & (F.col("label_rank") % 5 == 0)
+    lost = F.when(F.col("label_rank") % 2 == 0, F.col("y") == 1).otherwise(F.col("y") == 0)
+    kept = storage.written_table(scores(spark, sf_dir).where(~(gap & lost)), "gap-scores")
+    return storage.written_table(metrics.label_metrics(kept), "gap-metrics")
+
+
+def species_metrics_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics per fold and species; undefined ones are null."""
+    found = metrics.defined_only(_gap_metrics(spark, sf_dir))
+    return rounded(found.select("fold", "taxon_id", "roc_auc", "pr_auc", "f1"), "roc_auc", "pr_auc", "f1")
+
+
+def species_means_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over the folds in which a metric is defined."""
+    return rounded(metrics.species_means(_gap_metrics(spark, sf_dir)), "roc_auc", "pr_auc", "f1")
+
+
+def saved_model_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved models against themselves: scores of all regions by their labels and as locations."""
+    data = _prepared(spark, sf_dir, TOP_K, keep_unlabelled=True)
+    located = data.rows.select("region", "grid_lat", "grid_lon", "sin_lon", "cos_lon", "hemisphere")
+    parts = []
+    for kind in models.MODEL_KINDS:
+        path = models.fit_final(
+            data, storage.new_table_path(spark, "model"), kind, forest_params=ForestParams(num_trees=30)
+        )
+        by_label = models.predict(spark, path, data).select("region", "taxon_id", "p", "yhat")
+        by_place = models.predict_locations(spark, path, located, "region").select(
+            "region", "taxon_id", F.col("p").alias("q"), F.col("yhat").alias("z")
+        )
+        met = by_label.join(by_place, ["region", "taxon_id"], "full")
+        same = (F.abs(F.col("p") - F.col("q")) < 1e-12) & (F.col("yhat") == F.col("z"))
+        parts.append(
+            met.agg(
+                F.lit(kind).alias("model"),
+                F.count("*").alias("n"),
+                F.count_if(~F.coalesce(same, F.lit(False))).alias("n_different"),
+            )
+        )
+    return parts[0].unionByName(parts[1])
+
+
 QUERIES: dict[str, Query] = {
     "observation_features": observation_features,
     "test_location_features": test_location_features,
@@ -423,6 +498,8 @@ QUERIES: dict[str, Query] = {
     "random_species": random_species,
     "random_species_locations": random_species_locations,
     "one_species_observations": one_species_observations,
+    "one_species_features": one_species_features,
+    "one_tile_features": one_tile_features,
     "loc2spec_dataset": _dataset(keep_unlabelled=False),
     "spec2loc_dataset": _dataset(keep_unlabelled=True),
     "multilabel_matrix_long": multilabel_matrix_long,
@@ -445,5 +522,8 @@ QUERIES: dict[str, Query] = {
     "out_of_fold_labels": out_of_fold_labels,
     "forest_out_of_fold": forest_out_of_fold,
     "logistic_optimality": logistic_optimality,
+    "species_metrics_with_gaps": species_metrics_with_gaps,
+    "species_means_with_gaps": species_means_with_gaps,
+    "saved_model_differences": saved_model_differences,
     "location_predictions_lr": location_predictions_lr,
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from occugrid import storage
 from occugrid.operators import observations as obs
-from occugrid.sources import tables
+from occugrid.sources import clustered, tables
 
 
 def train_features(
@@ -39,10 +39,13 @@ def run(
     extra_taxa: str | None = None,
     fmt: str = "parquet",
     by_position: bool = False,
+    cluster: bool = False,
 ) -> dict[str, str]:
     """Read the sources, write ``train_features`` and ``test_features`` under ``out_dir``.
 
     ``by_position``: the sources have no id columns; a record is identified by its position.
+    ``cluster``: the train features are laid out by place and species, with file statistics, for
+    ``clustered.read_clustered``; any other reader sees an ordinary table.
     """
 
     def names(path: str | None) -> DataFrame | None:
@@ -55,7 +58,13 @@ def run(
         names(extra_taxa),
     )
     tested = test_features(tables.read_test_locations(spark, test, fmt, by_position))
+    if cluster and fmt != "parquet":
+        raise ValueError(f"only Parquet tables are clustered, not {fmt}")
+    write = clustered.write_clustered if cluster else lambda df, path: tables.write_table(df, path, fmt)
+    if cluster:
+        # Laid out by its own quantiles, so it is read twice.
+        built = storage.written_table(built, "features")
     return {
-        "train_features": tables.write_table(built, f"{out_dir}/train_features", fmt),
+        "train_features": write(built, f"{out_dir}/train_features"),
         "test_features": tables.write_table(tested, f"{out_dir}/test_features", fmt),
     }

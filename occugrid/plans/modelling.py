@@ -31,10 +31,10 @@ def dataset(
 
 
 def location_to_species_metrics(
-    data: models.Dataset, forest_params: ForestParams = ForestParams()
+    data: models.Dataset, forest_params: ForestParams = ForestParams(), ledger: str | None = None
 ) -> DataFrame:
     """``fold, micro_f1, macro_f1`` of the forests, with the mean row."""
-    scores = models.cross_validate(data, "rf", forest_params=forest_params)
+    scores = models.cross_validate(data, "rf", forest_params=forest_params, ledger=ledger)
     per_label = metrics.confusion(scores, metrics.LABEL_KEYS)
     return metrics.fold_table(metrics.f1_per_fold(per_label))
 
@@ -62,12 +62,13 @@ def run_location_to_species(
     fmt: str = "parquet",
     by_position: bool = False,
     block_deg: int = 1,
+    ledger: str | None = None,
 ) -> dict[str, str]:
     """Cross-validate, write the metric table, fit on all regions and save the models."""
     params = forest_params or ForestParams(seed=seed)
     features = tables.read_train_features(spark, train_features, fmt, by_position)
     data = dataset(features, topk, cv_splits, block_deg=block_deg)
-    table = location_to_species_metrics(data, params)
+    table = location_to_species_metrics(data, params, ledger)
     return {
         "metrics": tables.write_table(
             table.coalesce(1).orderBy(F.col("fold").try_cast("int").asc_nulls_last(), "fold"),
@@ -92,13 +93,16 @@ def run_species_to_location(
     fmt: str = "parquet",
     by_position: bool = False,
     block_deg: int = 1,
+    ledger: str | None = None,
 ) -> dict[str, str]:
     """Cross-validate, write metric table and run log, fit on all regions, save the models."""
     models.check_kind(model)
     params = forest_params or ForestParams(seed=seed)
     features = tables.read_train_features(spark, train_features, fmt, by_position)
     data = dataset(features, topk, cv_splits, keep_unlabelled=True, block_deg=block_deg)
-    scores = storage.written_table(models.cross_validate(data, model, forest_params=params), "scores")
+    scores = storage.written_table(
+        models.cross_validate(data, model, forest_params=params, ledger=ledger), "scores"
+    )
     per_fold, table = species_to_location_tables(scores)
     rank = F.broadcast(data.top.select(F.col("taxon_id").cast("string").alias("taxon_id"), "label_rank"))
     summary_last = F.coalesce("label_rank", F.when(F.col("taxon_id") == "micro", topk).otherwise(topk + 1))

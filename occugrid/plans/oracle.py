@@ -124,6 +124,21 @@ def _recursive(select: str) -> str:
     return _with(select).replace("WITH", "WITH RECURSIVE", 1)
 
 
+def _with_gaps(select: str) -> str:
+    """Every fifth species has one class only in fold 1."""
+    every = "WHERE m.label_rank < 50"
+    lost = "CASE WHEN m.label_rank % 2 = 0 THEN m.y = 1 ELSE m.y = 0 END"
+    return _with(select).replace(every, f"{every} AND NOT (f.fold = 1 AND m.label_rank % 5 = 0 AND {lost})", 1)
+
+
+_GAP_METRICS = """,
+gaps AS (
+    SELECT r.fold, r.taxon_id, r.roc_auc, r.pr_auc,
+           CASE WHEN f.n_pos > 0 AND f.n_neg > 0 THEN f.f1 END AS f1
+    FROM rank_label r JOIN f1_label f USING (fold, taxon_id))
+"""
+
+
 _PYRAMID = """,
 cells AS (
     SELECT l.level,
@@ -315,6 +330,24 @@ one_class AS (
     GROUP BY ALL HAVING min(e.y) = max(e.y))
 SELECT e.fold, e.region, e.taxon_id, e.y, o.constant
 FROM every e LEFT JOIN one_class o USING (fold, taxon_id)"""),
+    "species_metrics_with_gaps": _with_gaps(_GAP_METRICS + """
+SELECT fold, taxon_id, round(roc_auc, 9) AS roc_auc, round(pr_auc, 9) AS pr_auc, round(f1, 9) AS f1
+FROM gaps"""),
+    "species_means_with_gaps": _with_gaps(_GAP_METRICS + """
+SELECT taxon_id, round(avg(roc_auc), 9) AS roc_auc, round(avg(pr_auc), 9) AS pr_auc,
+       round(avg(f1), 9) AS f1
+FROM gaps GROUP BY taxon_id"""),
+    "saved_model_differences": _with("""
+SELECT model, (SELECT count(*) FROM matrix) AS n, CAST(0 AS BIGINT) AS n_different
+FROM (SELECT unnest(['lr', 'rf']) AS model)"""),
+    "one_species_features": _with("""
+SELECT lat, lon, taxon_id, taxon_name, grid_lat, grid_lon, region, hemisphere,
+       round(sin_lon, 9) AS sin_lon, round(cos_lon, 9) AS cos_lon
+FROM feats WHERE taxon_id = (SELECT taxon_id FROM chosen)"""),
+    "one_tile_features": _with("""
+SELECT lat, lon, taxon_id, taxon_name, grid_lat, grid_lon, region, hemisphere,
+       round(sin_lon, 9) AS sin_lon, round(cos_lon, 9) AS cos_lon
+FROM feats WHERE grid_lat BETWEEN 0 AND 7 AND grid_lon BETWEEN 0 AND 7"""),
     "density_pyramid": _with(_PYRAMID + """
 SELECT level, x, y, quadkey, n, parent_n, shown FROM pyramid"""),
     "density_cells": _with(_PYRAMID + """

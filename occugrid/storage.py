@@ -60,6 +60,12 @@ def drops_its_tables(job: Callable) -> Callable:
     return run
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table under ``path`` was written to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def written_table(df: DataFrame, name: str, spread_by: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back: lineage is cut, and a lost executor costs nothing.
 
