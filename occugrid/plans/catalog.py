@@ -12,7 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from occugrid import schemas, storage
-from occugrid.operators import density, labels, logistic, metrics, models, occupancy, presence
+from occugrid.operators import (
+    density,
+    incremental,
+    labels,
+    logistic,
+    metrics,
+    models,
+    observations,
+    occupancy,
+    presence,
+)
 from occugrid.operators.cooccurrence import cooccurrence
 from occugrid.operators.forest import ForestParams
 from occugrid.plans import feature_build, modelling
@@ -77,6 +87,29 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written(spark, sf_dir, build_features, schemas.TRAIN_FEATURES)
 
 
+def _stored_and_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Features of the first source as stored, and those of the second as a batch that comes later."""
+    train, extra = events.train_and_extra(spark, sf_dir)
+    taxa = events.taxa(spark, sf_dir)
+    later = extra.withColumn("row_id", F.col("row_id") + F.lit(observations.EXTRA_OFFSET))
+    stored = storage.written_table(feature_build.train_features(train, taxa=taxa), "stored")
+    return stored, feature_build.train_features(later, taxa=taxa)
+
+
+def incremental_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored features and the new ones of the batch: the table that one build gives."""
+    stored, batch = _stored_and_batch(spark, sf_dir)
+    every = stored.unionByName(incremental.new_features(stored, batch))
+    return rounded(every.drop("row_id"), "sin_lon", "cos_lon")
+
+
+def incremental_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Support from stored masks and a batch."""
+    stored, batch = _stored_and_batch(spark, sf_dir)
+    masks = storage.written_table(occupancy.occupancy(stored), "masks")
+    return occupancy.species_support(incremental.merged_masks(masks, batch))
+
+
 def _clustered(spark: SparkSession, sf_dir: str) -> str:
     """The feature table laid out by place and species, written once per application."""
     state = _file_state(spark, f"{sf_dir}/events.parquet")
@@ -498,6 +531,8 @@ QUERIES: dict[str, Query] = {
     "random_species": random_species,
     "random_species_locations": random_species_locations,
     "one_species_observations": one_species_observations,
+    "incremental_features": incremental_features,
+    "incremental_support": incremental_support,
     "one_species_features": one_species_features,
     "one_tile_features": one_tile_features,
     "loc2spec_dataset": _dataset(keep_unlabelled=False),

@@ -340,6 +340,12 @@ FROM gaps GROUP BY taxon_id"""),
     "saved_model_differences": _with("""
 SELECT model, (SELECT count(*) FROM matrix) AS n, CAST(0 AS BIGINT) AS n_different
 FROM (SELECT unnest(['lr', 'rf']) AS model)"""),
+    "incremental_features": _with("""
+SELECT lat, lon, taxon_id, taxon_name, grid_lat, grid_lon, region, hemisphere,
+       round(sin_lon, 9) AS sin_lon, round(cos_lon, 9) AS cos_lon
+FROM feats"""),
+    "incremental_support": _with("""
+SELECT taxon_id, n_regions, first_region FROM supp"""),
     "one_species_features": _with("""
 SELECT lat, lon, taxon_id, taxon_name, grid_lat, grid_lon, region, hemisphere,
        round(sin_lon, 9) AS sin_lon, round(cos_lon, 9) AS cos_lon
