@@ -153,10 +153,10 @@ def dropped_lines(
         .agg(F.sum("pos").alias("n_docs"), F.max("doc").alias("last_doc"))
         .where(F.col("n_docs") >= min_docs)
     )
-    # Bounded by the work's layout: two lines for each range, one more for every HELD rows.
+    # Two lines for each range, one more for every HELD rows: Catalyst sees how many there are.
     late = (
         found.where(F.col("state") == PENDING)
-        .join(F.broadcast(totals), ["high", "low"])
+        .join(totals, ["high", "low"])
         .where(F.col("doc") < F.col("last_doc"))
     )
     columns = ("doc", "row", "pos")

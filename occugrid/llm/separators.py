@@ -19,12 +19,27 @@ from occugrid.storage import new_table_path, written_table
 #: End of a document; no ordinary text has this id.
 SEPARATOR = 50256
 BLOCK_TOKENS = 1 << 20
+#: Greatest id that a file holds.
+_GREATEST = 0xFFFF
 #: Blocks that one task reads, about.
 BLOCKS_IN_TASK = 16
 
 _BLOCKS = "path string, block long, n_tokens long, ends array<long>"
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with its scheme: one without lies on the default file system, as for Spark."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    path = hadoop.Path(folder)
+    whole = path.makeQualified(hadoop.FileSystem.getDefaultUri(conf), hadoop.Path("/")).toString()
+    return _as_uri(whole)
+
+
+def _as_uri(path: str) -> str:
+    """Hadoop writes local files as file:/path."""
+    return re.sub("^file:/(?!/)", "file:///", path)
+
+
 def write_token_files(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -38,13 +53,14 @@ def write_token_files(
     Returns the folder, in the shared folder of the session, and ``(path, ordinal, id)``: which
     document is the how-manieth of a file; the files themselves say nothing of it. There is a
     file for each partition of the input. A task that runs twice writes the same file again,
-    under another name first, so that nobody reads half of one. A null text is empty.
+    under another name first, so that nobody reads half of one. A null text is empty. An id that
+    16 bits do not hold, as larger vocabularies have, is refused.
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or tokens.default_vocabulary()
-    folder = new_table_path(spark, name)
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
+    if not 0 <= separator <= _GREATEST:
+        raise ValueError(f"the separator {separator} does not fit in 16 bits")
+    folder = qualified(spark, new_table_path(spark, name))
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -58,6 +74,8 @@ def write_token_files(
                 ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
                 for text in texts:
                     encoded = np.append(tokens.encode(text, vocabulary), np.uint32(separator))
+                    if encoded.max() > _GREATEST:
+                        raise ValueError(f"the id {encoded.max()} does not fit in 16 bits")
                     out.write(encoded.astype("<u2").tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -107,8 +125,7 @@ def scan(
         for batch in batches:
             uris, numbers = batch.column("uri").to_pylist(), batch.column("block").to_pylist()
             for uri, block in zip(uris, numbers, strict=True):
-                # Spark lists local files as file:/path.
-                store, path = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", uri))
+                store, path = fs.FileSystem.from_uri(_as_uri(uri))
                 with store.open_input_file(path) as file:
                     first = block * block_tokens
                     raw = file.read_at(block_tokens * width, first * width)
