@@ -20,6 +20,8 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 #: Rows of one line that a task holds before it leaves them to the second step.
 HELD = 100_000
+#: Totals of lines that are broadcast at most (24 bytes each); more are joined by a shuffle.
+MAX_BROADCAST = 1_000_000
 
 _LINES = "high long, low long, doc long, row long, pos int"
 _FOUND = f"{_LINES}, state int"
@@ -153,7 +155,11 @@ def dropped_lines(
         .agg(F.sum("pos").alias("n_docs"), F.max("doc").alias("last_doc"))
         .where(F.col("n_docs") >= min_docs)
     )
-    # Two lines for each range, one more for every HELD rows: Catalyst sees how many there are.
+    # Two lines for each range, one more for every HELD rows: few, but counted before they are
+    # broadcast. Lines that wait for them may be very many of one kind, which a shuffle by line
+    # would bring into one task.
+    if found.where(F.col("state") == TOTAL).count() <= MAX_BROADCAST:
+        totals = F.broadcast(totals)
     late = (
         found.where(F.col("state") == PENDING)
         .join(totals, ["high", "low"])
