@@ -100,3 +100,11 @@ def test_documents_keep_their_columns(nasty):
     assert out.schema == nasty.schema
     assert out.count() == len(NASTY)
     assert out.where("text is null").count() == 2
+
+
+def test_totals_beyond_the_broadcast_bound_give_the_same(documents, nasty, monkeypatch):
+    for docs in (documents, nasty):
+        few = sorted(map(tuple, line_dedup.keep_bitmaps(docs, held=3).collect()), key=repr)
+        monkeypatch.setattr(line_dedup, "MAX_BROADCAST", -1)
+        assert sorted(map(tuple, line_dedup.keep_bitmaps(docs, held=3).collect()), key=repr) == few
+        monkeypatch.undo()
