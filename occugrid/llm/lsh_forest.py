@@ -28,24 +28,38 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 class Forest:
     """Parameters: shingles of ``words`` words, links from ``threshold`` Jaccard similarity.
 
-    Pairs at the threshold are found with probability ``recall`` at least, others more surely.
+    Pairs as alike as the least alike ones that were met are found with probability ``recall``
+    at least, and pairs at the threshold, met or not, with probability ``worst`` (or ``recall``, if
+    that is less); others more surely.
     """
 
     words: int = 5
     threshold: float = 0.8
     trees: int = 16
     recall: float = 0.999
+    worst: float = 0.99
 
     def depth(self) -> int:
-        """The longest prefix that reaches the recall: shortened from the whole signature."""
+        """The longest prefix that reaches the recall at the threshold: none is cut shorter."""
         depth = MAX_DEPTH
         while depth > 1 and self.found(depth) < self.recall:
             depth -= 1
         return depth
 
-    def found(self, depth: int) -> float:
-        """Chance that a pair at the threshold shares a prefix of this depth in some tree."""
-        return 1 - (1 - self.threshold**depth) ** self.trees
+    def found(self, depth: int, similarity: float | None = None) -> float:
+        """Chance that a pair (at the threshold) shares a prefix of this depth in some tree."""
+        alike = self.threshold if similarity is None else similarity
+        return 1 - (1 - alike**depth) ** self.trees
+
+    def suffices(self, depth: int, least: float | None) -> bool:
+        """Whether prefixes need not be shortened below ``depth``.
+
+        ``least`` is the least similarity of the links found so far, none before the first.
+        """
+        return (
+            self.found(depth, least) >= self.recall
+            and self.found(depth) >= min(self.worst, self.recall)
+        ) or depth <= self.depth()
 
 
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +163,46 @@ def _groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator
         yield rest
 
 
-_GROUP = ("bucket", "low", "high")
+def _common(trees: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Values that each label shares with the following one from the start; none across trees."""
+    same = np.logical_and.accumulate(labels[1:] == labels[:-1], axis=1).sum(axis=1)
+    return np.where(trees[1:] == trees[:-1], same, 0)
+
+
+def _neighbours(floor: int):
+    """Leaves of sorted tries with ``near``, the longest prefix that a neighbour shares.
+
+    Leaves below ``floor`` go. The neighbours of the first and last leaf of a range are in other
+    ranges, so those two stay in any case: at worst they are alone below their node.
+    """
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        before = MAX_DEPTH
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table]).combine_chunks()
+            labels = np.frombuffer(b"".join(table.column("label").to_pylist()), ">u2")
+            common = _common(table.column("tree").to_numpy(), labels.reshape(-1, MAX_DEPTH))
+            yield from _near(table.slice(0, len(common)), before, common, floor)
+            before = int(common[-1]) if len(common) else before
+            rest = table.slice(len(common))
+        if rest is not None:
+            yield from _near(rest, before, np.array([MAX_DEPTH]), floor)
+
+    return neighbours
+
+
+def _near(leaves: pa.Table, before: int, after: np.ndarray, floor: int) -> list[pa.RecordBatch]:
+    near = np.maximum(after, np.concatenate([[before], after[:-1]])[: len(after)])
+    table = leaves.append_column("near", pa.array(near, pa.int32()))
+    return table.filter(pa.array(near >= floor)).to_batches()
+
+
+_GROUP = ("node", "low", "high")
 
 
 def _prefixes(forests: list[bytes], trees: int, depth: int) -> np.ndarray:
@@ -162,15 +215,11 @@ def _prefixes(forests: list[bytes], trees: int, depth: int) -> np.ndarray:
 
 
 def _first_met(trees: int, depth: int, threshold: float):
-    """Members of a group that meet another one here first, of all trees."""
+    """Members of a group that meet another one here first, of all trees and longer prefixes."""
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, _GROUP):
-            prefixes = _prefixes(group.column("forest").to_pylist(), trees, depth)
-            tree = group.column("tree")[0].as_py()
-            pairs = _candidates(group, threshold)
-            for earlier in range(tree):
-                pairs &= prefixes[:, None, earlier] != prefixes[None, :, earlier]
+            pairs = _new_pairs(group, trees, depth, threshold)
             active = np.flatnonzero(pairs.any(axis=1))
             if len(active):
                 chosen = group.take(pa.array(active)).combine_chunks()
@@ -179,6 +228,20 @@ def _first_met(trees: int, depth: int, threshold: float):
     return met
 
 
+def _new_pairs(group: pa.Table, trees: int, depth: int, threshold: float) -> np.ndarray:
+    """Candidates that share no longer prefix in any tree, nor one as long in an earlier tree."""
+    pairs = _candidates(group, threshold)
+    forests = group.column("forest").to_pylist()
+    same = _prefixes(forests, trees, depth)
+    for earlier in range(group.column("tree")[0].as_py()):
+        pairs &= same[:, None, earlier] != same[None, :, earlier]
+    if depth < MAX_DEPTH:
+        longer = _prefixes(forests, trees, depth + 1)
+        for tree in range(trees):
+            pairs &= longer[:, None, tree] != longer[None, :, tree]
+    return pairs
+
+
 def _candidates(group: pa.Table, threshold: float) -> np.ndarray:
     """Pairs of different blocks (or all, if there is one) whose sizes allow a link."""
     block = group.column("block").to_numpy()
@@ -217,7 +280,7 @@ def _shared(grams: list[np.ndarray]) -> np.ndarray:
 
 
 def _verified(trees: int, depth: int, threshold: float):
-    """Links of a group: for each member that has one, how many documents, and a root.
+    """Links of a group: for each member that has one, how many documents, a root, the least alike.
 
     Roots stand for the components of the group's links; a member and its root are an edge of
     the graph of all links, with no more edges than members.
@@ -225,26 +288,24 @@ def _verified(trees: int, depth: int, threshold: float):
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, _GROUP):
+            links = _new_pairs(group, trees, depth, threshold)
+            if not links.any():
+                continue
             column = group.column("grams").combine_chunks()
             grams = [column[i].values.to_numpy() for i in range(len(column))]
             sizes = np.array([len(g) for g in grams], np.float64)
-            prefixes = _prefixes(group.column("forest").to_pylist(), trees, depth)
-            links = _candidates(group, threshold)
-            for earlier in range(group.column("tree")[0].as_py()):
-                links &= prefixes[:, None, earlier] != prefixes[None, :, earlier]
-            if not links.any():
-                continue
             shared = _shared(grams)
             either = sizes[:, None] + sizes[None, :] - shared
             links &= shared >= threshold * either - 1e-9
             linked = np.flatnonzero(links.any(axis=1))
             if not len(linked):
                 continue
+            least = np.where(links, shared / either, 1.0).min(axis=1)
             documents = links @ group.column("n_docs").to_numpy()
             root = np.arange(len(grams))
             while True:
-                least = np.where(links, root[None, :], len(grams)).min(axis=1)
-                joined = np.minimum(root, least)
+                lowest = np.where(links, root[None, :], len(grams)).min(axis=1)
+                joined = np.minimum(root, lowest)
                 joined = joined[joined]
                 if (joined == root).all():
                     break
@@ -255,8 +316,9 @@ def _verified(trees: int, depth: int, threshold: float):
                     pa.array([keys[i] for i in linked.tolist()], pa.binary()),
                     pa.array([keys[i] for i in root[linked].tolist()], pa.binary()),
                     pa.array(documents[linked].astype(np.int64)),
+                    pa.array(least[linked]),
                 ],
-                names=["key", "root", "n_links"],
+                names=["key", "root", "n_links", "least"],
             )
 
     return verified
@@ -292,9 +354,8 @@ def links(docs: DataFrame, sketched: DataFrame, forest: Forest, id_col: str, tex
     """``(classes, linked)``: sets of shingles, and the links between different ones.
 
     ``classes``: ``(key, size, forest, rep, n_docs)``, a row per set; ``linked``: ``(key, root,
-    n_links)``, written once, see ``_verified``.
+    n_links, least)``, written once for each length of prefix, see ``_verified``.
     """
-    depth = forest.depth()
     classes = (
         sketched.where(F.col("key").isNotNull())
         .groupBy("key")
@@ -306,28 +367,87 @@ def links(docs: DataFrame, sketched: DataFrame, forest: Forest, id_col: str, tex
         )
     )
     classes = written_table(classes, "shingle-sets")
-    # The trie of a tree is its sorted labels; a bucket is what hangs below one prefix.
+    leaves = tries(classes, forest)
+    grams = _grams_of_leaves(docs, classes, leaves, forest, id_col, text_col)
+    linked, least, depth = None, None, MAX_DEPTH
+    while True:
+        here = _links_at(classes, leaves, grams, forest, depth)
+        linked = here if linked is None else linked.unionByName(here)
+        found = here.agg(F.min("least")).first()[0]
+        least = min((x for x in (least, found) if x is not None), default=None)
+        if forest.suffices(depth, least):
+            return classes, linked
+        depth -= 1
+
+
+def tries(classes: DataFrame, forest: Forest) -> DataFrame:
+    """``(key, tree, label, near)``: the sorted labels of every tree, written once.
+
+    Sorted labels are a prefix trie: what hangs below a node is a run of them. ``near`` is the
+    longest prefix, in values, that a neighbour shares; labels without company down to the
+    shortest prefix that may be used are left out. Ranges are sampled over labels and keys, so a
+    label that many sets have is cut as well.
+    """
     leaves = classes.select(
         "key", F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree"), "forest"
     ).select(
         "key",
         "tree",
-        F.xxhash64(
-            "tree",
-            F.substring(F.col("forest"), F.col("tree") * 2 * MAX_DEPTH + 1, F.lit(2 * depth)),
-        ).alias("bucket"),
+        F.substring(F.col("forest"), F.col("tree") * 2 * MAX_DEPTH + 1, F.lit(2 * MAX_DEPTH)).alias("label"),
+    )
+    order = ("tree", "label", "key")
+    ranged = leaves.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written_table(
+        ranged.mapInArrow(
+            _neighbours(forest.depth()), "key binary, tree int, label binary, near int"
+        ),
+        "tries",
+    )
+
+
+def _grams_of_leaves(
+    docs: DataFrame, classes: DataFrame, leaves: DataFrame, forest: Forest, id_col: str, text_col: str
+) -> DataFrame:
+    """``(key, grams)`` of the sets that have company in some trie, written once."""
+    wanted = leaves.select("key").distinct().join(classes.select("key", "rep"), "key")
+    wanted = wanted.select("key", F.col("rep.doc").alias("doc"), F.col("rep.row").alias("row"))
+    texts = _identified(docs, id_col, text_col).join(wanted, ["doc", "row"]).select("key", "text")
+    grams = _with_grams(texts, forest.words).select(
+        "key", F.array_distinct("grams").alias("grams")
+    )
+    return written_table(grams.dropDuplicates(["key"]), "grams")
+
+
+def _links_at(
+    classes: DataFrame, leaves: DataFrame, grams: DataFrame, forest: Forest, depth: int
+) -> DataFrame:
+    """Links of pairs whose longest common prefix in any tree has ``depth`` values, written once.
+
+    Only nodes with several children matter: all pairs below one child were met before.
+    """
+    prefix = F.substring(F.col("label"), F.lit(1), F.lit(2 * depth))
+    child = (
+        F.substring(F.col("label"), F.lit(1), F.lit(2 * depth + 2)) if depth < MAX_DEPTH else F.col("key")
+    )
+    below = leaves.where(F.col("near") >= depth).select(
+        "key", "tree", F.xxhash64("tree", prefix).alias("node"), F.xxhash64(child).alias("child")
+    )
+    crowded = (
+        below.groupBy("node")
+        .agg(F.count("*").alias("m"), F.min("child").alias("first"), F.max("child").alias("last"))
+        .where(F.col("first") < F.col("last"))
+        .select("node", "m")
     )
-    crowded = leaves.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > 1)
     n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("key", "bucket"), n_blocks).cast("int")
+    block = F.pmod(F.xxhash64("key", "node"), n_blocks).cast("int")
     placed = (
-        leaves.join(crowded, "bucket")
-        .select("key", "tree", "bucket", block.alias("block"), n_blocks.alias("n_blocks"))
+        below.join(crowded, "node")
+        .select("key", "tree", "node", block.alias("block"), n_blocks.alias("n_blocks"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
         .select(
             "key",
             "tree",
-            "bucket",
+            "node",
             "block",
             F.least("block", "other").alias("low"),
             F.greatest("block", "other").alias("high"),
@@ -335,7 +455,7 @@ def links(docs: DataFrame, sketched: DataFrame, forest: Forest, id_col: str, tex
     )
     described = classes.select("key", "size", "forest", "n_docs")
     group = (
-        "key binary, tree int, bucket long, block int, low int, high int, size int, "
+        "key binary, tree int, node long, block int, low int, high int, size int, "
         "forest binary, n_docs long"
     )
     columns = [field.split()[0] for field in group.split(", ")]
@@ -345,20 +465,13 @@ def links(docs: DataFrame, sketched: DataFrame, forest: Forest, id_col: str, tex
         ),
         "met-prefixes",
     )
-    wanted = met.select("key").distinct().join(classes.select("key", "rep"), "key")
-    wanted = wanted.select("key", F.col("rep.doc").alias("doc"), F.col("rep.row").alias("row"))
-    texts = _identified(docs, id_col, text_col).join(wanted, ["doc", "row"]).select("key", "text")
-    grams = _with_grams(texts, forest.words).select(
-        "key", F.array_distinct("grams").alias("grams")
-    ).dropDuplicates(["key"])
-    linked = written_table(
+    return written_table(
         _grouped(met.join(grams, "key")).mapInArrow(
             _verified(forest.trees, depth, forest.threshold),
-            "key binary, root binary, n_links long",
+            "key binary, root binary, n_links long, least double",
         ),
         "links",
     )
-    return classes, linked
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
@@ -411,11 +524,12 @@ def near_copies(
     words (null ones too) are classes of their own. A null id counts as the smallest long.
     Repeated rows are documents, so copies of each other. Other columns are not read.
 
-    Copies (equal sets) are one from the start. The signatures of each tree are labels of a
-    prefix trie; prefixes are shortened from the whole label until pairs at the threshold meet
-    with the wanted recall. Sets below one prefix are compared in blocks, so that neither a
-    task holds a whole bucket nor any pair becomes a row. A pair counts in the first tree where
-    it meets, and its link is verified on the whole sets (of 64-bit hashes).
+    Copies (equal sets) are one from the start. The signatures of each tree, sorted, are a prefix
+    trie. Sets with equal labels are compared first; then prefixes are shortened, value by value in
+    all trees at once, until the recall is reached for pairs as alike as the least alike link found so
+    far (see ``Forest``). Sets below one node are compared in blocks, so that neither a task holds
+    a whole node nor any pair becomes a row. A pair counts once, at its longest common prefix and in
+    the first tree that has it, and its link is verified on the whole sets (of 64-bit hashes).
     """
     sketched = sketch(docs, forest, id_col, text_col)
     classes, linked = links(docs, sketched, forest, id_col, text_col)
@@ -461,8 +575,9 @@ def keep_one(
 ) -> DataFrame:
     """The rows of ``docs`` that come first, by id, in their class of near copies.
 
-    Of repeated rows one stays. Texts without words have no copies: but for repeated rows, all
-    of them stay.
+    Of repeated rows one stays. Texts without words (null and empty ones) have no copies: but for
+    repeated rows, all of them stay. Null ids, long texts and clashing names are as in
+    ``near_copies``; an empty table stays empty. Columns and their names stay as they are.
     """
     found = near_copies(docs, id_col, text_col, **options)
     first = found.where(

@@ -108,3 +108,42 @@ def test_components(spark):
 def test_one_of_each_class_stays(documents, rows):
     kept = {r["doc_id"] for r in lsh_forest.keep_one(documents).collect()}
     assert kept == {c for _, c, _ in classes([(i, t) for i, t, _ in rows])}
+
+
+def test_sorted_tries_know_the_longest_prefix_of_every_label(spark, documents):
+    """``near`` against all pairs of labels, over many ranges; edges of ranges may say more."""
+    forest = lsh_forest.Forest(trees=2)
+    sketched = lsh_forest.sketch(documents, forest, "doc_id", "text")
+    classes = sketched.where("key IS NOT NULL").dropDuplicates(["key"])
+    labels = {
+        (bytes(r["key"]), tree): bytes(r["forest"][16 * tree : 16 * tree + 16])
+        for r in classes.select("key", "forest").collect()
+        for tree in range(2)
+    }
+
+    def common(a, b):
+        return next((i for i in range(8) if a[2 * i : 2 * i + 2] != b[2 * i : 2 * i + 2]), 8)
+
+    wanted = {
+        (key, tree): max(common(own, other) for (k, t), other in labels.items() if t == tree and k != key)
+        for (key, tree), own in labels.items()
+    }
+    got = {
+        (bytes(r["key"]), r["tree"]): r["near"] for r in lsh_forest.tries(classes, forest).collect()
+    }
+    for leaf, near in wanted.items():
+        if near >= forest.depth():
+            assert got[leaf] >= near
+    more = [leaf for leaf, near in got.items() if near > wanted[leaf]]
+    assert len(more) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_prefixes_are_shortened_until_the_recall():
+    forest = lsh_forest.Forest()
+    stops = {
+        least: next(d for d in range(8, 0, -1) if forest.suffices(d, least))
+        for least in (None, 0.8, 0.85, 0.95, 1.0)
+    }
+    assert stops[None] == stops[0.8] == forest.depth() == 4
+    assert stops[0.8] <= stops[0.85] <= stops[0.95] <= stops[1.0]
+    assert forest.found(stops[1.0]) >= forest.worst > forest.found(stops[1.0] + 1)
