@@ -16,6 +16,8 @@ from occugrid.storage import written_table
 
 #: Values of a signature in one tree, so the greatest depth of a trie; 16 bits each.
 MAX_DEPTH = 8
+#: How far below the threshold the signatures of a pair at the threshold may seem to be.
+MARGIN = 0.1
 #: Classes that one task compares with each other are about twice as many, at most.
 BLOCK = 256
 #: Shingles that are hashed at a time.
@@ -54,7 +56,7 @@ class Forest:
     def suffices(self, depth: int, least: float | None) -> bool:
         """Whether prefixes need not be shortened below ``depth``.
 
-        ``least`` is the least similarity of the links found so far, none before the first.
+        ``least`` is the least similarity of the pairs met so far, none before the first.
         """
         return (
             self.found(depth, least) >= self.recall
@@ -170,10 +172,12 @@ def _common(trees: np.ndarray, labels: np.ndarray) -> np.ndarray:
 
 
 def _neighbours(floor: int):
-    """Leaves of sorted tries with ``near``, the longest prefix that a neighbour shares.
+    """Leaves of sorted tries with ``near``, ``next`` and ``common``.
 
-    Leaves below ``floor`` go. The neighbours of the first and last leaf of a range are in other
-    ranges, so those two stay in any case: at worst they are alone below their node.
+    ``near`` is the longest prefix that a neighbour shares, ``next`` the set of the following leaf
+    and ``common`` the prefix it shares. Leaves below ``floor`` go. The neighbours of the first and
+    last leaf of a range are in other ranges, so those two stay in any case: at worst they are
+    alone below their node.
     """
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,21 +191,40 @@ def _neighbours(floor: int):
                 table = pa.concat_tables([rest, table]).combine_chunks()
             labels = np.frombuffer(b"".join(table.column("label").to_pylist()), ">u2")
             common = _common(table.column("tree").to_numpy(), labels.reshape(-1, MAX_DEPTH))
-            yield from _near(table.slice(0, len(common)), before, common, floor)
+            following = table.column("key").slice(1)
+            yield from _near(table.slice(0, len(common)), following, before, common, common, floor)
             before = int(common[-1]) if len(common) else before
             rest = table.slice(len(common))
         if rest is not None:
-            yield from _near(rest, before, np.array([MAX_DEPTH]), floor)
+            none, unknown = pa.nulls(1, pa.binary()), np.array([MAX_DEPTH])
+            yield from _near(rest, none, before, unknown, np.array([0]), floor)
 
     return neighbours
 
 
-def _near(leaves: pa.Table, before: int, after: np.ndarray, floor: int) -> list[pa.RecordBatch]:
+def _near(
+    leaves: pa.Table, following: pa.Array, before: int, after: np.ndarray, common: np.ndarray, floor: int
+) -> list[pa.RecordBatch]:
     near = np.maximum(after, np.concatenate([[before], after[:-1]])[: len(after)])
-    table = leaves.append_column("near", pa.array(near, pa.int32()))
+    table = (
+        leaves.append_column("near", pa.array(near, pa.int32()))
+        .append_column("next", following)
+        .append_column("common", pa.array(common, pa.int32()))
+    )
     return table.filter(pa.array(near >= floor)).to_batches()
 
 
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(common, similarity)`` of pairs of signatures: the share of equal values."""
+    for batch in batches:
+        one, other = (
+            np.frombuffer(b"".join(batch.column(name).to_pylist()), ">u2").reshape(batch.num_rows, -1)
+            for name in ("forest", "other")
+        )
+        similarity = pa.array((one == other).mean(axis=1) if batch.num_rows else np.zeros(0))
+        yield pa.RecordBatch.from_arrays([batch.column("common"), similarity], names=["common", "similarity"])
+
+
 _GROUP = ("node", "low", "high")
 
 
@@ -215,7 +238,7 @@ def _prefixes(forests: list[bytes], trees: int, depth: int) -> np.ndarray:
 
 
 def _first_met(trees: int, depth: int, threshold: float):
-    """Members of a group that meet another one here first, of all trees and longer prefixes."""
+    """Members of a group that meet another one here first, of all trees."""
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, _GROUP):
@@ -229,16 +252,11 @@ def _first_met(trees: int, depth: int, threshold: float):
 
 
 def _new_pairs(group: pa.Table, trees: int, depth: int, threshold: float) -> np.ndarray:
-    """Candidates that share no longer prefix in any tree, nor one as long in an earlier tree."""
+    """Candidates that share no prefix in an earlier tree."""
     pairs = _candidates(group, threshold)
-    forests = group.column("forest").to_pylist()
-    same = _prefixes(forests, trees, depth)
+    prefixes = _prefixes(group.column("forest").to_pylist(), trees, depth)
     for earlier in range(group.column("tree")[0].as_py()):
-        pairs &= same[:, None, earlier] != same[None, :, earlier]
-    if depth < MAX_DEPTH:
-        longer = _prefixes(forests, trees, depth + 1)
-        for tree in range(trees):
-            pairs &= longer[:, None, tree] != longer[None, :, tree]
+        pairs &= prefixes[:, None, earlier] != prefixes[None, :, earlier]
     return pairs
 
 
@@ -280,7 +298,7 @@ def _shared(grams: list[np.ndarray]) -> np.ndarray:
 
 
 def _verified(trees: int, depth: int, threshold: float):
-    """Links of a group: for each member that has one, how many documents, a root, the least alike.
+    """Links of a group: for each member that has one, how many documents, and a root.
 
     Roots stand for the components of the group's links; a member and its root are an edge of
     the graph of all links, with no more edges than members.
@@ -300,12 +318,11 @@ def _verified(trees: int, depth: int, threshold: float):
             linked = np.flatnonzero(links.any(axis=1))
             if not len(linked):
                 continue
-            least = np.where(links, shared / either, 1.0).min(axis=1)
             documents = links @ group.column("n_docs").to_numpy()
             root = np.arange(len(grams))
             while True:
-                lowest = np.where(links, root[None, :], len(grams)).min(axis=1)
-                joined = np.minimum(root, lowest)
+                least = np.where(links, root[None, :], len(grams)).min(axis=1)
+                joined = np.minimum(root, least)
                 joined = joined[joined]
                 if (joined == root).all():
                     break
@@ -316,9 +333,8 @@ def _verified(trees: int, depth: int, threshold: float):
                     pa.array([keys[i] for i in linked.tolist()], pa.binary()),
                     pa.array([keys[i] for i in root[linked].tolist()], pa.binary()),
                     pa.array(documents[linked].astype(np.int64)),
-                    pa.array(least[linked]),
                 ],
-                names=["key", "root", "n_links", "least"],
+                names=["key", "root", "n_links"],
             )
 
     return verified
@@ -354,7 +370,7 @@ def links(docs: DataFrame, sketched: DataFrame, forest: Forest, id_col: str, tex
     """``(classes, linked)``: sets of shingles, and the links between different ones.
 
     ``classes``: ``(key, size, forest, rep, n_docs)``, a row per set; ``linked``: ``(key, root,
-    n_links, least)``, written once for each length of prefix, see ``_verified``.
+    n_links)``, written once, see ``_verified``.
     """
     classes = (
         sketched.where(F.col("key").isNotNull())
@@ -368,23 +384,16 @@ def links(docs: DataFrame, sketched: DataFrame, forest: Forest, id_col: str, tex
     )
     classes = written_table(classes, "shingle-sets")
     leaves = tries(classes, forest)
-    grams = _grams_of_leaves(docs, classes, leaves, forest, id_col, text_col)
-    linked, least, depth = None, None, MAX_DEPTH
-    while True:
-        here = _links_at(classes, leaves, grams, forest, depth)
-        linked = here if linked is None else linked.unionByName(here)
-        found = here.agg(F.min("least")).first()[0]
-        least = min((x for x in (least, found) if x is not None), default=None)
-        if forest.suffices(depth, least):
-            return classes, linked
-        depth -= 1
+    depth = shortened(classes, leaves, forest)
+    return classes, _links_at(docs, classes, leaves, forest, depth, id_col, text_col)
 
 
 def tries(classes: DataFrame, forest: Forest) -> DataFrame:
-    """``(key, tree, label, near)``: the sorted labels of every tree, written once.
+    """``(key, tree, label, near, next, common)``: the sorted labels of every tree, written once.
 
     Sorted labels are a prefix trie: what hangs below a node is a run of them. ``near`` is the
-    longest prefix, in values, that a neighbour shares; labels without company down to the
+    longest prefix, in values, that a neighbour shares, ``next`` the following set and ``common``
+    the prefix shared with it; labels without company down to the
     shortest prefix that may be used are left out. Ranges are sampled over labels and keys, so a
     label that many sets have is cut as well.
     """
@@ -399,45 +408,59 @@ def tries(classes: DataFrame, forest: Forest) -> DataFrame:
     ranged = leaves.repartitionByRange(*order).sortWithinPartitions(*order)
     return written_table(
         ranged.mapInArrow(
-            _neighbours(forest.depth()), "key binary, tree int, label binary, near int"
+            _neighbours(forest.depth()),
+            "key binary, tree int, label binary, near int, next binary, common int",
         ),
         "tries",
     )
 
 
-def _grams_of_leaves(
-    docs: DataFrame, classes: DataFrame, leaves: DataFrame, forest: Forest, id_col: str, text_col: str
-) -> DataFrame:
-    """``(key, grams)`` of the sets that have company in some trie, written once."""
-    wanted = leaves.select("key").distinct().join(classes.select("key", "rep"), "key")
-    wanted = wanted.select("key", F.col("rep.doc").alias("doc"), F.col("rep.row").alias("row"))
-    texts = _identified(docs, id_col, text_col).join(wanted, ["doc", "row"]).select("key", "text")
-    grams = _with_grams(texts, forest.words).select(
-        "key", F.array_distinct("grams").alias("grams")
+def shortened(classes: DataFrame, leaves: DataFrame, forest: Forest) -> int:
+    """The length of prefixes that all trees use, shortened from whole labels.
+
+    Neighbours in the sorted tries, no more pairs than leaves, show how unlike the pairs are that
+    meet at each length: by the share of equal values in their signatures, of which about one in
+    a thousand errs by more than ``MARGIN``; so pairs from ``MARGIN`` below the threshold count, as
+    pairs at the threshold. A row for each length reaches the driver.
+    """
+    pairs = (
+        leaves.where(F.col("common") >= forest.depth())
+        .groupBy(F.least("key", "next").alias("key"), F.greatest("key", "next").alias("next"))
+        .agg(F.max("common").alias("common"))
     )
-    return written_table(grams.dropDuplicates(["key"]), "grams")
+    signed = classes.select("key", "forest")
+    both = pairs.join(signed, "key").join(
+        signed.select(F.col("key").alias("next"), F.col("forest").alias("other")), "next"
+    )
+    alike = both.select("common", "forest", "other").mapInArrow(_alike, "common int, similarity double")
+    seen = dict(
+        alike.where(F.col("similarity") >= forest.threshold - MARGIN)
+        .groupBy("common")
+        .agg(F.greatest(F.min("similarity"), F.lit(forest.threshold)).alias("least"))
+        .collect()
+    )
+    depth, least = MAX_DEPTH, seen.get(MAX_DEPTH)
+    while not forest.suffices(depth, least):
+        depth -= 1
+        least = min((x for x in (least, seen.get(depth)) if x is not None), default=None)
+    return depth
 
 
 def _links_at(
-    classes: DataFrame, leaves: DataFrame, grams: DataFrame, forest: Forest, depth: int
+    docs: DataFrame,
+    classes: DataFrame,
+    leaves: DataFrame,
+    forest: Forest,
+    depth: int,
+    id_col: str,
+    text_col: str,
 ) -> DataFrame:
-    """Links of pairs whose longest common prefix in any tree has ``depth`` values, written once.
-
-    Only nodes with several children matter: all pairs below one child were met before.
-    """
+    """Links of the pairs that share a prefix of ``depth`` values in some tree, written once."""
     prefix = F.substring(F.col("label"), F.lit(1), F.lit(2 * depth))
-    child = (
-        F.substring(F.col("label"), F.lit(1), F.lit(2 * depth + 2)) if depth < MAX_DEPTH else F.col("key")
-    )
     below = leaves.where(F.col("near") >= depth).select(
-        "key", "tree", F.xxhash64("tree", prefix).alias("node"), F.xxhash64(child).alias("child")
-    )
-    crowded = (
-        below.groupBy("node")
-        .agg(F.count("*").alias("m"), F.min("child").alias("first"), F.max("child").alias("last"))
-        .where(F.col("first") < F.col("last"))
-        .select("node", "m")
+        "key", "tree", F.xxhash64("tree", prefix).alias("node")
     )
+    crowded = below.groupBy("node").agg(F.count("*").alias("m")).where(F.col("m") > 1)
     n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("key", "node"), n_blocks).cast("int")
     placed = (
@@ -465,10 +488,16 @@ def _links_at(
         ),
         "met-prefixes",
     )
+    wanted = met.select("key").distinct().join(classes.select("key", "rep"), "key")
+    wanted = wanted.select("key", F.col("rep.doc").alias("doc"), F.col("rep.row").alias("row"))
+    texts = _identified(docs, id_col, text_col).join(wanted, ["doc", "row"]).select("key", "text")
+    grams = _with_grams(texts, forest.words).select(
+        "key", F.array_distinct("grams").alias("grams")
+    ).dropDuplicates(["key"])
     return written_table(
         _grouped(met.join(grams, "key")).mapInArrow(
             _verified(forest.trees, depth, forest.threshold),
-            "key binary, root binary, n_links long, least double",
+            "key binary, root binary, n_links long",
         ),
         "links",
     )
@@ -525,11 +554,11 @@ def near_copies(
     Repeated rows are documents, so copies of each other. Other columns are not read.
 
     Copies (equal sets) are one from the start. The signatures of each tree, sorted, are a prefix
-    trie. Sets with equal labels are compared first; then prefixes are shortened, value by value in
-    all trees at once, until the recall is reached for pairs as alike as the least alike link found so
-    far (see ``Forest``). Sets below one node are compared in blocks, so that neither a task holds
-    a whole node nor any pair becomes a row. A pair counts once, at its longest common prefix and in
-    the first tree that has it, and its link is verified on the whole sets (of 64-bit hashes).
+    trie. Prefixes are shortened from whole labels, value by value in all trees at once, until the
+    recall is reached for pairs as alike as the least alike neighbours met so far (``shortened``,
+    ``Forest``). Sets below one node are compared in blocks, so that neither a task holds a whole
+    node nor any pair becomes a row. A pair counts in the first tree where it meets, and its link
+    is verified on the whole sets (of 64-bit hashes).
     """
     sketched = sketch(docs, forest, id_col, text_col)
     classes, linked = links(docs, sketched, forest, id_col, text_col)
