@@ -85,7 +85,7 @@ KINDS = (
         r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}"
         r"(?:(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![A-Za-z0-9])",
         r"[A-Z]{2}[0-9]{2}[\x20A-Z0-9]",
-        0.8,
+        0.7,
         r"iban|bank|account|transfer|konto|compte|cuenta",
         r"serial|model|part no",
         always=False,
@@ -99,6 +99,15 @@ KINDS = (
         r"order|part no|serial",
         always=False,
     ),
+    Kind(
+        "secret",
+        r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9])",
+        r"[A-Za-z0-9+/_-]{16}",
+        0.3,
+        r"token|secret|passw|pwd|api[ _-]?key|access[ _-]?key|credential|bearer|authorization",
+        r"sha-?[0-9]|md5|checksum|commit|digest|uuid",
+        always=False,
+    ),
 )
 BASE = tuple(kind.name for kind in KINDS if kind.always)
 
@@ -138,6 +147,11 @@ def _valid(kind: str, value: Column) -> Column:
         )
     if kind == "ssn":
         return ~value.rlike("^(?:000|666|9)|-00-|-0000$")
+    if kind == "secret":
+        # Keys mix digits and letters at random; words, numbers and paths do not.
+        digits = F.length(_digits(value))
+        letters = F.length(F.regexp_replace(value, "[^A-Za-z]", ""))
+        return (digits >= 3) & (letters >= 3) & (F.size(F.array_distinct(F.split(value, ""))) >= 8)
     return F.lit(True)
 
 
@@ -266,8 +280,10 @@ def detect(
     ``KINDS``, then by start; offsets are code points, the end is exclusive. Matches of a kind
     are leftmost and do not overlap; a match that fails its check (octets up to 255, Luhn,
     number of digits, mod-97) is dropped and not retried, but for IBANs (see ``_ibans``). Context words within ``NEAR``
-    characters move the score. Spans of the kinds in ``BASE`` are kept whatever their score,
-    others from ``min_score``.
+    characters move the score. Spans of the kinds in ``BASE`` are kept whatever their score (it
+    says how sure they are), others from ``min_score``: an IBAN goes where words speak against it, a
+    social security number or a secret (key, token, password: 16 characters or more of
+    letters and digits mixed) needs words that speak for it.
 
     A null or empty text has no spans. Repeated rows and null ids give a row each. Other
     columns are not read, so their names do not matter.
@@ -308,7 +324,11 @@ def digest(spans: Column) -> Column:
 
 
 def summary(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts of the base kinds and digests of the spans, one row per row of ``detect``."""
+    """Counts of the kinds, digests and scores of the spans, one row per row of ``detect``.
+
+    ``scores`` holds the score of every span of ``spans``, in its order. No spans (a null or empty
+    text) give counts of 0 and empty digests.
+    """
     found = F.col("spans")
     base = F.filter(found, lambda span: span["kind"].isin(*BASE))
 
@@ -321,4 +341,8 @@ def summary(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
         *counts,
         F.sha2(digest(base).cast("binary"), 256).alias("base_sha256"),
         digest(found).alias("spans"),
+        F.array_join(
+            F.transform(found, lambda span: F.format_number(span["score"], 2)), ","
+        ).alias("scores"),
+        *[count_of(kind.name).alias(f"n_{kind.name}") for kind in KINDS if not kind.always],
     )

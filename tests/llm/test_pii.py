@@ -84,7 +84,14 @@ def test_summary(make_docs):
         ("to DE89 3704 0044 0532 0130 00 please", [("iban", 3, 30)]),
         ("to GB82WEST12345698765432.", [("iban", 3, 25)]),
         ("to DE88 3704 0044 0532 0130 00 please", []),
-        ("serial GB82WEST12345698765432", [("iban", 7, 29)]),
+        ("serial GB82WEST12345698765432", []),
+        ("bank account, serial GB82WEST12345698765432", [("iban", 21, 43)]),
+        ('token = "11acdfb36bb72224148e6160f674b4be45601bff"', [("secret", 9, 49)]),
+        ("commit 11acdfb36bb72224148e6160f674b4be45601bff", []),
+        ("token of commit 11acdfb36bb72224148e6160f674b4be45601bff", []),
+        ("password: hunter2Xhunter5Yhunter9", [("secret", 10, 33)]),
+        ("password: antidisestablishmentarianism", []),
+        ("api key 1234567890123456789", []),
         ("social security 123-45-6789", [("ssn", 16, 27)]),
         ("code 123-45-6789", []),
         ("social security 000-45-6789", []),
@@ -92,7 +99,7 @@ def test_summary(make_docs):
 )
 def test_added_kinds_need_their_check_and_score(make_docs, text, wanted):
     spans = found(make_docs([(1, text, "s")]))[0]
-    assert [s for s in spans if s[0] in ("iban", "ssn")] == wanted
+    assert [s for s in spans if s[0] not in pii.BASE] == wanted
 
 
 def test_context_moves_the_score(make_docs):
@@ -105,5 +112,18 @@ def test_context_moves_the_score(make_docs):
     assert scores == {1: 1.0, 2: 0.5}
 
 
+def test_summary_gives_the_scores(make_docs):
+    text = "mail a@b.cc, iban GB82WEST12345698765432, a@noreply.cc"
+    (row,) = pii.summary(pii.detect(make_docs([(1, text, "s")]))).collect()
+    assert row["spans"].count(",") == row["scores"].count(",") == 2
+    assert row["scores"].split(",")[-1] == "0.95" and row["n_iban"] == 1 and row["n_secret"] == 0
+
+
+@pytest.mark.parametrize("text", ["aB3" * 20_000, "-" * 60_000, "a1" * 7 + " ", None, ""])
+def test_long_runs_and_no_text(make_docs, text):
+    (spans,) = found(make_docs([(1, text, "s")]))
+    assert not [s for s in spans if s[0] == "secret"]
+
+
 def test_empty_table(empty):
     assert pii.summary(pii.detect(empty)).count() == 0
