@@ -13,7 +13,8 @@ from occugrid.functions import geo
 
 WORD_BITS = 64
 NUMERIC_FEATURES = ["grid_lat", "grid_lon", "sin_lon", "cos_lon"]
-HEMISPHERE_FEATURE = "hemisphere_S"
+#: Derived from the cell; any other category is the value of a region's first observation.
+HEMISPHERE = "hemisphere"
 
 
 def label_words(n_labels: int) -> list[str]:
@@ -30,13 +31,18 @@ def has_label(rank: Column, n_labels: int) -> Column:
 
 
 def labelled_regions(
-    features: DataFrame, top: DataFrame, n_labels: int, keep_unlabelled: bool, block_deg: int = 1
+    features: DataFrame,
+    top: DataFrame,
+    n_labels: int,
+    keep_unlabelled: bool,
+    block_deg: int = 1,
+    categorical: tuple[str, ...] = (HEMISPHERE,),
 ) -> DataFrame:
     """One row per region: location features and its top species as label bits.
 
     ``top`` holds the ``n_labels`` most widespread species, so it is broadcast. Labels,
     first-observation features and regions come out of one aggregation whose buffers are all
-    fixed-width. ``keep_unlabelled=False`` drops the regions without a top species. The group of
+    fixed-width, but for further ``categorical`` columns of ``features``. ``keep_unlabelled=False`` drops the regions without a top species. The group of
     a region is its block of ``block_deg`` degrees, by default the region itself.
     """
     lat, lon, rank = F.col("grid_lat"), F.col("grid_lon"), F.col("label_rank")
@@ -51,6 +57,7 @@ def labelled_regions(
         .agg(
             F.min_by("sin_lon", "row_id").alias("sin_lon"),
             F.min_by("cos_lon", "row_id").alias("cos_lon"),
+            *[F.min_by(name, "row_id").alias(name) for name in categorical if name != HEMISPHERE],
             *[
                 F.coalesce(bits, F.lit(0).cast("bigint")).alias(word)
                 for word, bits in zip(words, in_word)
@@ -68,16 +75,6 @@ def labelled_regions(
     )
 
 
-def one_hot_hemisphere(rows: DataFrame) -> DataFrame:
-    """``hemisphere_S`` as 0/1; the first category (N) is the dropped one."""
-    return rows.withColumn(HEMISPHERE_FEATURE, (F.col("hemisphere") == "S").cast("int"))
-
-
-def feature_columns(both_hemispheres: bool) -> list[str]:
-    """Model inputs; the hemisphere column only if both hemispheres occur."""
-    return NUMERIC_FEATURES + ([HEMISPHERE_FEATURE] if both_hemispheres else [])
-
-
 def label_array(n_labels: int) -> Column:
     """0/1 per label in popularity order."""
     ranks = F.sequence(F.lit(0), F.lit(n_labels - 1))

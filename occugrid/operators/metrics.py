@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from occugrid import storage
 from occugrid.functions import measures
 
 LABEL_KEYS = ["fold", "taxon_id"]
 FOLD_KEYS = ["fold"]
-BANDS = 1024
 
 
 def confusion(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,48 +30,46 @@ def confusion(scores: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def cumulative_counts(scores: DataFrame, keys: list[str]) -> DataFrame:
+def distinct_scores(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Per distinct score: positives and negatives there (``pos``, ``neg``), predicted as 1
-    (``hit``, ``miss``), and at this score or above (``pos_upto``, ``neg_upto``).
+    (``hit``, ``miss``), and the range (``part``) it lies in.
 
-    Equal scores are counted first (map-side). The running sum is cut into bands of the
-    log-odds of the score, an order-preserving function: totals of the bands above plus the
-    sum inside the band. So no single task sorts all scores of a fold. Every band has its
-    totals; the outer join keeps Catalyst from broadcasting the larger side.
+    Equal scores are counted first (map-side). Ranges follow keys and falling scores; they are
+    sampled, so they hold like numbers of scores however clustered those are, and written, so
+    that a retry keeps them.
     """
-    steps = "CAST(floor(log2(try_divide(p, 1D - p)) * 16) AS INT)"
-    band = (
-        f"CASE WHEN p >= 1 THEN {BANDS} WHEN p <= 0 THEN -{BANDS} "
-        f"ELSE greatest(1 - {BANDS}, least({BANDS} - 1, {steps})) END AS band"
-    )
-    counted = (
-        scores.groupBy(*keys, "p")
-        .agg(
-            F.expr("sum(y) AS pos"),
-            F.expr("sum(1 - y) AS neg"),
-            F.expr("sum(y * yhat) AS hit"),
-            F.expr("sum((1 - y) * yhat) AS miss"),
-        )
-        .selectExpr("*", band)
+    counted = scores.groupBy(*keys, "p").agg(
+        F.expr("sum(y) AS pos"),
+        F.expr("sum(1 - y) AS neg"),
+        F.expr("sum(y * yhat) AS hit"),
+        F.expr("sum((1 - y) * yhat) AS miss"),
     )
+    ranged = counted.repartitionByRange(*[F.col(key).asc() for key in keys], F.col("p").desc())
+    return storage.written_table(ranged.withColumn("part", F.spark_partition_id()), "distinct-scores")
+
+
+def cumulative_counts(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """``distinct_scores`` with the counts at each score or above (``pos_upto``, ``neg_upto``).
+
+    Totals of the earlier ranges plus the sum inside the range: no single task sorts all scores
+    of a fold. Every range has its totals; the outer join keeps Catalyst from broadcasting the
+    larger side.
+    """
+    counted = distinct_scores(scores, keys)
     partition = ", ".join(keys)
-    higher = (
-        f"(PARTITION BY {partition} ORDER BY band DESC "
-        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    )
+    earlier = f"(PARTITION BY {partition} ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     totals = (
-        scores.selectExpr(*keys, "y", band)
-        .groupBy(*keys, "band")
-        .agg(F.expr("sum(y) AS pos"), F.expr("sum(1 - y) AS neg"))
+        counted.groupBy(*keys, "part")
+        .agg(F.expr("sum(pos) AS pos"), F.expr("sum(neg) AS neg"))
         .selectExpr(
             *keys,
-            "band",
-            f"coalesce(sum(pos) OVER {higher}, 0) AS pos_above",
-            f"coalesce(sum(neg) OVER {higher}, 0) AS neg_above",
+            "part",
+            f"coalesce(sum(pos) OVER {earlier}, 0) AS pos_above",
+            f"coalesce(sum(neg) OVER {earlier}, 0) AS neg_above",
         )
     )
     inside = (
-        f"(PARTITION BY {partition}, band ORDER BY p DESC "
+        f"(PARTITION BY {partition}, part ORDER BY p DESC "
         "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     )
     return (
@@ -80,7 +78,7 @@ def cumulative_counts(scores: DataFrame, keys: list[str]) -> DataFrame:
             f"sum(pos) OVER {inside} AS pos_inside",
             f"sum(neg) OVER {inside} AS neg_inside",
         )
-        .join(totals, [*keys, "band"], "left")
+        .join(totals, [*keys, "part"], "left")
         .selectExpr(
             *keys,
             "pos",

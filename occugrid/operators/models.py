@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from occugrid import storage
-from occugrid.operators import forest, labels, logistic
+from occugrid.operators import categories, forest, labels, logistic
 from occugrid.operators.forest import ForestParams
 from occugrid.operators.logistic import FINAL
 
@@ -20,13 +21,17 @@ LABELS_PER_PART = 25
 
 @dataclass(frozen=True)
 class Dataset:
-    """Region rows with label bits and fold, the labels, and the inputs of the models."""
+    """Region rows with label bits and fold, the labels, and the inputs of the models.
+
+    ``categories`` is the dictionary behind the 0/1 columns among the inputs.
+    """
 
     rows: DataFrame
     top: DataFrame
     n_labels: int
     n_splits: int
     feature_columns: list[str]
+    categories: dict[str, list[str]] = field(default_factory=dict)
 
     def grid(self) -> DataFrame:
         """Long label table: every region with every label."""
@@ -47,31 +52,37 @@ def check_kind(model: str) -> str:
 
 
 def prepare(
-    features: DataFrame, top: DataFrame, n_splits: int, keep_unlabelled: bool, block_deg: int = 1
+    features: DataFrame,
+    top: DataFrame,
+    n_splits: int,
+    keep_unlabelled: bool,
+    block_deg: int = 1,
+    categorical: tuple[str, ...] = (labels.HEMISPHERE,),
 ) -> Dataset:
     """Build the dataset in two passes over the features: one for ``top``, one for the regions.
 
     Each step is written, so the folds and every later fit only read small tables. With
     ``block_deg`` above 1 all regions of a block of so many degrees are in one fold, so that a
-    region is not judged by its neighbours.
+    region is not judged by its neighbours. ``categorical`` columns of ``features`` become 0/1
+    inputs, one for each category that occurs but the first.
     """
     if block_deg < 1:
         raise ValueError(f"block_deg must be a whole number from 1 up, not {block_deg}")
     top = storage.written_table(top, "labels")
     n_labels = top.count()
     rows = storage.written_table(
-        labels.labelled_regions(features, top, n_labels, keep_unlabelled, block_deg), "regions"
+        labels.labelled_regions(features, top, n_labels, keep_unlabelled, block_deg, categorical), "regions"
     )
+    known = categories.known_categories(rows, list(categorical))
     dealt = labels.assign_folds if block_deg == 1 else labels.assign_block_folds
     rows = storage.written_table(
-        labels.one_hot_hemisphere(dealt(rows, n_splits)), "folds", spread_by="region"
+        categories.one_hot(dealt(rows, n_splits), known), "folds", spread_by="region"
     )
-    low, high, n_groups = rows.agg(
-        F.min("hemisphere"), F.max("hemisphere"), F.count_distinct("group_key")
-    ).first()
+    n_groups = rows.agg(F.count_distinct("group_key")).first()[0]
     if not 2 <= n_splits <= n_groups:
         raise ValueError(f"cannot split {n_groups} groups into {n_splits} folds")
-    return Dataset(rows, top, n_labels, n_splits, labels.feature_columns(low != high))
+    inputs = labels.NUMERIC_FEATURES + categories.one_hot_columns(known)
+    return Dataset(rows, top, n_labels, n_splits, inputs, known)
 
 
 def _score_columns(scores: DataFrame, top: DataFrame) -> DataFrame:
@@ -167,6 +178,7 @@ def fit_final(
             {
                 "model": F.lit(model),
                 "feature_columns": F.array(*[F.lit(name) for name in data.feature_columns]),
+                "categories": F.from_json(F.lit(json.dumps(data.categories)), "map<string,array<string>>"),
                 "num_trees": F.lit(forest_params.num_trees if model == "rf" else None).cast("int"),
             }
         )
@@ -176,14 +188,19 @@ def fit_final(
 
 
 def predict(spark: SparkSession, path: str, data: Dataset) -> DataFrame:
-    """Scores of every region of ``data`` by the models saved under ``path``."""
+    """Scores of every region of ``data`` by the models saved under ``path``.
+
+    Categories are read by the dictionary of the models, whichever occur in ``data``.
+    """
     metadata = spark.read.parquet(f"{path}/metadata").orderBy("label_rank").collect()
     kind, columns = metadata[0]["model"], list(metadata[0]["feature_columns"])
+    rows = categories.one_hot(data.rows, metadata[0]["categories"])
     if kind == "lr":
-        scores = logistic.predict(data.grid(), spark.read.parquet(f"{path}/weights"), columns)
+        grid = labels.label_grid(rows, data.n_labels)
+        scores = logistic.predict(grid, spark.read.parquet(f"{path}/weights"), columns)
         return _score_columns(scores, data.top)
     words = labels.label_words(data.n_labels)
-    scored = _forest_scores(spark, path, metadata, data.rows, ["fold", "region", *words])
+    scored = _forest_scores(spark, path, metadata, rows, ["fold", "region", *words])
     scored = scored.withColumn("y", labels.has_label(F.col("label_rank"), data.n_labels))
     return _score_columns(scored, data.top)
 
@@ -202,16 +219,18 @@ def _forest_scores(spark: SparkSession, path: str, metadata: list, rows: DataFra
 
 
 def predict_locations(
-    spark: SparkSession, path: str, features: DataFrame, id_col: str = "loc_id"
+    spark: SparkSession, path: str, features: DataFrame, id_col: str = "loc_id", unseen: str = "first"
 ) -> DataFrame:
     """``(id, taxon_id, label_rank, p, yhat)``: saved models on any table with grid features.
 
     ``features`` needs ``id_col`` and the five features of a cell, like the test features of
-    the feature job; it needs no labels.
+    the feature job, and the other categories of the models; it needs no labels. Categories are
+    read by the models' dictionary; those the models do not know are treated as ``unseen`` says
+    (``categories.one_hot``).
     """
     metadata = spark.read.parquet(f"{path}/metadata").orderBy("label_rank").collect()
     kind, columns = metadata[0]["model"], list(metadata[0]["feature_columns"])
-    rows = labels.one_hot_hemisphere(features)
+    rows = categories.one_hot(features, metadata[0]["categories"], unseen)
     if kind == "lr":
         weights = spark.read.parquet(f"{path}/weights")
         scored = logistic.predict_rows(rows, weights, columns, [id_col])

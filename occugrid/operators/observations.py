@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from occugrid.functions import geo
+from occugrid.operators import skew
 
 # Rows of the second source sort after every row of the first one.
 EXTRA_OFFSET = 1 << 62
@@ -52,30 +53,37 @@ def taxon_dimension(taxa: DataFrame) -> DataFrame:
 
 
 def attach_names(
-    observations: DataFrame, taxa: DataFrame | None, extra_taxa: DataFrame | None = None
+    observations: DataFrame,
+    taxa: DataFrame | None,
+    extra_taxa: DataFrame | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Left lookup id -> name; no dimension means null names.
 
     ``extra_taxa`` names the rows of the second source where it differs from the first.
     The lookup runs after deduplication, on fewer rows. It carries no broadcast hint:
-    Catalyst broadcasts the dimension below its size threshold and otherwise sort-merge
-    joins, where AQE splits the partition of a hot species.
+    Catalyst broadcasts the dimension below its size threshold. Above it, the species that
+    hold most of ``counted``, rows that are cheap to read like those before deduplication,
+    are salted on both sides; without ``counted`` hot species are left to AQE.
     """
     if taxa is None and extra_taxa is None:
         return observations.withColumn("taxon_name", F.lit(None).cast("string"))
     if extra_taxa is None:
-        return observations.join(taxon_dimension(taxa), "taxon_id", "left")
+        return _looked_up(observations, taxon_dimension(taxa), ["taxon_id"], counted)
     sided = [
         taxon_dimension(side).withColumn("is_extra", F.lit(flag))
         for side, flag in ((taxa, False), (extra_taxa, True))
         if side is not None
     ]
     dimension = sided[0] if len(sided) == 1 else sided[0].unionByName(sided[1])
-    return (
-        observations.withColumn("is_extra", F.col("row_id") >= EXTRA_OFFSET)
-        .join(dimension, ["taxon_id", "is_extra"], "left")
-        .drop("is_extra")
-    )
+    marked = observations.withColumn("is_extra", F.col("row_id") >= EXTRA_OFFSET)
+    return _looked_up(marked, dimension, ["taxon_id", "is_extra"], counted).drop("is_extra")
+
+
+def _looked_up(rows: DataFrame, dimension: DataFrame, on: list[str], counted: DataFrame | None) -> DataFrame:
+    if counted is None or skew.is_small(dimension):
+        return rows.join(dimension, on, "left")
+    return skew.salted_lookup(rows, dimension, on, skew.heavy_values(counted, on[0]), "row_id")
 
 
 def invalid_coordinates(observations: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from occugrid import schemas, storage
 from occugrid.operators import (
+    categories,
     density,
     incremental,
     labels,
@@ -22,6 +23,7 @@ from occugrid.operators import (
     observations,
     occupancy,
     presence,
+    skew,
 )
 from occugrid.operators.cooccurrence import cooccurrence
 from occugrid.operators.forest import ForestParams
@@ -299,6 +301,22 @@ def multilabel_matrix_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.with_taxa(data.grid(), data.top).select("region", "taxon_id", "label_rank", "y")
 
 
+def category_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions with the 0/1 columns of two categories, hemisphere and type of the first event."""
+    every = observations.add_features(events.observations(spark, sf_dir))
+    data = modelling.dataset(every, 10, N_SPLITS, True, categorical=("hemisphere", "event_type"))
+    return data.rows.select("region", "event_type", *categories.one_hot_columns(data.categories))
+
+
+def hot_species_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of observations of which one species has nine tenths, by a salted lookup."""
+    every = events.observations(spark, sf_dir).select(
+        "row_id", F.when(F.col("row_id") % 10 == 0, F.col("taxon_id")).otherwise(1001).alias("taxon_id")
+    )
+    heavy = skew.heavy_values(every, "taxon_id")
+    return skew.salted_lookup(every, events.taxa(spark, sf_dir), ["taxon_id"], heavy, "row_id")
+
+
 def _group_folds(block_deg: int) -> Query:
     """Folds of both populations: all regions, and those with a top species."""
 
@@ -355,6 +373,13 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(per_label.select("fold", "taxon_id", "roc_auc"), "roc_auc")
 
 
+def ranking_of_close_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC and average precision of scores that all lie within a millionth."""
+    close = scores(spark, sf_dir).withColumn("p", F.lit(0.5) + F.col("p") / 2**20)
+    found = metrics.label_metrics(close).select("fold", "taxon_id", "roc_auc", "pr_auc")
+    return rounded(found, "roc_auc", "pr_auc")
+
+
 def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_label = metrics.label_metrics(scores(spark, sf_dir))
     return rounded(per_label.select("fold", "taxon_id", "pr_auc"), "pr_auc")
@@ -538,6 +563,8 @@ QUERIES: dict[str, Query] = {
     "loc2spec_dataset": _dataset(keep_unlabelled=False),
     "spec2loc_dataset": _dataset(keep_unlabelled=True),
     "multilabel_matrix_long": multilabel_matrix_long,
+    "category_dataset": category_dataset,
+    "hot_species_names": hot_species_names,
     "group_folds": _group_folds(1),
     "group_folds_5deg": _group_folds(5),
     "f1_micro_macro": f1_micro_macro,
@@ -545,6 +572,7 @@ QUERIES: dict[str, Query] = {
     "ranking_micro_macro": ranking_micro_macro,
     "roc_auc": roc_auc,
     "average_precision": average_precision,
+    "ranking_of_close_scores": ranking_of_close_scores,
     "fold_metric_table": fold_metric_table,
     "species_metric_table": species_metric_table,
     "cv_log_folds": cv_log_folds,

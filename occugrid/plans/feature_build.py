@@ -15,9 +15,13 @@ def train_features(
     taxa: DataFrame | None = None,
     extra_taxa: DataFrame | None = None,
 ) -> DataFrame:
-    """Union, deduplicate, name and grid the observations (one shuffle)."""
-    unique = obs.deduplicate(obs.union_sources(train, extra))
-    named = obs.attach_names(unique, taxa, extra_taxa)
+    """Union, deduplicate, name and grid the observations.
+
+    One shuffle, and one more where the names are too many to broadcast; hot species are then
+    looked for in a sample of the rows.
+    """
+    every = obs.union_sources(train, extra)
+    named = obs.attach_names(obs.deduplicate(every), taxa, extra_taxa, every)
     return obs.add_features(named).select(
         "row_id", "lat", "lon", "taxon_id", "taxon_name",
         "grid_lat", "grid_lon", "region", "hemisphere", "sin_lon", "cos_lon",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from occugrid import storage
-from occugrid.operators import metrics, models, occupancy
+from occugrid.operators import labels, metrics, models, occupancy
 from occugrid.operators.forest import ForestParams
 from occugrid.sources import tables
 
@@ -17,17 +17,18 @@ def dataset(
     cv_splits: int = 5,
     keep_unlabelled: bool = False,
     block_deg: int = 1,
+    categorical: tuple[str, ...] = (labels.HEMISPHERE,),
 ) -> models.Dataset:
     """Region dataset of the ``top_k`` species.
 
     location -> species leaves out the regions without any of them; species -> location
     (``keep_unlabelled=True``) keeps every region. ``block_deg`` is the edge of the blocks that
-    cross-validation keeps together, in degrees.
+    cross-validation keeps together, in degrees. ``categorical`` columns are one-hot inputs.
     """
     top = occupancy.top_species(
         occupancy.species_support(occupancy.occupancy(features)), top_k
     )
-    return models.prepare(features, top, cv_splits, keep_unlabelled, block_deg)
+    return models.prepare(features, top, cv_splits, keep_unlabelled, block_deg, categorical)
 
 
 def location_to_species_metrics(
@@ -63,11 +64,12 @@ def run_location_to_species(
     by_position: bool = False,
     block_deg: int = 1,
     ledger: str | None = None,
+    categorical: tuple[str, ...] = (labels.HEMISPHERE,),
 ) -> dict[str, str]:
     """Cross-validate, write the metric table, fit on all regions and save the models."""
     params = forest_params or ForestParams(seed=seed)
     features = tables.read_train_features(spark, train_features, fmt, by_position)
-    data = dataset(features, topk, cv_splits, block_deg=block_deg)
+    data = dataset(features, topk, cv_splits, block_deg=block_deg, categorical=categorical)
     table = location_to_species_metrics(data, params, ledger)
     return {
         "metrics": tables.write_table(
@@ -94,12 +96,13 @@ def run_species_to_location(
     by_position: bool = False,
     block_deg: int = 1,
     ledger: str | None = None,
+    categorical: tuple[str, ...] = (labels.HEMISPHERE,),
 ) -> dict[str, str]:
     """Cross-validate, write metric table and run log, fit on all regions, save the models."""
     models.check_kind(model)
     params = forest_params or ForestParams(seed=seed)
     features = tables.read_train_features(spark, train_features, fmt, by_position)
-    data = dataset(features, topk, cv_splits, keep_unlabelled=True, block_deg=block_deg)
+    data = dataset(features, topk, cv_splits, keep_unlabelled=True, block_deg=block_deg, categorical=categorical)
     scores = storage.written_table(
         models.cross_validate(data, model, forest_params=params, ledger=ledger), "scores"
     )

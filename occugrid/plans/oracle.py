@@ -286,6 +286,18 @@ SELECT row_id, lat, lon, taxon_id FROM obs WHERE taxon_id = (SELECT taxon_id FRO
     "loc2spec_dataset": _dataset("folds_labelled"),
     "spec2loc_dataset": _dataset("folds_all"),
     "multilabel_matrix_long": _with(" SELECT region, taxon_id, label_rank, y FROM matrix"),
+    "category_dataset": _with(""",
+cells AS (SELECT *, CAST(floor(lat) AS BIGINT) AS la, CAST(floor(lon) AS BIGINT) AS lo FROM obs),
+firsts AS (SELECT la, lo, arg_min(event_type, row_id) AS event_type FROM cells GROUP BY la, lo)
+SELECT la || '°' || lo || '°' AS region, event_type, CAST(la < 0 AS INTEGER) AS "hemisphere_S",
+       CAST(event_type = 'error' AS INTEGER) AS event_type_error,
+       CAST(event_type = 'purchase' AS INTEGER) AS event_type_purchase,
+       CAST(event_type = 'signup' AS INTEGER) AS event_type_signup,
+       CAST(event_type = 'view' AS INTEGER) AS event_type_view
+FROM firsts"""),
+    "hot_species_names": _with(""",
+hot AS (SELECT row_id, CASE WHEN row_id % 10 = 0 THEN taxon_id ELSE 1001 END AS taxon_id FROM obs)
+SELECT row_id, taxon_id, taxon_name FROM hot LEFT JOIN taxa USING (taxon_id)"""),
     "group_folds": _with("""
 SELECT 'all' AS population, region, group_key, fold FROM folds_all
 UNION ALL SELECT 'labelled', region, group_key, fold FROM folds_labelled"""),
@@ -298,6 +310,8 @@ SELECT fold, round(roc_auc_micro, 9) AS roc_auc_micro, round(pr_auc_micro, 9) AS
        round(roc_auc_macro, 9) AS roc_auc_macro, round(pr_auc_macro, 9) AS pr_auc_macro FROM six"""),
     "roc_auc": _with(" SELECT fold, taxon_id, round(roc_auc, 9) AS roc_auc FROM rank_label"),
     "average_precision": _with(" SELECT fold, taxon_id, round(pr_auc, 9) AS pr_auc FROM rank_label"),
+    "ranking_of_close_scores": _with("""
+SELECT fold, taxon_id, round(roc_auc, 9) AS roc_auc, round(pr_auc, 9) AS pr_auc FROM rank_label"""),
     "fold_metric_table": _with("""
 SELECT CAST(fold AS VARCHAR) AS fold, round(micro_f1, 9) AS micro_f1, round(macro_f1, 9) AS macro_f1
 FROM f1_fold

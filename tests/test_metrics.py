@@ -83,6 +83,31 @@ def test_confusion_agrees_with_the_curve(spark):
     assert sorted(one) == sorted(two)
 
 
+def test_scores_close_together_are_spread(spark):
+    """20,000 scores within a billionth: no range has most of them, and the curve is the same."""
+    rng = random.Random(8)
+    cells = [(0.5 + 1e-9 * rng.random(), rng.randrange(2)) for _ in range(20_000)]
+    scores = table(spark, [(1, 5, *cell) for cell in cells])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = metrics.distinct_scores(scores, metrics.LABEL_KEYS).groupBy("part").count().collect()
+        found = only(metrics.label_metrics(scores))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) == 4 and max(part["count"] for part in parts) < 8_000
+    ranked = sorted(cells)
+    rank_sum = sum(i for i, (_, y) in enumerate(ranked, 1) if y)
+    n_pos = sum(y for _, y in cells)
+    auc = (rank_sum - n_pos * (n_pos + 1) / 2) / n_pos / (len(cells) - n_pos)
+    hits = [i for i, (_, y) in enumerate(reversed(ranked), 1) if y]
+    ap = sum(k / i for k, i in enumerate(hits, 1)) / n_pos
+    assert (found.roc_auc, found.pr_auc) == pytest.approx((auc, ap))
+
+
+def test_no_scores(spark):
+    assert metrics.label_metrics(table(spark, [])).collect() == []
+
+
 def test_validation_fold_with_one_class(spark):
     positive = metrics.label_metrics(table(spark, [(1, 5, 0.2, 1), (1, 5, 0.9, 1)]))
     row = only(metrics.defined_only(positive))

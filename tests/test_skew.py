@@ -1,0 +1,87 @@
+import pytest
+from pyspark.sql import functions as F
+
+from occugrid.operators import observations, skew
+from occugrid.plans import feature_build
+
+N = 40_000
+
+
+@pytest.fixture
+def rows(spark):
+    """Nine rows in ten are of taxon 1, one in a hundred has none."""
+    taxon = F.when(F.col("id") % 100 == 50, None).when(F.col("id") % 10 != 0, 1).otherwise(F.col("id") % 977 + 2)
+    return spark.range(N).select(
+        F.col("id").alias("row_id"),
+        (F.col("id") % 170 - 85).cast("double").alias("lat"),
+        (F.col("id") % 359 - 179).cast("double").alias("lon"),
+        taxon.cast("bigint").alias("taxon_id"),
+    )
+
+
+@pytest.fixture
+def taxa(spark):
+    return spark.range(1, 700).selectExpr("id AS taxon_id", "concat('t', id) AS taxon_name")
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Sort-merge joins over 8 partitions that nothing merges or splits."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def largest_task(df):
+    return df.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
+
+
+def test_heavy_values_of_a_sample(rows):
+    heavy = skew.heavy_values(rows, "taxon_id", share=0.05)
+    assert list(heavy) == [1] and heavy[1] == pytest.approx(0.91, abs=0.05)
+    every = skew.heavy_values(rows, "taxon_id", share=0.0005, fraction=1.0)
+    # With all rows sampled the shares are exact; the 400 rows without a taxon are not counted.
+    assert every[1] == pytest.approx(36_000 / 39_600) and None not in every
+    assert skew.heavy_values(rows.limit(0), "taxon_id") == {}
+
+
+def test_no_task_gets_a_hot_taxon(spark, rows, taxa, shuffled):
+    plain = rows.join(taxa, "taxon_id", "left")
+    assert largest_task(plain) > 0.85 * N
+    named = observations.attach_names(rows, taxa, counted=rows)
+    assert largest_task(named) < 0.3 * N
+    columns = ["row_id", "taxon_id", "taxon_name"]
+    assert sorted(named.select(columns).collect(), key=lambda r: r.row_id) == sorted(
+        plain.select(columns).collect(), key=lambda r: r.row_id
+    )
+
+
+def test_hot_taxa_of_two_sources_with_their_own_names(spark, rows, taxa, shuffled):
+    theirs = taxa.select("taxon_id", F.concat(F.lit("u"), "taxon_id").alias("taxon_name"))
+    named = feature_build.train_features(rows.where("lat < 0"), rows.where("lat >= 0"), taxa, theirs)
+    wrong = F.col("taxon_name") != F.concat(F.when(F.col("lat") < 0, "t").otherwise("u"), "taxon_id")
+    missing = F.col("taxon_name").isNull() & (F.col("taxon_id") < 700)
+    assert named.where(wrong | missing).isEmpty()
+    assert named.count() == rows.select("lat", "lon", "taxon_id").distinct().count()
+
+
+def test_small_dimensions_are_left_to_catalyst(spark, rows, taxa):
+    assert skew.is_small(taxa)
+    # Catalyst has no estimate of rows that come from the driver.
+    assert not skew.is_small(spark.createDataFrame([(1, "t1")], "taxon_id BIGINT, taxon_name STRING"))
+    plan = observations.attach_names(rows, taxa, counted=rows)._jdf.queryExecution().toString()
+    assert "__salt" not in plan
+
+
+def test_empty_sides(spark, rows, taxa, shuffled):
+    heavy = {1: 0.9, 3: 0.01}
+    assert skew.salted_lookup(rows.limit(0), taxa, ["taxon_id"], heavy, "row_id").collect() == []
+    assert skew.salted_lookup(rows, taxa.limit(0), ["taxon_id"], heavy, "row_id").count() == N
