@@ -1,0 +1,29 @@
+from pyspark.sql import functions as F
+
+from occugrid.llm import gram_pieces, rolling, winnowing
+
+MASK = 2**64 - 1
+
+
+def test_no_python_in_tasks_and_the_same_prints(spark, make_docs):
+    ansi = spark.conf.get("spark.sql.ansi.enabled")
+    edge = [gram_pieces.PIECE * x + y for x in (1, 2) for y in range(-2, 13, 3)]
+    texts = ["", "x", "1234567", "ab" * 200, "a" * 150] + [("é\U0001f600 word %d" % n * 40)[:n] for n in edge]
+    texts = dict(enumerate([*texts, *[f"text {i} of a run" for i in range(winnowing.RUN * 2)]]))
+    docs = make_docs([(i, t, "s") for i, t in texts.items()])
+    found = winnowing.compare_edited(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan and "Python" not in plan
+    assert spark.conf.get("spark.sql.ansi.enabled") == ansi
+    rows = found.withColumn("written", winnowing.digest(F.col("edited_fingerprint"))).collect()
+    written = {r["doc_id"]: r for r in winnowing.compare_edited(docs, text=True).collect()}
+    assert len(rows) == len(written) == len(texts)
+    for r in rows:
+        assert r["next_id"] == (r["doc_id"] - 1) % len(texts)
+        for text, prints in ((texts[r["doc_id"]], "fingerprint"), (r["edited"], "edited_fingerprint")):
+            hashes, places = rolling.fingerprint(text, 8, 4)
+            wanted = list(zip(hashes.tolist(), places.tolist(), strict=True))
+            assert [(one["hash"] & MASK, one["position"]) for one in r[prints]] == wanted
+            assert written[r["doc_id"]][prints] == ",".join(f"{h:x}@{p}" for h, p in wanted)
+        assert r["written"] == written[r["doc_id"]]["edited_fingerprint"]
+        assert r["near_next"] == written[r["doc_id"]]["near_next"]
